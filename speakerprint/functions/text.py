@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speakerprint.functions.vectors import as_col
@@ -32,12 +34,28 @@ def unfence(text: str | Column, any_case: bool = False) -> Column:
     return strip(F.regexp_replace(as_col(text), ("(?i)" if any_case else "") + pattern, ""))
 
 
-def shingles(word_array: str | Column, k: int) -> Column:
-    """Distinct k-word runs of a word array; texts with fewer than k words give none.
+def explode_items(df: DataFrame, keep: Sequence[str], array: str, name: str) -> DataFrame:
+    """One row per element of an array column, empty arrays giving none.
 
-    Pass the name of a materialised column: an expression would be evaluated once per run.
+    An inner ``explode`` would make Spark derive a size filter and compute the array a second
+    time below the projection; the outer form with a null check does not.
     """
-    w = as_col(word_array)
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def runs(word_array: str, k: int) -> Column:
+    """All k-word runs of a word array column, in order; shorter arrays give none."""
+    w = F.col(word_array)
+    starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1)))
+    return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")), F.array().cast("array<string>"))
+
+
+def run_hashes(word_array: str, k: int) -> Column:
+    """128-bit hashes ``(h1, h2)`` of all k-word runs, built from one hash per word."""
+    w = F.col(word_array)
     starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.array_distinct(F.coalesce(runs, F.array().cast("array<string>")))
+    hashed = F.transform(
+        starts,
+        lambda i: F.struct(F.xxhash64(F.slice(w, i, k)).alias("h1"), F.xxhash64(F.slice(w, i, k), F.lit(1)).alias("h2")),
+    )
+    return F.coalesce(hashed, F.array().cast("array<struct<h1:bigint,h2:bigint>>"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speakerprint.functions.jsontext import has_key, strict_object
-from speakerprint.functions.text import shingles, word_count, words
+from speakerprint.functions.text import explode_items, run_hashes, word_count, words
 from speakerprint.functions.vectors import as_col
 from speakerprint.operators.scale import HOT_ROWS, spread_join
 
@@ -175,29 +175,27 @@ def inject(
     return joined.withColumn("system_prompt", F.concat_ws("\n\n", "__i", "__s", "prompt")).drop("__i", "__s")
 
 
-def _shingle_rows(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    runs = df.select(key, words(text).alias("__w")).select(key, shingles("__w", k).alias("__s"))
-    return runs.select(key, F.explode("__s").alias("__s")).select(
-        key, F.xxhash64("__s").alias("h1"), F.xxhash64("__s", F.lit(1)).alias("h2")
-    )
+def _run_rows(df: DataFrame, keep: list[str], text: str, k: int) -> DataFrame:
+    hashes = df.select(*keep, F.transform(words(text), lambda w: F.xxhash64(w)).alias("__w"))
+    return explode_items(hashes.select(*keep, run_hashes("__w", k).alias("__s")), keep, "__s", "s").select(*keep, "s.h1", "s.h2")
 
 
-def leak_audit(
-    texts: DataFrame, against: DataFrame, key: str, text: str, against_text: str, k: int = 8, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Share of each text's distinct k-word runs that also occur in ``against``, and a leak flag.
+def leak_audit(texts: DataFrame, against: DataFrame, key: str, text: str, against_text: str, k: int = 8) -> DataFrame:
+    """``(key, runs, leaked, containment, leak)``: a text's k-word runs that occur in ``against``.
 
-    Run with summaries against messages it finds summaries that quote messages; the other way
-    round it finds the messages quoted. Only the distinct runs of ``against`` are joined, so
-    no (text, message) pair is built however often either is repeated.
+    ``texts`` has one row per key. Run with summaries against messages it finds summaries that
+    quote messages; the other way round it finds the messages quoted. Only the distinct runs of
+    ``against`` are joined, as a semi-join, so no (text, message) pair is built however often
+    either repeats; a run common to very many texts is split by Spark's skew join. A text is
+    hashed once: its number of runs follows from its words.
     """
-    counted = df_runs = _shingle_rows(texts, key, text, k)
-    known = _shingle_rows(against.withColumn("__k", F.lit(0)), "__k", against_text, k).select("h1", "h2").distinct()
-    hits = spread_join(df_runs, known, ["h1", "h2"], [key], "left_semi", hot_rows)
-    totals = counted.groupBy(key).agg(F.count(F.lit(1)).alias("shingles"))
+    total = F.greatest(word_count(text) - (k - 1), F.lit(0)).cast("bigint")
+    known = _run_rows(against, [], against_text, k).distinct()
+    hits = _run_rows(texts, [key], text, k).join(known, ["h1", "h2"], "left_semi")
     leaked = hits.groupBy(key).agg(F.count(F.lit(1)).alias("leaked"))
-    rows = totals.join(leaked, key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(0)).cast("bigint"))
-    return rows.withColumn("containment", F.col("leaked") / F.col("shingles")).withColumn("leak", F.col("leaked") > 0)
+    rows = texts.select(key, total.alias("runs")).join(leaked, key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(0)))
+    share = F.when(F.col("runs") > 0, F.col("leaked") / F.col("runs")).otherwise(0.0)
+    return rows.select(key, "runs", F.col("leaked").cast("bigint").alias("leaked"), share.alias("containment"), (F.col("leaked") > 0).alias("leak"))
 
 
 def secret_counts(df: DataFrame, text: str = "text", rules: dict[str, str] | None = None) -> DataFrame:

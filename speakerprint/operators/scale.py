@@ -163,3 +163,13 @@ def exact_median(
         return F.max(F.when(inside, F.col("__v")))
     picked = placed.groupBy(*by).agg(at("(__n - 1) div 2").alias("__a"), at("__n div 2").alias("__b"))
     return picked.select(*by, ((F.col("__a") + F.col("__b")) / 2).alias(name))
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan by ``key`` when it has fewer partitions than the cluster has cores.
+
+    For costly per-row text work on a few large row groups. A scan with enough partitions, as
+    any large table has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

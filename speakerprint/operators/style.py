@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speakerprint.functions.text import strip, word_count, words
+from speakerprint.functions.text import explode_items, runs, strip, word_count, words
 from speakerprint.functions.vectors import as_col
-from speakerprint.operators.scale import HOT_ROWS, spread_join
 
 # Characters cut from words, long-word length, default lexicon.
 WORD_EDGES = r"[.,;:!?()\"]+"
@@ -46,7 +45,7 @@ def sentence_profile(df: DataFrame, by: Sequence[str], text: str = "text") -> Da
 def tokens(df: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
     """One lower-case word per row, sentence marks cut; words of marks only vanish."""
     plain = F.regexp_replace(F.lower(as_col(text)), WORD_EDGES, " ")
-    return df.select(*by, F.explode(words(plain)).alias("token"))
+    return explode_items(df.select(*by, words(plain).alias("__w")), by, "__w", "token")
 
 
 def vocabulary_profile(df: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
@@ -103,25 +102,19 @@ def punctuation_profile(df: DataFrame, by: Sequence[str], text: str = "text") ->
     )
 
 
-def signature_phrases(
-    df: DataFrame, by: str, text: str = "text", n: int = 2, k: int = 5, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def signature_phrases(df: DataFrame, by: str, text: str = "text", n: int = 2, k: int = 5) -> DataFrame:
     """Top-k n-grams per speaker by tf * ln(N / df); equal scores in phrase order.
 
-    tf is combined map-side per (speaker, phrase); df counts that table, and a phrase used by
-    very many speakers is spread when its df is joined back.
+    tf is combined map-side per (speaker, phrase); df counts that table. Both sides of the join
+    read the same shuffle of (speaker, phrase) counts.
     """
     normal = F.regexp_replace(F.lower(as_col(text)), WORD_EDGES, " ")
-    grams = (
-        df.select(by, words(normal).alias("__w"))
-        .where(F.size("__w") >= n)
-        .withColumn("__i", F.explode(F.sequence(F.lit(1), F.size("__w") - (n - 1))))
-        .select(by, F.array_join(F.slice("__w", F.col("__i"), F.lit(n)), " ").alias("phrase"))
-    )
+    split = df.select(by, words(normal).alias("__w")).select(by, runs("__w", n).alias("__g"))
+    grams = explode_items(split, [by], "__g", "phrase")
     tf = grams.groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    spread = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    spread = tf.groupBy("phrase").agg(F.count("tf").alias("df"))
     speakers = df.where(F.col(by).isNotNull()).select(by).distinct().agg(F.count(F.lit(1)).alias("n"))
-    scored = spread_join(tf, spread, ["phrase"], [by], hot_rows=hot_rows).withColumn("__n", speakers.scalar())
+    scored = tf.join(spread, "phrase").withColumn("__n", speakers.scalar())
     scored = scored.withColumn("score", F.col("tf") * F.log(F.col("__n") / F.col("df")))
     best = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), F.asc("phrase"))
     return (

@@ -7,6 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from speakerprint.operators.scale import spread_scan
 from speakerprint.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,10 +36,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Tables of long texts or JSON and the key they are spread by when a scan is too narrow.
+WIDE_TABLES = {"documents": "doc_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, spread over the cores when its scan has too few partitions."""
+    return spread_scan(table(spark, sf_dir, name).select(*columns), WIDE_TABLES[name])
+
+
 def _load() -> None:
     for m in MODULES:
         import_module(f"speakerprint.plans.{m}")

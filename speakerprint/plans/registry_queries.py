@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from speakerprint.functions.mixing import mix_sql
 from speakerprint.operators import registry as G
-from speakerprint.plans.catalog import query, table
+from speakerprint.plans.catalog import query, table, wide_table
 
 _TYPE = "CASE doc_id % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'skill' WHEN 2 THEN 'combined' ELSE 'other' END"
 _SCORE = f"quality * 0.5 + CAST({mix_sql('doc_id', '5')} % 51 AS DOUBLE) / 100"
@@ -110,26 +110,29 @@ def injected_prompts(spark, sf):
     return G.inject(prompts, identity, G.load_best(reg), "conv_id").select("conv_id", "system_prompt")
 
 
-def _runs_sql(key: str, text: str, src: str) -> str:
-    return f"""(SELECT DISTINCT {key}, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - 6)) AS i FROM
-    (SELECT {key}, list_filter(regexp_split_to_array({text}, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM {src})))"""
+def _runs_sql(key: str, src: str) -> str:
+    return f"""(SELECT {key}, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - 6)) AS i FROM
+    (SELECT {key}, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM {src})))"""
 
 
 def _leak_sql(key: str, src: str, other_key: str, other: str) -> str:
-    return f"""SELECT {key}, count(*) AS shingles, count(*) FILTER (hit) AS leaked, round(count(*) FILTER (hit) / count(*), 6) AS containment,
-    count(*) FILTER (hit) > 0 AS leak FROM (SELECT {key}, s IN (SELECT s FROM {_runs_sql(other_key, 'text', other)}) AS hit
-    FROM {_runs_sql(key, 'text', src)}) GROUP BY {key}"""
+    return f"""WITH hit AS (SELECT {key}, count(*) AS leaked FROM {_runs_sql(key, src)} WHERE s IN (SELECT s FROM {_runs_sql(other_key, other)})
+      GROUP BY {key}),
+    total AS (SELECT {key}, greatest({words_sql('text')} - 7, 0) AS runs FROM {src})
+    SELECT t.{key}, runs, coalesce(leaked, 0) AS leaked, coalesce(leaked, 0) > 0 AS leak,
+           round(CASE WHEN runs > 0 THEN coalesce(leaked, 0) / runs ELSE 0 END, 6) AS containment
+    FROM total t LEFT JOIN hit ON hit.{key} = t.{key}"""
 
 
 @query("leak_audit", _leak_sql("doc_id", "documents", "item_id", "benchmark"))
 def leak_audit(spark, sf):
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, items = wide_table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark")
     return G.leak_audit(docs, items, "doc_id", "text", "text").withColumn("containment", F.round("containment", 6))
 
 
 @query("leaked_messages", _leak_sql("item_id", "benchmark", "doc_id", "documents"))
 def leaked_messages(spark, sf):
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, items = wide_table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark")
     return G.leak_audit(items, docs, "item_id", "text", "text").withColumn("containment", F.round("containment", 6))
 
 
@@ -149,7 +152,7 @@ def _hits_sql(pattern: str) -> str:
     ),
 )
 def secret_audit(spark, sf):
-    return G.secret_audit(table(spark, sf, "documents"))
+    return G.secret_audit(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 def _redact_sql() -> str:
@@ -161,7 +164,7 @@ def _redact_sql() -> str:
 
 @query("redacted", f"SELECT doc_id, {_redact_sql()} AS text FROM documents")
 def redacted(spark, sf):
-    return G.redact(table(spark, sf, "documents").select("doc_id", "text"))
+    return G.redact(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from speakerprint.operators import style as S
-from speakerprint.plans.catalog import query, table
+from speakerprint.plans.catalog import query, table, wide_table
 from speakerprint.plans.registry_queries import words_sql
 
 # Frequent function words of the table's languages, in place of the default lexicon.
@@ -35,7 +35,7 @@ def sentence_profile(spark, sf):
     round(sum(CASE WHEN length(token) >= 7 THEN c ELSE 0 END) / sum(c), 6) AS long_word_rate FROM t GROUP BY source""",
 )
 def vocabulary_profile(spark, sf):
-    p = S.vocabulary_profile(table(spark, sf, "documents"), ["source"])
+    p = S.vocabulary_profile(wide_table(spark, sf, "documents", "doc_id", "source", "text"), ["source"])
     rates = ("type_token_ratio", "mean_word_length", "long_word_rate")
     return p.select(*[F.round(c, 6).alias(c) if c in rates else c for c in p.columns])
 
@@ -86,7 +86,7 @@ def punctuation_profile(spark, sf):
     SELECT source, rank, phrase, tf, df, round(score, 6) AS score FROM r WHERE rank <= 5""",
 )
 def signature_phrases(spark, sf):
-    p = S.signature_phrases(table(spark, sf, "documents"), "source")
+    p = S.signature_phrases(wide_table(spark, sf, "documents", "doc_id", "source", "text"), "source")
     return p.withColumn("rank", F.col("rank").cast("bigint")).withColumn("score", F.round("score", 6))
 
 

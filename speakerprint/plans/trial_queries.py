@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from speakerprint.functions.mixing import coin_sql
 from speakerprint.operators import abtest as A
 from speakerprint.operators import tasks as K
-from speakerprint.plans.catalog import query, table
+from speakerprint.plans.catalog import query, table, wide_table
 
 _K = "CAST(get_json_object(props, '$.k') AS BIGINT)"
 _KQ = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -20,7 +20,7 @@ _WITHOUT = "(CAST(floor({k} / 10) AS BIGINT) + event_id) % 10 + 1"
 
 
 def _replies(spark, sf):
-    trials = A.assign_blind(table(spark, sf, "events").select("event_id", "user_id", "event_type", "props"), "event_id")
+    trials = A.assign_blind(wide_table(spark, sf, "events", "event_id", "user_id", "event_type", "props"), "event_id")
     scored = (
         trials.withColumn("k", F.expr(_K)).withColumn("w", F.expr(_WITH.format(k="k"))).withColumn("o", F.expr(_WITHOUT.format(k="k")))
     )
@@ -217,7 +217,7 @@ _FENCE = "regexp_replace(reply, '```(json)?', '', 'gi')"
     SELECT event_id, coalesce(regexp_replace(found, '[.]0+$', '') = CAST(k AS VARCHAR), false) AS ok FROM v""",
 )
 def score_json(spark, sf):
-    rows = table(spark, sf, "events").withColumn("kk", F.expr(_K))
+    rows = wide_table(spark, sf, "events", "event_id", "props").withColumn("kk", F.expr(_K))
     replied = rows.withColumn("reply", F.expr(_JSON_REPLY.replace("|| K ||", "|| kk ||").replace("chr(10)", "char(10)")))
     return replied.select("event_id", K.score_json("reply", F.create_map(F.lit("k"), F.col("kk").cast("string"))).alias("ok"))
 
