@@ -116,7 +116,7 @@ def signature_phrases(df: DataFrame, by: str, text: str = "text", n: int = 2, k:
     speakers = df.where(F.col(by).isNotNull()).select(by).distinct().agg(F.count(F.lit(1)).alias("n"))
     scored = tf.join(spread, "phrase").withColumn("__n", speakers.scalar())
     scored = scored.withColumn("score", F.col("tf") * F.log(F.col("__n") / F.col("df")))
-    best = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), F.asc("phrase"))
+    best = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("phrase"))
     return (
         scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(by, "rank", "phrase", "tf", "df", "score")
     )

@@ -82,7 +82,7 @@ def punctuation_profile(spark, sf):
     g AS (SELECT source, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT source, w, unnest(range(1, len(w))) AS i FROM w)),
     tf AS (SELECT source, phrase, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT phrase, count(*) AS df FROM tf GROUP BY phrase),
     s AS (SELECT source, tf.phrase, tf, df, tf * ln((SELECT count(DISTINCT source) FROM documents) / df) AS score FROM tf JOIN df ON tf.phrase = df.phrase),
-    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, phrase) AS rank FROM s)
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, phrase) AS rank FROM s)
     SELECT source, rank, phrase, tf, df, round(score, 6) AS score FROM r WHERE rank <= 5""",
 )
 def signature_phrases(spark, sf):
