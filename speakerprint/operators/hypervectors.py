@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speakerprint.functions import packed
+from speakerprint.operators.runs import fold_runs
 from speakerprint.operators.scale import block_of, ranked, running_sums, spread_join
 
 # Hypervector dimensions and projection seed.
@@ -28,6 +29,8 @@ HV_DIM = 10_000
 HV_SEED = 42
 #: Messages summed by one task into one partial.
 BUNDLE_ROWS = 1 << 20
+#: Speakers a task holds at once while adding up vectors.
+HELD_SPEAKERS = 4_096
 #: Rows unpacked or projected at once inside a task.
 STEP = 1_024
 #: Consensus rule: members per task type and lowest score.
@@ -73,15 +76,60 @@ def shared_center(df: DataFrame, vec: str = "embedding", scale: int = packed.SCA
 
 
 def speaker_centers(df: DataFrame, by: str, vec: str = "embedding", scale: int = packed.SCALE) -> DataFrame:
-    """``(by, center_n, center_sums)``: exact integer sums per speaker, map-side combined."""
-    quantised = F.round(F.col("x").cast("double") * F.lit(float(scale))).cast("bigint")
-    sums = (
-        df.select(by, F.posexplode(vec).alias("j", "x"))
-        .groupBy(by, "j")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(quantised).alias("s"))
-    )
-    dims = F.array_sort(F.collect_list(F.struct("j", "s")))
-    return sums.groupBy(by).agg(F.max("n").alias("center_n"), F.transform(dims, lambda e: e["s"]).alias("center_sums"))
+    """``(by, center_n, center_sums)``: exact integer sums per speaker.
+
+    Every task first adds up its own rows per speaker, at most HELD_SPEAKERS at a time, so a
+    speaker with very many messages sends few rows.
+    """
+    head = _head(df, [by])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        key_type = None
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(held), type=key_type),
+                    pa.array([n for n, _ in held.values()], pa.int64()),
+                    packed.matrix_list(np.stack([s for _, s in held.values()]), pa.int64()),
+                ],
+                names=[by, "center_n", "center_sums"],
+            )
+            held.clear()
+            return out
+
+        for batch in batches:
+            key_type = batch.schema.field(by).type
+            q = packed.quantise(packed.list_matrix(batch.column(vec), np.float64), scale)
+            codes = batch.column(by).dictionary_encode()
+            index = codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(index, kind="stable")
+            starts = np.flatnonzero(np.diff(index[order], prepend=-1)) if len(order) else order
+            sums = np.add.reduceat(q[order], starts, axis=0) if len(order) else q
+            sizes = np.diff(np.append(starts, len(order)))
+            for key, n, total in zip(codes.dictionary.to_pylist(), sizes.tolist(), sums):
+                had = held.get(key)
+                held[key] = (n, total) if had is None else (had[0] + n, had[1] + total)
+            if len(held) >= HELD_SPEAKERS:
+                yield flush()
+        if held:
+            yield flush()
+
+    partial = df.where(F.col(vec).isNotNull()).select(by, vec).mapInArrow(combine, f"{head}, center_n bigint, center_sums array<bigint>")
+
+    def prepare(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("center_n").to_numpy(zero_copy_only=False), packed.list_matrix(batch.column("center_sums"), np.int64)
+
+    def add(acc: list, rows: tuple[np.ndarray, np.ndarray], start: int, stop: int) -> None:
+        acc[0] += int(rows[0][start:stop].sum())
+        acc[1] = acc[1] + rows[1][start:stop].sum(axis=0)
+
+    def emit(_: list[tuple], done: list[list]) -> list[pa.Array]:
+        return [pa.array([n for n, _ in done], pa.int64()), packed.matrix_list(np.stack([s for _, s in done]), pa.int64())]
+
+    columns = ["center_n", "center_sums"]
+    return fold_runs(partial, [by], columns, prepare, lambda: [0, 0], add, emit, columns, "center_n bigint, center_sums array<bigint>", STEP)
 
 
 def with_speaker_center(df: DataFrame, by: str, order: str, vec: str = "embedding", scale: int = packed.SCALE) -> DataFrame:
@@ -97,6 +145,13 @@ def _thresholds(n: int, sums: Sequence[int], sign: np.ndarray) -> np.ndarray:
     return np.array([-((-x) // n) for x in b], dtype=np.int64)
 
 
+def _row_thresholds(n: np.ndarray, sums: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """:func:`_thresholds` for several means at once, in int64 where the products fit."""
+    if int(np.abs(sums).max()) * sums.shape[1] < 1 << 62:
+        return -((-packed.project_exact(sums, sign)) // n[:, None])
+    return np.stack([_thresholds(int(a), b.tolist(), sign) for a, b in zip(n, sums)])
+
+
 def hv_encode(
     df: DataFrame,
     vec: str = "embedding",
@@ -133,13 +188,12 @@ def hv_encode(
         if shared is not None:
             return product >= cut(x.shape[1])
         if per_row:
-            n = batch.column("center_n").to_pylist()
-            sums = batch.column("center_sums").to_pylist()
-            known: dict[tuple, np.ndarray] = {}
-            for i, key in enumerate(zip(n, map(tuple, sums))):
-                if key not in known:
-                    known[key] = _thresholds(key[0], key[1], r)
-                product[i] -= known[key]
+            n = batch.column("center_n").to_numpy(zero_copy_only=False)
+            sums = packed.list_matrix(batch.column("center_sums"), np.int64)
+            known: dict[bytes, int] = {}
+            which = np.array([known.setdefault(row.tobytes(), len(known)) for row in sums])
+            first = np.unique(which, return_index=True)[1]
+            product -= _row_thresholds(n[first], sums[first], r)[which]
         return product >= 0
 
     memo: dict[int, np.ndarray] = {}
@@ -173,24 +227,13 @@ def hv_query(df: DataFrame, center: Center | None, vec: str = "embedding", dim:
     return hv_encode(df, vec=vec, dim=dim, seed=seed, center=center, **kw)
 
 
-def _rolled_sum(batches: Iterator[pa.RecordBatch], dim: int, positional: bool) -> tuple[np.ndarray, int, int]:
-    """Sum of roll(h, -pos) over a stream of batches: (sum of +-1, rows, last position)."""
-    ones = np.zeros(dim, dtype=np.int64)
-    n, last = 0, 0
-    for whole in batches:
-        for lo in range(0, whole.num_rows, STEP):
-            batch = whole.slice(lo, STEP)
-            bits = packed.unpack(packed.list_matrix(batch.column("bits"), np.int64), dim)
-            pos = batch.column("pos").to_numpy(zero_copy_only=False)
-            n += len(bits)
-            last = max(last, int(pos.max()))
-            if positional:
-                for row, shift in zip(bits, (-pos) % dim):
-                    ones[shift:] += row[: dim - shift]
-                    ones[:shift] += row[dim - shift :]
-            else:
-                ones += bits.sum(axis=0, dtype=np.int64)
-    return 2 * ones - n, n, last
+class _Sum:
+    """Running sum of +-1 rows (kept as a count of ones), rows and last position."""
+
+    __slots__ = ("ones", "n", "last")
+
+    def __init__(self, dim: int):
+        self.ones, self.n, self.last = np.zeros(dim, dtype=np.int64), 0, 0
 
 
 def _narrow(acc: np.ndarray) -> tuple[int, bytes]:
@@ -204,66 +247,80 @@ def _head(df: DataFrame, by: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
 
-PARTIAL = "`__block` bigint, width int, acc binary, n bigint, last bigint"
+#: Partial sums: a block of a speaker's messages, not rotated, in ``width`` bytes per dimension.
+PARTIAL_NAMES = ("width", "acc", "n", "last")
+PARTIAL_SCHEMA = "width int, acc binary, n bigint, last bigint"
 
 
-def _partial_batch(keys: list[pa.Array], names: list[str], acc: np.ndarray, n: int, last: int) -> pa.RecordBatch:
-    width, raw = _narrow(acc)
-    return pa.RecordBatch.from_arrays(
-        keys + [pa.array([width], pa.int32()), pa.array([raw], pa.binary()), pa.array([n], pa.int64()), pa.array([last], pa.int64())],
-        names=[*names, "width", "acc", "n", "last"],
-    )
+def _partial_columns(sums: Sequence[np.ndarray], ns: Sequence[int], lasts: Sequence[int]) -> list[pa.Array]:
+    short = [_narrow(a) for a in sums]
+    return [
+        pa.array([w for w, _ in short], pa.int32()),
+        pa.array([raw for _, raw in short], pa.binary()),
+        pa.array(ns, pa.int64()),
+        pa.array(lasts, pa.int64()),
+    ]
 
 
 def partial_sums(data: DataFrame, by: Sequence[str], dim: int, positional: bool = True) -> DataFrame:
-    """Unrotated partial sums per (by, __block) of rows ``(by, __block, pos, bits)``.
+    """Unrotated partial sums ``(by, __block, width, acc, n, last)`` of rows ``(by, __block, pos, bits)``."""
 
-    A block is read as a stream of batches with one accumulator in memory.
-    """
-    by = list(by)
-    names = [*by, "__block"]
+    def prepare(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        bits = packed.unpack(packed.list_matrix(batch.column("bits"), np.int64), dim)
+        return bits, batch.column("pos").to_numpy(zero_copy_only=False)
+
+    def add(acc: _Sum, rows: tuple[np.ndarray, np.ndarray], start: int, stop: int) -> None:
+        bits, pos = rows[0][start:stop], rows[1][start:stop]
+        acc.n += stop - start
+        acc.last = max(acc.last, int(pos.max()))
+        if positional:
+            for row, shift in zip(bits, ((-pos) % dim).tolist()):
+                acc.ones[shift:] += row[: dim - shift]
+                acc.ones[:shift] += row[dim - shift :]
+        else:
+            acc.ones += bits.sum(axis=0, dtype=np.int64)
 
-    def block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc, n, last = _rolled_sum(batches, dim, positional)
-        yield _partial_batch([pa.array([k.as_py()], type=k.type) for k in key], names, acc, n, last)
+    def emit(_: list[tuple], done: list[_Sum]) -> list[pa.Array]:
+        return _partial_columns([2 * s.ones - s.n for s in done], [s.n for s in done], [s.last for s in done])
 
-    return data.groupBy(*names).applyInArrow(block, f"{_head(data, by)}, {PARTIAL}")
+    keys = [*by, "__block"]
+    return fold_runs(data, keys, ["pos", "bits"], prepare, lambda: _Sum(dim), add, emit, PARTIAL_NAMES, PARTIAL_SCHEMA, STEP)
 
 
-def fold_partials(partials: DataFrame, by: Sequence[str], dim: int, positional: bool = True, finish: bool = True) -> DataFrame:
+def fold_partials(
+    partials: DataFrame, by: Sequence[str], dim: int, positional: bool = True, finish: bool = True, keep_acc: bool = True
+) -> DataFrame:
     """Fold unrotated partial sums into seeds ``(by, n, acc, bits)``, streaming per speaker.
 
     A speaker has one partial per block of rows, so even a speaker with 10^10 messages folds
-    some 10^4 short rows here. With ``finish=False`` the result is one partial per speaker,
-    to which later partials can still be added.
+    some 10^4 short rows here. With ``finish=False`` the result is one partial per speaker
+    (block 0), to which later partials can still be added.
     """
-    by = list(by)
-    width = len(by)
 
-    def final(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, last = np.zeros(dim, dtype=np.int64), 0, 0
-        for batch in batches:
-            for w, raw in zip(batch.column("width").to_pylist(), batch.column("acc")):
-                total += np.frombuffer(raw.as_buffer(), dtype=f"<i{w}")
-            n += int(np.sum(batch.column("n").to_numpy(zero_copy_only=False)))
-            last = max(last, int(np.max(batch.column("last").to_numpy(zero_copy_only=False))))
-        keys = [pa.array([k.as_py()], type=k.type) for k in key[:width]]
-        if not finish:
-            yield _partial_batch([*keys, pa.array([0], pa.int64())], [*by, "__block"], total, n, last)
-            return
-        seed = np.roll(total, last % dim) if positional else total
-        yield pa.RecordBatch.from_arrays(
-            keys
-            + [
-                pa.array([n], pa.int64()),
-                packed.matrix_list(seed[None, :], pa.int64()),
-                packed.matrix_list(packed.pack((seed >= 0)[None, :]), pa.int64()),
-            ],
-            names=[*by, "n", "acc", "bits"],
-        )
+    def prepare(batch: pa.RecordBatch) -> list:
+        raw = [np.frombuffer(x.as_buffer(), dtype=f"<i{w}") for w, x in zip(batch.column("width").to_pylist(), batch.column("acc"))]
+        return [raw, batch.column("n").to_numpy(zero_copy_only=False), batch.column("last").to_numpy(zero_copy_only=False)]
+
+    def add(acc: _Sum, rows: list, start: int, stop: int) -> None:
+        for part in rows[0][start:stop]:
+            acc.ones += part
+        acc.n += int(rows[1][start:stop].sum())
+        acc.last = max(acc.last, int(rows[2][start:stop].max()))
 
-    schema = f"{_head(partials, by)}, " + ("n bigint, acc array<bigint>, bits array<bigint>" if finish else PARTIAL)
-    return partials.groupBy(*by).applyInArrow(final, schema)
+    def emit(_: list[tuple], done: list[_Sum]) -> list[pa.Array]:
+        if not finish:
+            columns = _partial_columns([s.ones for s in done], [s.n for s in done], [s.last for s in done])
+            return [pa.array([0] * len(done), pa.int64()), *columns]
+        seeds = np.stack([np.roll(s.ones, s.last % dim) if positional else s.ones for s in done])
+        acc = [packed.matrix_list(seeds, pa.int64())] if keep_acc else []
+        return [pa.array([s.n for s in done], pa.int64()), *acc, packed.matrix_list(packed.pack(seeds >= 0), pa.int64())]
+
+    if finish:
+        names = ["n", "acc", "bits"] if keep_acc else ["n", "bits"]
+        schema = "n bigint, acc array<bigint>, bits array<bigint>" if keep_acc else "n bigint, bits array<bigint>"
+    else:
+        names, schema = ["__block", *PARTIAL_NAMES], f"`__block` bigint, {PARTIAL_SCHEMA}"
+    return fold_runs(partials, list(by), PARTIAL_NAMES, prepare, lambda: _Sum(dim), add, emit, names, schema, STEP)
 
 
 def hv_bundle(
@@ -294,8 +351,7 @@ def hv_bundle(
     else:
         placed = rows.withColumn("pos", F.col(order).cast("bigint")).withColumn("__block", block_of(order, block_rows))
     data = placed.select(*by, "__block", "pos", "bits")
-    seeds = fold_partials(partial_sums(data, by, dim, positional), by, dim, positional)
-    return seeds if keep_acc else seeds.drop("acc")
+    return fold_partials(partial_sums(data, by, dim, positional), by, dim, positional, keep_acc=keep_acc)
 
 
 def fingerprints(
@@ -309,10 +365,14 @@ def fingerprints(
     bind: str = "positional",
     position: str = "index",
     block_rows: int = BUNDLE_ROWS,
+    keep_acc: bool = True,
     **encode,
 ) -> DataFrame:
     """Seeds of every speaker straight from message vectors: ``(by, n, degenerate, acc, bits)``.
 
+    ``acc`` (the sum before thresholding) is what later messages can be added to; leave it out
+    with ``keep_acc=False`` where only comparison is wanted.
+
     ``center``: ``"shared"`` (exact mean of all rows, the default), ``"speaker"`` (each
     speaker's own mean), a :class:`Center`, or None. A speaker with one message centred on
     itself carries no style and is marked degenerate.
@@ -325,8 +385,9 @@ def fingerprints(
         data, used = source, shared_center(source, vec) if center == "shared" else center
     keep = [by, order, vec] + (["center_n", "center_sums"] if own else [])
     encoded = hv_encode(data.select(*keep), vec, dim=dim, seed=seed, center=used, **encode)
-    seeds = hv_bundle(encoded, by, order, dim, bind, position, block_rows, counts_from=source)
-    return seeds.select(by, "n", (F.lit(own) & (F.col("n") < 2)).alias("degenerate"), "acc", "bits")
+    seeds = hv_bundle(encoded, by, order, dim, bind, position, block_rows, keep_acc, source)
+    rest = ["acc", "bits"] if keep_acc else ["bits"]
+    return seeds.select(by, "n", (F.lit(own) & (F.col("n") < 2)).alias("degenerate"), *rest)
 
 
 def hv_compose(parts: DataFrame, by: str, chunk: str = "chunk", dim: int = HV_DIM) -> DataFrame:
@@ -342,21 +403,11 @@ def hv_compose(parts: DataFrame, by: str, chunk: str = "chunk", dim: int = HV_DI
             acc = packed.list_matrix(batch.column("acc"), np.int64)
             last = batch.column("__upto").to_numpy(zero_copy_only=False) - 1
             rolled = np.stack([np.roll(a, -(s % dim)) for a, s in zip(acc, last)]) if len(acc) else acc
-            short = [_narrow(a) for a in rolled]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(by),
-                    batch.column(chunk),
-                    pa.array([w for w, _ in short], pa.int32()),
-                    pa.array([raw for _, raw in short], pa.binary()),
-                    batch.column("n"),
-                    pa.array(last, pa.int64()),
-                ],
-                names=[by, "__block", "width", "acc", "n", "last"],
-            )
+            columns = _partial_columns(list(rolled), batch.column("n").to_pylist(), last.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column(chunk), *columns], names=[by, "__block", *PARTIAL_NAMES])
 
     placed = placed.withColumn(chunk, F.col(chunk).cast("bigint")).withColumn("n", F.col("n").cast("bigint"))
-    partials = placed.mapInArrow(roll_back, f"{_head(parts, [by])}, {PARTIAL}")
+    partials = placed.mapInArrow(roll_back, f"{_head(parts, [by])}, `__block` bigint, {PARTIAL_SCHEMA}")
     return fold_partials(partials, [by], dim)
 
 
