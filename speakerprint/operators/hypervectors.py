@@ -425,9 +425,11 @@ def hv_merge(registry: DataFrame, dim: int = HV_DIM, top: int = MERGE_TOP, min_s
     """Consensus fingerprint per task type: score-weighted sum of its members' +-1 vectors.
 
     Scores are quantised to millionths so that the threshold is exact; the best member's
-    summary stands for the consensus.
+    summary stands for the consensus. Members are ranked without their vectors and summaries,
+    which are joined to the few chosen rows by id.
     """
-    members = consensus_members(registry, top, min_score).select("task_type", "member", "success_score", "summary", "bits")
+    chosen = consensus_members(registry.select("id", "task_type", "success_score", "created_at"), top, min_score)
+    members = chosen.join(registry.select("id", "summary", "bits"), "id").drop("id", "created_at")
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("member").combine_chunks()

@@ -21,6 +21,7 @@ from speakerprint.functions.mixing import pick
 from speakerprint.functions.vectors import cosine
 from speakerprint.operators.hypervectors import HV_DIM
 from speakerprint.operators.scale import ranked, spread_join
+from speakerprint.session import materialised
 
 # Retrieval threshold and similarity bands.
 THETA = 0.75
@@ -145,27 +146,25 @@ def _by_blocks(
     """
     keep = [c for c in queries.columns if c not in ("bits", *bucket)]
     bucket = list(bucket)
-    if not bucket:
-        bucket = ["__all"]
-        queries, cand = queries.withColumn("__all", F.lit(0)), cand.withColumn("__all", F.lit(0))
     queries = queries.where(F.col("bits").isNotNull())
+    if bucket:
+        def cells(df: DataFrame, rows: int, name: str) -> DataFrame:
+            return df.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
 
-    def cells(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
-
-    grid = cells(queries, query_block, "__nq").join(cells(cand, candidate_block, "__nc"), bucket)
-    q = (
-        spread_join(queries, grid, bucket, ["query_id"])
-        .withColumn("__q", F.pmod(F.xxhash64("query_id"), F.col("__nq")).cast("int"))
-        .withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1)))
-        .drop("__nq", "__nc")
+        grid = cells(queries, query_block, "__nq").join(cells(cand, candidate_block, "__nc"), bucket)
+        q = spread_join(queries, grid, bucket, ["query_id"])
+        c = spread_join(cand, grid, bucket, ["ord"])
+    else:
+        queries, cand = materialised(queries, "queries"), materialised(cand, "candidates")
+        width = {"__nq": F.lit(max(1, -(-queries.count() // query_block))), "__nc": F.lit(max(1, -(-cand.count() // candidate_block)))}
+        q, c = queries.withColumns(width), cand.withColumns(width)
+    q = q.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.col("__nq")).cast("int")).withColumn(
+        "__c", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1))
     )
-    c = (
-        spread_join(cand, grid, bucket, ["ord"])
-        .withColumn("__c", F.pmod(F.xxhash64("ord"), F.col("__nc")).cast("int"))
-        .withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__nq") - 1)))
-        .drop("__nq", "__nc")
+    c = c.withColumn("__c", F.pmod(F.xxhash64("ord"), F.col("__nc")).cast("int")).withColumn(
+        "__q", F.explode(F.sequence(F.lit(0), F.col("__nq") - 1))
     )
+    q, c = q.drop("__nq", "__nc"), c.drop("__nq", "__nc")
     cell = [*bucket, "__q", "__c"]
     most = _most(theta, dim)
     schema = T.StructType(
@@ -197,7 +196,7 @@ def _by_blocks(
         return pa.table([pa.array([], t) for t in types], names=names)
 
     hits = q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInArrow(score, schema)
-    if bucket != ["__all"]:
+    if bucket:
         hits = hits.dropDuplicates(["query_id", "ord"])
     order = Window.partitionBy("query_id").orderBy("ham", "ord")
     ranked_hits = hits.withColumn("rank", F.row_number().over(order))
@@ -247,8 +246,8 @@ def retrieve(
         hits = top_candidates(queries, candidates, k, theta, dim, **kw)
     else:
         bands = min(bands, dim // 16)
-        q = band_keys(queries.where(F.col("bits").isNotNull()), bands)
-        c = band_keys(_candidate_columns(candidates), bands, bits="cbits")
+        q = band_keys(materialised(queries.where(F.col("bits").isNotNull()), "queries"), bands)
+        c = band_keys(materialised(_candidate_columns(candidates), "candidates"), bands, bits="cbits")
         hits = _by_blocks(q, c, ["band", "band_value"], k, theta, dim)
     if registry is not None:
         summaries = registry.select(F.col("id").alias("candidate"), "summary")
@@ -274,24 +273,29 @@ def speaker_pairs(df: DataFrame, by: str, order: str, vec: str, trials: int = 1_
 
     Every trial draws an anchor message, a partner from the anchor's speaker (draw ``same``)
     and a partner from all messages (draw ``any``); the speakers decide the label. Pairs are
-    drawn by position and joined on it, so the work is linear in messages and trials.
+    drawn by position among ids only, ranked once; the vectors of the drawn messages are joined last.
     """
-    placed = ranked(ranked(df.select(by, order, vec), [], order, pos="__g", total="__all"), [by], order, pos="__p", total="__n")
+    placed = ranked(ranked(df.select(by, order), [], order, pos="__g", total="__all"), [by], order, pos="__p", total="__n")
+    placed = materialised(placed, "positions")
     size = placed.agg(F.max("__all").alias("__all"))
     draws = df.sparkSession.range(trials).withColumnRenamed("id", "trial").withColumn("__size", size.scalar())
+    who = F.col(by).alias("__by")
     anchors = draws.withColumn("__g", pick("trial", f"{seed}", "__size")).join(
-        placed.select("__g", F.col(by).alias("__by"), F.col(order).alias("a"), F.col(vec).alias("__va"), "__p", "__n"), "__g"
+        placed.select("__g", who, F.col(order).alias("a"), "__p", "__n"), "__g"
     )
     same = (
         anchors.where(F.col("__n") > 1)
         .withColumn("__q", (F.col("__p") + 1 + pick("trial", f"{seed + 1}", "__n - 1")) % F.col("__n"))
-        .join(placed.select(F.col(by).alias("__by"), F.col("__p").alias("__q"), F.col(order).alias("b"), F.col(vec).alias("__vb")), ["__by", "__q"])
-        .select("trial", F.lit("same").alias("draw"), "a", "b", F.lit(True).alias("same_speaker"), "__va", "__vb")
+        .join(placed.select(who, F.col("__p").alias("__q"), F.col(order).alias("b")), ["__by", "__q"])
+        .select("trial", F.lit("same").alias("draw"), "a", "b", F.lit(True).alias("same_speaker"), "__by", F.col("__by").alias("__by2"))
     )
     other = (
         anchors.where(F.col("__size") > 1)
         .withColumn("__h", (F.col("__g") + 1 + pick("trial", f"{seed + 2}", "__size - 1")) % F.col("__size"))
-        .join(placed.select(F.col("__g").alias("__h"), F.col(by).alias("__by2"), F.col(order).alias("b"), F.col(vec).alias("__vb")), "__h")
-        .select("trial", F.lit("any").alias("draw"), "a", "b", (F.col("__by") == F.col("__by2")).alias("same_speaker"), "__va", "__vb")
+        .join(placed.select(F.col("__g").alias("__h"), F.col(by).alias("__by2"), F.col(order).alias("b")), "__h")
+        .select("trial", F.lit("any").alias("draw"), "a", "b", (F.col("__by") == F.col("__by2")).alias("same_speaker"), "__by", "__by2")
     )
-    return same.unionByName(other).select("trial", "draw", "a", "b", "same_speaker", cosine("__va", "__vb").alias("score"))
+    vectors_a = df.select(F.col(by).alias("__by"), F.col(order).alias("a"), F.col(vec).alias("__va"))
+    vectors_b = df.select(F.col(by).alias("__by2"), F.col(order).alias("b"), F.col(vec).alias("__vb"))
+    pairs = same.unionByName(other).join(vectors_a, ["__by", "a"]).join(vectors_b, ["__by2", "b"])
+    return pairs.select("trial", "draw", "a", "b", "same_speaker", cosine("__va", "__vb").alias("score"))

@@ -171,7 +171,7 @@ def inject(
     i = identity.select("identity_id", F.col("summary").alias("__i"))
     s = skill.select("task_type", F.col("summary").alias("__s"))
     joined = spread_join(prompts, i, ["identity_id"], [prompt_id], "left", hot_rows)
-    joined = spread_join(joined, s, ["task_type"], [prompt_id], "left", hot_rows)
+    joined = spread_join(joined, s, ["task_type"], [prompt_id], "left", hot_rows, hot_from=prompts)
     return joined.withColumn("system_prompt", F.concat_ws("\n\n", "__i", "__s", "prompt")).drop("__i", "__s")
 
 

@@ -103,6 +103,7 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join whose hot keys are cut into several tasks.
 
@@ -110,11 +111,13 @@ def spread_join(
     are salted by a hash of ``spread_by`` (deterministic, so that a retried task repeats it)
     and only the matching rows of ``small`` are replicated. The broadcast table of hot keys
     has at most |big| / hot_rows rows. ``how`` is inner, left, left_semi or left_anti.
+    ``hot_from`` is a frame with the same key values and a cheaper lineage for the counting pass.
     """
     on = list(on)
     fanout = F.least(F.ceil(F.col("__c") / F.lit(hot_rows)), F.lit(MAX_FANOUT)).cast("int")
     hot = (
-        big.groupBy(*on)
+        (big if hot_from is None else hot_from)
+        .groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__c"))
         .where(F.col("__c") > hot_rows)
         .select(*on, fanout.alias("__fanout"))
