@@ -21,6 +21,7 @@ HEADLINE = (
     "prompt_identity",
     "prompt_train_lines",
     "holdout_split",
+    "conversation_fingerprints",
     "speaker_fingerprints",
     "speaker_seed_positional",
     "speaker_centroids",
@@ -50,7 +51,7 @@ HEADLINE = (
 #: Table whose rows a query works through, for rows per second.
 INPUT = {
     "message_positions": "conversations", "prompt_identity": "conversations", "prompt_train_lines": "conversations",
-    "ab_comparison": "events", "ab_combined": "events", "score_json": "events", "task_stats": "labels",
+    "conversation_fingerprints": "conversations", "ab_comparison": "events", "ab_combined": "events", "score_json": "events", "task_stats": "labels",
     "sentence_profile": "conversations", "injected_prompts": "conversations",
     **{q: "documents" for q in ("summary_validation", "registry_latest", "leak_audit", "secret_audit", "redacted",
                                 "digest_duplicates", "vocabulary_profile", "signature_phrases")},

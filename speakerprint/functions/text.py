@@ -44,10 +44,11 @@ def explode_items(df: DataFrame, keep: Sequence[str], array: str, name: str) ->
 
 
 def runs(word_array: str, k: int) -> Column:
-    """All k-word runs of a word array column, in order; shorter arrays give none."""
-    w = F.col(word_array)
-    starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1)))
-    return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")), F.array().cast("array<string>"))
+    """The k-word run starting at each word of a word array column; null where fewer words follow."""
+    out = w = F.col(word_array)
+    for j in range(2, k + 1):
+        out = F.zip_with(out, F.slice(w, j, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def run_hashes(word_array: str, k: int) -> Column:

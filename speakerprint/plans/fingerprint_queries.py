@@ -14,10 +14,12 @@ from speakerprint.functions.vectors import bit_signs
 from speakerprint.operators import basis as B
 from speakerprint.operators import hypervectors as H
 from speakerprint.operators import match as J
-from speakerprint.operators.messages import split
+from speakerprint.operators.embed import embed
+from speakerprint.operators.messages import select_messages, split
 from speakerprint.plans.catalog import query, table
 from speakerprint.plans.registry_queries import REGISTRY_SQL, registry_rows
 from speakerprint.session import shared_dir
+from speakerprint.sources.fingerprints import read_fingerprints, write_fingerprints
 from speakerprint.streaming.fingerprints import read_stream_fingerprints, stream_fingerprints
 
 DIM = 64
@@ -191,6 +193,24 @@ def speaker_fingerprints(spark, sf):
     return seeds.select("label", "n", "degenerate", ones.alias("ones"), F.sha2(F.concat_ws(",", F.col("bits").cast("array<string>")), 256).alias("digest"))
 
 
+@query("conversation_fingerprints")
+def conversation_fingerprints(spark, sf):
+    """From text to fingerprint: user messages, hashed n-gram vectors, a seed per conversation."""
+    users = select_messages(table(spark, sf, "conversations")).select("conv_id", "turn", "text")
+    seeds = H.fingerprints(embed(users, "hash"), "conv_id", "turn", keep_acc=False)
+    ones = F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w))
+    return seeds.select("conv_id", "n", ones.alias("ones"))
+
+
+@query("stored_fingerprints", f"WITH {BASE_SQL} SELECT {_SEED_COLUMNS} FROM seed")
+def stored_fingerprints(spark, sf):
+    """Seeds written to a fingerprint table and read back."""
+    train, _ = parts(spark, sf)
+    path = shared_dir(spark, "fingerprints")
+    write_fingerprints(train_seeds(train, train_center(train)), path)
+    return _long_seeds(read_fingerprints(spark, path, "identity", ["label", "acc", "bits"]))
+
+
 @query("retrieve_banded")
 def retrieve_banded(spark, sf):
     """Banded retrieval at 10,000 dimensions: messages closest to each other message's vector."""

@@ -12,6 +12,8 @@ from speakerprint.functions.mixing import coin_sql
 from speakerprint.operators import abtest as A
 from speakerprint.operators import tasks as K
 from speakerprint.plans.catalog import query, table, wide_table
+from speakerprint.session import shared_dir
+from speakerprint.sources.results import read_results, write_results
 
 _K = "CAST(get_json_object(props, '$.k') AS BIGINT)"
 _KQ = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -147,6 +149,15 @@ def ab_comparison(spark, sf):
     return A.compare_models(_trials(spark, sf))
 
 
+@query("stored_results", f"WITH {_REPLIES} SELECT *, {_verdict_sql(65)} AS verdict FROM (SELECT model, {_STATS} FROM {_counted('model')})")
+def stored_results(spark, sf):
+    """The comparison as written to and read from the experiment's result tables."""
+    path = shared_dir(spark, "results")
+    trials = _trials(spark, sf).withColumn("resp_with", F.col("reply"))
+    write_results(trials, path, "derived")
+    return read_results(spark, path, "summary").drop("experiment", "written_at")
+
+
 @query(
     "ab_combined",
     f"""WITH {_REPLIES}, st AS (SELECT model, {_STATS} FROM {_counted('model')}),

@@ -21,8 +21,8 @@ def read_messages(spark: SparkSession, path: str | list[str], format: str = "jso
 
     A document is an array of ``{role, content}`` objects, an array of strings, or an object
     with ``messages``; with ``lines`` every line is one document. Strings have no role and
-    ``bare`` = true. The array index is ``turn``. Documents that do not parse give one row
-    with null turn and ``error`` set, so that they are reported and not lost.
+    ``bare`` = true. The array index is ``turn``. Documents that do not parse or hold no message
+    give one row with null turn and ``error`` set, so that they are reported and not lost.
     ``format="parquet"`` reads an existing ``(conv_id, turn, role, text)`` table.
     """
     if format == "parquet":
@@ -36,22 +36,13 @@ def read_messages(spark: SparkSession, path: str | list[str], format: str = "jso
     kind = F.schema_of_variant("v")
     items = F.coalesce(F.col("v").try_cast("array<variant>"), F.try_variant_get("v", F.lit("$.messages"), "array<variant>"))
     listed = parsed.select("source", kind.alias("kind"), items.alias("items"))
-    good = listed.where(F.col("items").isNotNull()).select("source", F.posexplode("items").alias("turn", "m"))
+    rows = listed.select("source", "kind", F.posexplode_outer("items").alias("turn", "m"))
     is_object = F.schema_of_variant("m").startswith("OBJECT")
-    messages = good.select(
+    return rows.select(
         "source",
         F.col("turn").cast("bigint").alias("turn"),
         F.when(is_object, F.try_variant_get("m", F.lit("$.role"), "string")).alias("role"),
         F.when(is_object, F.try_variant_get("m", F.lit("$.content"), "string")).otherwise(F.col("m").try_cast("string")).alias("text"),
-        (~is_object).alias("bare"),
-        F.lit(None).cast("string").alias("error"),
+        F.coalesce(~is_object, F.lit(False)).alias("bare"),
+        F.when(F.col("kind").isNull(), "not JSON").when(F.col("turn").isNull(), "no messages").alias("error"),
     )
-    bad = listed.where(F.col("items").isNull()).select(
-        "source",
-        F.lit(None).cast("bigint").alias("turn"),
-        F.lit(None).cast("string").alias("role"),
-        F.lit(None).cast("string").alias("text"),
-        F.lit(False).alias("bare"),
-        F.when(F.col("kind").isNull(), "not JSON").otherwise("no messages").alias("error"),
-    )
-    return messages.unionByName(bad)
