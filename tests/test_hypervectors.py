@@ -1,7 +1,6 @@
 """Seeds against a plain numpy reading of the definition, and the algebra of their parts."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
