@@ -32,13 +32,17 @@ def get_session(app: str = "speakerprint", cpus: int | str = 8, shuffle_partitio
 def shared_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder below ``spark.checkpoint.dir`` (the folder all executors share).
 
-    Only where the session names none (local tests) a temporary folder is chosen and
-    recorded on the session.
+    Only where the session names none (local tests) a temporary folder is chosen, once per
+    Spark context.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="speakerprint-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        sc = spark.sparkContext
+        root = getattr(sc, "_speakerprint_scratch", None)
+        if root is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+            root = sc._speakerprint_scratch = tempfile.mkdtemp(prefix="speakerprint-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -69,6 +69,15 @@ def test_banded_recall_and_no_false_hit(coded):
     assert len(got) >= 0.9 * len(want)
 
 
+def test_hot_bands_are_cut_into_cells(coded):
+    q, c, _ = coded
+    qb, cb = J.band_keys(q, 16), J.band_keys(J._candidate_columns(c), 16, bits="cbits")
+    keys = ["band", "band_value"]
+    whole = hits(J._by_blocks(qb, cb, keys, 100, 0.75, DIM))
+    assert len(whole) > 60
+    assert hits(J._by_blocks(qb, cb, keys, 100, 0.75, DIM, query_block=2, candidate_block=3)) == whole
+
+
 def test_retrieve_adds_summary(spark, coded):
     q, c, _ = coded
     reg = spark.createDataFrame([("c001", "one"), ("c002", "two")], "id string, summary string")
