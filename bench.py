@@ -1,7 +1,7 @@
 """Time the headline queries on one local Spark session and print one JSON line.
 
-Every query is executed in full to the ``noop`` sink, after one warm-up run of a small query
-that starts the Python workers. ``BENCH_QUERIES`` picks queries by name (comma separated).
+Every query is executed in full to the ``noop`` sink, once, after a warm-up that starts the
+Python workers and runs one small query. ``BENCH_QUERIES`` picks queries by name (comma separated).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from speakerprint.plans.catalog import all_queries, table  # noqa: E402
-from speakerprint.session import get_session  # noqa: E402
+from speakerprint.session import get_session, ship  # noqa: E402
 
 HEADLINE = (
     "message_positions",
@@ -58,6 +58,22 @@ INPUT = {
 }
 
 
+def warm_up(spark, workers: int) -> None:
+    """Start one Python worker per core and let it import the package."""
+
+    def touch(batches):
+        import time
+
+        import speakerprint.operators.hypervectors  # noqa: F401
+
+        for batch in batches:
+            time.sleep(0.5)
+            yield batch
+
+    ship(spark)
+    spark.range(0, workers, 1, workers).mapInArrow(touch, "id bigint").write.format("noop").mode("overwrite").save()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -65,6 +81,7 @@ def main() -> None:
     spark = get_session("speakerprint-bench", cpus, int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
+    warm_up(spark, int(cpus) if cpus.isdigit() else 8)
     queries["message_hypervectors"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     counts = {t: table(spark, sf_dir, t).count() for t in {"embeddings", *INPUT.values()}}
     times, rates = {}, {}

@@ -37,9 +37,12 @@ def embed(
         return df.withColumn(out, F.col(column).cast("array<float>"))
     if method == "hash":
         lower = df.withColumn("__t", F.lower(F.coalesce(F.col(text), F.lit(""))))
-        starts = F.when(F.length("__t") >= ngram, F.sequence(F.lit(1), F.length("__t") - (ngram - 1)))
-        grams = F.transform(starts, lambda i: F.substring(F.col("__t"), i, F.lit(ngram)))
-        tokens = lower.withColumn("__g", F.coalesce(grams, F.array("__t")))
+        letters = lower.withColumn("__c", F.split("__t", ""))
+        grams = F.col("__c")
+        for j in range(2, ngram + 1):
+            grams = F.zip_with(grams, F.slice("__c", j, F.size("__c")), lambda a, b: F.concat(a, b))
+        whole = F.filter(grams, lambda g: g.isNotNull())
+        tokens = letters.withColumn("__g", F.when(F.length("__t") >= ngram, whole).otherwise(F.array("__t"))).drop("__c")
         counted = HashingTF(inputCol="__g", outputCol="__tf", numFeatures=dim).transform(tokens)
         weighted = IDF(inputCol="__tf", outputCol="__w").fit(counted).transform(counted)
         return weighted.withColumn(out, vector_to_array("__w", "float32")).drop("__t", "__g", "__tf", "__w")

@@ -18,7 +18,7 @@ from speakerprint.operators.embed import embed
 from speakerprint.operators.messages import select_messages, split
 from speakerprint.plans.catalog import query, table
 from speakerprint.plans.registry_queries import REGISTRY_SQL, registry_rows
-from speakerprint.session import shared_dir
+from speakerprint.session import materialised, shared_dir
 from speakerprint.sources.fingerprints import read_fingerprints, write_fingerprints
 from speakerprint.streaming.fingerprints import read_stream_fingerprints, stream_fingerprints
 
@@ -197,7 +197,8 @@ def speaker_fingerprints(spark, sf):
 def conversation_fingerprints(spark, sf):
     """From text to fingerprint: user messages, hashed n-gram vectors, a seed per conversation."""
     users = select_messages(table(spark, sf, "conversations")).select("conv_id", "turn", "text")
-    seeds = H.fingerprints(embed(users, "hash"), "conv_id", "turn", keep_acc=False)
+    vectors = materialised(embed(users, "hash").select("conv_id", "turn", "embedding"), "vectors")
+    seeds = H.fingerprints(vectors, "conv_id", "turn", keep_acc=False)
     ones = F.aggregate("bits", F.lit(0), lambda s, w: s + F.bit_count(w))
     return seeds.select("conv_id", "n", ones.alias("ones"))
 
