@@ -53,6 +53,24 @@ ENDINGS = {
 }
 
 
+#: Some part of every form of address.
+STEMS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Señor", "Sr", "Signor", "господин", "госпожа", "г-н", "г-жа")
+
+
+def likely(text: Column) -> Column:
+    """Whether a text can hold an entity: cheap, and true wherever ``ENTITY`` matches."""
+    out = text.rlike("[0-9@]")
+    for stem in STEMS:
+        out = out | text.contains(stem)
+    return out
+
+
+def matches(text: Column) -> Column:
+    """All matched strings of a text in order."""
+    none = F.expr("array()").cast("array<string>")
+    return F.when(likely(text), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
+
+
 def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -152,13 +170,12 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
-def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct (surface, part, kind, canon): matched strings and the entities in them.
+def mentions(surfaces: DataFrame) -> DataFrame:
+    """(surface, type, part, kind, canon) of distinct matched strings: the entities in them.
 
     A name has up to two entities: the given name (part 1 of two words) and the surname.
     """
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)))).alias("surface")).distinct()
-    found = found.withColumn("type", entity_type(F.col("surface")))
+    found = surfaces.select("surface").distinct().withColumn("type", entity_type(F.col("surface")))
     words = F.split("surface", r"[ -](?=\p{Lu})")
     female = F.col("surface").rlike("^(?:" + "|".join(FEMALE) + r")\.? ")
     script = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
@@ -207,15 +224,15 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY, count:
 
     Matches are found once per distinct string; each text then gets a map of its own matches.
     """
-    matched = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0)))
-    pairs = docs.select(content_key(F.col(text)).alias("__key"), F.explode(matched).alias("surface")).distinct()
-    found = materialised(mentions(docs, text), "surrogate-mentions")
+    matched = docs.where(likely(F.col(text))).select(F.col(text).alias("__text"), F.explode(F.array_distinct(matches(F.col(text)))).alias("surface"))
+    pairs = materialised(matched.select(content_key(F.col("__text")).alias("__key"), "surface").distinct(), "surrogate-places")
+    found = materialised(mentions(pairs), "surrogate-mentions")
     table = surrogate_table(found.select("kind", "canon"), key)
     known = replacements(found, table)
     maps = pairs.join(known, "surface").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("__map"))
     joined = docs.withColumn("__key", content_key(F.col(text))).join(maps, "__key", "left")
     parts = F.split(F.col(text), ENTITY, -1)
-    hits = F.regexp_extract_all(F.col(text), F.lit(ENTITY), F.lit(0))
+    hits = matches(F.col(text))
     filled = F.zip_with(parts, F.transform(hits, lambda h: F.coalesce(F.element_at("__map", h), h)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.when(F.col("__map").isNull(), F.col(text)).otherwise(F.array_join(filled, ""))
     out = joined.withColumn("__text", changed)
