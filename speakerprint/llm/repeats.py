@@ -7,9 +7,10 @@ is the neighbour before. So suffixes are sharded such that equal ones meet, and
 * Sharding. Every window of ``min_len`` bytes has one anchor, the least hash of its ``GRAM``-byte grams
   (the last of equal ones). Equal windows have equal anchors at equal offsets. Anchors that occur once in
   the corpus end the search for their windows; they are most of the text.
-* Windows with one anchor lie side by side and travel as one run of bytes. Equal runs of one anchor are
-  counted first, so that a passage in a third of all documents is one row. Different runs of one anchor
-  meet in one array of suffixes; anchors with more than ``MANY`` runs, such as the end of a frequent
+* Windows with one anchor lie side by side and make one run, which a hash stands for. Where an anchor only
+  has equal runs, all its windows are repeated and no bytes move. Otherwise the bytes of one of each equal
+  runs are fetched, so that a passage in a third of all documents is one row, and the different runs of an
+  anchor meet in one array of suffixes; anchors with more than ``MANY`` runs, such as the end of a frequent
   passage, are resolved by grouping the hashes of single windows instead.
 * Texts are taken by content: copies of a document take part once and are repeated as a whole.
 
@@ -19,11 +20,11 @@ copies count. Equal texts are ordered by doc_id; repeated rows are repeats of ea
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from speakerprint.llm.common import as_bytes, content_key, map_batches, material
 
 MIN_LEN = 200
 GRAM = 40
-MANY = 1024
+#: Different runs of an anchor that are sorted together: some 350 bytes each.
+MANY = 16_384
 #: Bytes of a text that are looked at together; positions within take 24 bits.
 CHUNK = 1 << 22
 #: Stands for a null doc_id.
@@ -107,46 +109,48 @@ def _unpacked(packed: bytes) -> bytes:
     return zstandard.decompress(packed) if packed else b""
 
 
+def _digests(text: bytes, first: np.ndarray, stop: np.ndarray, offset: np.ndarray, min_len: int) -> list[int]:
+    """64 bits that stand for each run: its bytes and the place of its anchor."""
+    ends = (stop + (min_len - 1)).tolist()
+    runs = zip(first.tolist(), ends, offset.tolist())
+    return [xxhash.xxh3_64_intdigest(text[s:e], o) - (1 << 63) for s, e, o in runs]
+
+
 def anchors(docs: DataFrame, min_len: int) -> DataFrame:
-    """(anchor, key, n) of every text: how often it has an anchor."""
+    """(anchor, run, key, first, windows): the runs of every text, without their bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        key, anchor, count = [], [], []
+        key, digest, parts = [], [], []
         for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            for h, *_ in runs_of(text, min_len):
-                values, n = np.unique(h, return_counts=True)
-                anchor.append(values)
-                count.append(n)
-                key += [k] * len(values)
+            for h, first, stop, offset in runs_of(text, min_len):
+                parts.append((h, first, (stop - first).astype(np.int32)))
+                digest += _digests(text, first, stop, offset, min_len)
+                key += [k] * len(h)
         if not key:
             return None
-        columns = [pa.array(np.concatenate(anchor)), pa.array(key, pa.binary()), pa.array(np.concatenate(count).astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "n"])
+        h, first, windows = (pa.array(np.concatenate(c)) for c in zip(*parts))
+        columns = [h, pa.array(digest, pa.int64()), pa.array(key, pa.binary()), first, windows]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "key", "first", "windows"])
 
-    return map_batches(docs.select("key", "text"), run, "anchor bigint, key binary, n bigint")
+    return map_batches(docs.select("key", "text"), run, "anchor bigint, run bigint, key binary, first bigint, windows int")
 
 
-def _runs(joined: DataFrame, min_len: int) -> DataFrame:
-    """(anchor, run, key, first, windows, payload) of the wanted anchors of each text."""
+def _payloads(joined: DataFrame, min_len: int) -> DataFrame:
+    """(anchor, run, key, first, payload) of the wanted runs of each text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
         for k, packed, wanted in zip(*[batch.column(c).to_pylist() for c in ("key", "packed", "wanted")]):
             text = _unpacked(packed)
-            wanted = np.array(wanted, dtype=np.int64)
-            for h, first, stop, offset in runs_of(text, min_len):
-                for i in np.flatnonzero(np.isin(h, wanted)).tolist():
-                    payload = text[first[i] : stop[i] + min_len - 1]
-                    digest = hashlib.blake2b(payload, digest_size=16, salt=int(offset[i]).to_bytes(8, "little")).digest()
-                    rows.append((int(h[i]), digest, k, int(first[i]), int(stop[i] - first[i]), payload))
+            for w in wanted:
+                rows.append((w["anchor"], w["run"], k, w["first"], text[w["first"] : w["first"] + w["windows"] + min_len - 1]))
         if not rows:
             return None
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["anchor", "run", "key", "first", "windows", "payload"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        names = ["anchor", "run", "key", "first", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    schema = "anchor bigint, run binary, key binary, first bigint, windows int, payload binary"
-    return map_batches(joined.select("key", "packed", "wanted"), run, schema)
+    return map_batches(joined.select("key", "packed", "wanted"), run, "anchor bigint, run bigint, key binary, first bigint, payload binary")
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -183,13 +187,13 @@ def _resolve_small(groups: DataFrame, min_len: int) -> DataFrame:
                     rows.append((anchor, m["run"], _spans(shared[s:e] | (m["n"] > 1)), _spans(earlier[s:e])))
         if not rows:
             return None
-        kinds = [pa.int64(), pa.binary(), _SPAN, _SPAN]
+        kinds = [pa.int64(), pa.int64(), _SPAN, _SPAN]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["anchor", "run", "shared", "earlier"])
 
     return map_batches(groups.select("anchor", "members"), run, RESOLVED)
 
 
-RESOLVED = "anchor bigint, run binary, shared array<struct<start:int,stop:int>>, earlier array<struct<start:int,stop:int>>"
+RESOLVED = "anchor bigint, run bigint, shared array<struct<start:int,stop:int>>, earlier array<struct<start:int,stop:int>>"
 
 
 def _resolve_large(runs: DataFrame, min_len: int) -> DataFrame:
@@ -204,7 +208,7 @@ def _resolve_large(runs: DataFrame, min_len: int) -> DataFrame:
         )
 
     place = "place struct<key:binary,first:bigint>"
-    rows = map_batches(runs.select("anchor", "run", "place", "n", "payload"), each, f"suffix bigint, at int, anchor bigint, run binary, {place}, n bigint")
+    rows = map_batches(runs.select("anchor", "run", "place", "n", "payload"), each, f"suffix bigint, at int, anchor bigint, run bigint, {place}, n bigint")
     found = rows.groupBy("anchor", "suffix").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("least"))
     both = rows.join(found, ["anchor", "suffix"]).where("c > 1 OR n > 1")
     window = F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("stop"))
@@ -220,35 +224,46 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     ``docs`` has (doc_id, key, text), with the content key of each text.
     """
     found = anchors(docs.where(F.octet_length("text") >= min_len), min_len)
-    by_text = found.groupBy("anchor", "key").agg(F.max("n").alias("n"))
-    repeated = by_text.groupBy("anchor").agg(F.sum("n").alias("c")).where("c > 1").select("anchor")
-    wanted = by_text.join(repeated, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("wanted"))
-    keepers = docs.groupBy("key").agg(F.min("doc_id").alias("keeper"))
-    one = wanted.join(keepers, "key")
-    texts = _packed(docs)
-    joined = texts.join(one.withColumnRenamed("keeper", "doc_id"), ["key", "doc_id"])
-    occurrences = materialised(_runs(joined, min_len).dropDuplicates(["key", "first"]), "repeat-runs")
-    place = F.min(F.struct("key", "first")).alias("place")
-    runs = occurrences.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), place, F.first("payload").alias("payload"))
-    runs = materialised(runs, "repeat-kinds")
-    kinds = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = kinds.withColumnRenamed("anchor", "a")
-    sized = runs.join(kinds, F.col("anchor") == F.col("a")).drop("a")
-    members = F.collect_list(F.struct("run", "n", "place", "payload")).alias("members")
-    small = _resolve_small(sized.where(F.col("kinds") <= MANY).groupBy("anchor").agg(members), min_len)
-    large = _resolve_large(sized.where(F.col("kinds") > MANY), min_len)
-    resolved = small.unionAll(large)
-    at = occurrences.select("anchor", "run", "key", "first", "windows")
-    first_place = runs.select("anchor", "run", "place")
-    back = at.join(resolved.join(first_place, ["anchor", "run"]), ["anchor", "run"])
+    # Copies of a text have equal rows; counted as one, for a copied text is removed as a whole anyway.
+    facts = found.groupBy("anchor").agg(
+        F.min(F.struct("key", "first")).alias("lo"), F.max(F.struct("key", "first")).alias("hi"), F.min("run").alias("lo_run"), F.max("run").alias("hi_run")
+    )
+    facts = facts.where("lo <> hi").select(F.col("anchor"), "lo", (F.col("lo_run") != F.col("hi_run")).alias("mixed"))
+    repeated = materialised(found.join(facts, "anchor").distinct(), "repeat-runs")
+    # Anchors with equal runs only: every window is shared, and new in the least place alone.
+    at = F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("windows") + (min_len - 1)).alias("stop")))
+    no_span = F.expr("array()").cast("array<struct<start:bigint,stop:bigint>>")
+    place = F.struct("key", "first")
+    plain = repeated.where("NOT mixed").select("key", at.alias("shared"), F.when(place == F.col("lo"), no_span).otherwise(at).alias("earlier"))
+    mixed = repeated.where("mixed").select("anchor", "run", "key", "first", "windows")
+    resolved = _resolved(mixed, docs, min_len)
+    back = mixed.join(resolved, ["anchor", "run"])
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("windows").alias("stop")))
-    is_first = F.struct("key", "first") == F.col("place")
 
     def moved(spans):
         return F.transform(spans, lambda x: F.struct((x.start + F.col("first")).alias("start"), (x.stop + F.col("first") + (min_len - 1)).alias("stop")))
 
-    placed = back.select("key", moved(F.col("shared")).alias("shared"), moved(F.when(is_first, F.col("earlier")).otherwise(whole)).alias("earlier"))
-    return placed.groupBy("key").agg(F.flatten(F.collect_list("shared")).alias("shared"), F.flatten(F.collect_list("earlier")).alias("earlier"))
+    others = back.select("key", moved(F.col("shared")).alias("shared"), moved(F.when(place == F.col("place"), F.col("earlier")).otherwise(whole)).alias("earlier"))
+    spans = plain.unionByName(others)
+    return spans.groupBy("key").agg(F.flatten(F.collect_list("shared")).alias("shared"), F.flatten(F.collect_list("earlier")).alias("earlier"))
+
+
+def _resolved(mixed: DataFrame, docs: DataFrame, min_len: int) -> DataFrame:
+    """(anchor, run, shared, earlier, place) of runs whose anchors have others; places of the text are in the first of equal runs."""
+    kinds = mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first")).alias("place"), F.first("windows").alias("windows"))
+    kinds = materialised(kinds, "repeat-kinds")
+    wanted = kinds.select("anchor", "run", F.col("place.key").alias("key"), F.col("place.first").alias("first"), "windows")
+    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "first", "windows")).alias("wanted"))
+    keepers = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    joined = _packed(docs).join(wanted.join(keepers, "key"), ["key", "doc_id"]).dropDuplicates(["key", "doc_id"])
+    payloads = _payloads(joined, min_len).select("anchor", "run", "payload")
+    sizes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    runs = kinds.select("anchor", "run", "n", "place").join(sizes, "anchor").join(payloads, ["anchor", "run"])
+    runs = materialised(runs, "repeat-payloads")
+    members = F.collect_list(F.struct("run", "n", "place", "payload")).alias("members")
+    small = _resolve_small(runs.where(F.col("kinds") <= MANY).groupBy("anchor").agg(members), min_len)
+    large = _resolve_large(runs.where(F.col("kinds") > MANY), min_len)
+    return materialised(small.unionByName(large), "repeat-resolved").join(kinds.select("anchor", "run", "place"), ["anchor", "run"])
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
