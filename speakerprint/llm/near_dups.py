@@ -4,10 +4,12 @@ A document is the set of its distinct 5-word shingles. Equal sets are one class
 only one document of each takes part in the join. Every independent tree branches documents down
 chosen paths: at a node, ``BRANCHES`` of the minwise tokens are drawn by a hash of the node, and a
 document goes on to the child named by its own values there. Nodes with one document end. Nodes of
-up to ``SMALL`` documents compare all their pairs by minwise tokens. In a larger node every document
-is compared with one pivot: those near to it are one class within the node, and only children that
-hold documents of several classes are branched further. So a group of thousands of near copies is
-one pass of comparisons, not all its pairs.
+up to ``SMALL`` documents compare all their pairs by minwise tokens, and each document proposes its most
+similar partners. In a larger node every document is compared with one pivot, the one that agrees most
+with the node's frequent tokens: those near to it are one class within the node, and only children that
+hold documents of several classes are branched further. So the pairs handed on grow with the documents of
+a node, also where thousands of near copies meet, and links that a node leaves out join what its other
+links join already.
 
 Two documents that agree at the threshold (0.75) share a child with probability 1 - 0.25^2 per level
 and meet in a given tree with probability over 0.88; ``TREES`` trees miss them with less than 4e-6.
@@ -36,11 +38,14 @@ THRESHOLD = 75
 MINHASHES = 128
 TREES = 6
 BRANCHES = 2
-#: Documents of a node whose pairs are all compared, levels of a tree, and agreeing tokens for a candidate and for a class.
-SMALL = 48
-LEVELS = 6
-CANDIDATE = 76
-NEAR = 112
+#: Documents of a node whose pairs are all compared, partners each proposes, levels of a tree, and tokens that vote for a pivot.
+SMALL = 64
+PARTNERS = 3
+LEVELS = 2
+VOTES = 16
+#: Agreeing tokens for a candidate and for a class within a node.
+CANDIDATE = 80
+NEAR = 102
 _PRIME = np.uint64((1 << 61) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,25 +150,55 @@ def _roots(names: DataFrame) -> DataFrame:
 
 
 def _leaf_pairs(small: DataFrame) -> DataFrame:
-    """Pairs of small nodes that agree in enough tokens."""
+    """Pairs of small nodes: all are compared, and each document keeps its ``PARTNERS`` most similar ones of other classes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        a, b = [], []
+        pairs = set()
         for members in batch.column("members").to_pylist():
             members.sort(key=lambda m: m["name"])
-            names, labels = [m["name"] for m in members], [m["label"] for m in members]
+            names = [m["name"] for m in members]
+            classes = np.unique([m["label"] for m in members], return_inverse=True)[1]
             tokens = np.frombuffer(b"".join(m["tokens"] for m in members), dtype=np.int32).reshape(len(members), MINHASHES)
-            for i in range(len(members) - 1):
-                for j in np.flatnonzero((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= CANDIDATE).tolist():
-                    if labels[i] != labels[i + 1 + j] and names[i] != names[i + 1 + j]:
-                        a.append(names[i])
-                        b.append(names[i + 1 + j])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]) if a else None
+            same = np.stack([(tokens == t).sum(axis=1) for t in tokens])
+            same[classes[:, None] == classes[None, :]] = -1
+            best = np.argsort(-same, axis=1, kind="stable")[:, :PARTNERS]
+            for i, row in enumerate(best):
+                pairs |= {(min(names[i], names[j]), max(names[i], names[j])) for j in row.tolist() if same[i, j] >= CANDIDATE}
+        if not pairs:
+            return None
+        a, b = zip(*sorted(pairs))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     nodes = small.groupBy("node").agg(F.collect_list(F.struct("name", "label", "tokens")).alias("members")).select("members")
     return map_batches(nodes, run, "a binary, b binary")
 
 
+def _pivots(large: DataFrame) -> DataFrame:
+    """(node, pivot, pivot_tokens): the document that agrees most with the most frequent tokens of its node.
+
+    Near copies of one text agree with it more than with each other, so that the text itself is found.
+    """
+
+    def votes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = _tokens(batch)[:, :VOTES]
+        node = pa.array(np.repeat(batch.column("node").to_numpy(), VOTES))
+        place = pa.array(np.tile(np.arange(VOTES, dtype=np.int32), len(tokens)))
+        return pa.RecordBatch.from_arrays([node, place, pa.array(tokens.reshape(-1))], names=["node", "place", "value"])
+
+    counted = map_batches(large.select("node", "tokens"), votes, "node bigint, place int, value int").groupBy("node", "place", "value").agg(F.count(F.lit(1)).alias("c"))
+    frequent = counted.groupBy("node", "place").agg(F.max(F.struct("c", "value")).alias("top"))
+    frequent = frequent.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "top.value"))).alias("votes"))
+
+    def agree(batch: pa.RecordBatch) -> pa.RecordBatch:
+        top = np.array([[v["value"] for v in x] for x in batch.column("votes").to_pylist()], dtype=np.int32)
+        same = (_tokens(batch)[:, :VOTES] == top).sum(axis=1)
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "name", "tokens")], pa.array(same, pa.int64())], names=["node", "name", "tokens", "same"])
+
+    rated = map_batches(large.join(frequent, "node").select("node", "name", "tokens", "votes"), agree, "node bigint, name binary, tokens binary, same bigint")
+    best = rated.groupBy("node").agg(F.max(F.struct("same", F.xxhash64("node", "name").alias("o"), "name", "tokens")).alias("p"))
+    return best.select("node", F.col("p.name").alias("pivot"), F.col("p.tokens").alias("pivot_tokens"))
+
+
 def _agreement(rows: DataFrame) -> DataFrame:
     """Agreeing tokens of each document and the pivot of its node."""
 
@@ -186,42 +221,32 @@ def candidates(sets: DataFrame) -> DataFrame:
     rows = materialised(rows, "near-level")
     found = []
     for level in range(1, LEVELS + 1):
-        order = F.xxhash64("node", "name")
-        stats = rows.groupBy("node").agg(
-            F.count(F.lit(1)).alias("c"), F.min(F.struct(order.alias("o"), "name", "tokens")).alias("p"),
-            F.min("label").alias("lo"), F.max("label").alias("hi"),
-        ).where("lo <> hi")
+        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         small = rows.join(stats.where(F.col("c") <= SMALL).select("node"), "node")
         found.append(materialised(_leaf_pairs(small).distinct(), "near-pairs"))
-        pivots = stats.where(F.col("c") > SMALL).select("node", F.col("p.name").alias("pivot"), F.col("p.tokens").alias("pivot_tokens"))
-        large = materialised(_agreement(rows.join(pivots, "node")), "near-large")
-        if large.isEmpty():
+        wide = materialised(rows.join(stats.where(F.col("c") > SMALL).select("node", "c"), "node"), "near-wide")
+        if wide.isEmpty():
             break
+        large = materialised(_agreement(wide.join(_pivots(wide), "node")), "near-large")
         near = large.where((F.col("same") >= CANDIDATE) & (F.col("name") != F.col("pivot")))
-        found.append(near.select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b")))
-        label = F.when(F.col("same") >= NEAR, F.col("pivot")).otherwise(F.col("label"))
-        rows = large.withColumn("label", label)
-        open_nodes = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
-        rows = materialised(_children(rows.join(open_nodes, "node"), level), "near-level")
-    else:
-        found.append(_last_pairs(rows))
+        found.append(near.select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b")).distinct())
+        rows = large.withColumn("label", F.when(F.col("same") >= NEAR, F.col("pivot")).otherwise(F.col("label")))
+        open_nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        rows = rows.join(open_nodes.select("node", "c"), "node")
+        if level == LEVELS:
+            found.append(_leaf_pairs(_cells(rows)))
+        else:
+            rows = materialised(_children(rows, level), "near-level")
     pairs = found[0]
     for p in found[1:]:
         pairs = pairs.unionAll(p)
     return pairs.distinct()
 
 
-def _last_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of the nodes that are still large after the last level: in cells of bounded size, of differing labels."""
-    n = F.count(F.lit(1))
-    wide = rows.groupBy("node").agg(n.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(
-        "node", F.ceil(F.col("c") / SMALL).cast("int").alias("parts")
-    )
-    dealt = rows.join(wide, "node").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = dealt.select("*", other.alias("q")).withColumn("cell", F.concat_ws(",", F.least("part", "q"), F.greatest("part", "q")))
-    cells = cells.select(F.xxhash64("node", "cell").alias("node"), "name", "label", "tokens")
-    return _leaf_pairs(cells.dropDuplicates(["node", "name"]))
+def _cells(rows: DataFrame) -> DataFrame:
+    """Nodes that are still large after the last level, dealt into small ones by a hash."""
+    part = F.pmod(F.xxhash64("name", "node"), F.ceil(F.col("c") / SMALL)).cast("int")
+    return rows.select(F.xxhash64("node", part).alias("node"), "name", "label", "tokens")
 
 
 def _overlap(batch: pa.RecordBatch) -> pa.RecordBatch | None:
