@@ -87,7 +87,8 @@ def list_matrix(column: pa.Array, dtype) -> np.ndarray:
     if n == 0:
         return np.zeros((0, 0), dtype=dtype)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) % n:
+    lengths = np.diff(column.offsets.to_numpy())
+    if column.null_count or (lengths != lengths[0]).any():
         raise ValueError("vectors in one column must all have the same length")
     return flat.astype(dtype, copy=False).reshape(n, -1)
 

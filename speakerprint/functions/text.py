@@ -12,6 +12,8 @@ from speakerprint.functions.vectors import as_col
 # White space trimmed and split on (ASCII only, so that engines agree).
 SPACE = " \t\n\r"
 SPLIT = "[ \\t\\n\\r]+"
+# White space that a script's trim removes, the byte order mark included.
+SCRIPT_SPACE = " \t\n\r\x0b\x0c\xa0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words(text: str | Column) -> Column:
@@ -28,10 +30,15 @@ def strip(text: str | Column) -> Column:
     return F.btrim(as_col(text), F.lit(SPACE))
 
 
+def script_strip(text: str | Column) -> Column:
+    """Trim what a script's trim removes on both sides."""
+    return F.btrim(as_col(text), F.lit(SCRIPT_SPACE))
+
+
 def unfence(text: str | Column, any_case: bool = False) -> Column:
     """Remove Markdown code fences (``` or ```json) and trim."""
     pattern = "```json|```"
-    return strip(F.regexp_replace(as_col(text), ("(?i)" if any_case else "") + pattern, ""))
+    return script_strip(F.regexp_replace(as_col(text), ("(?i)" if any_case else "") + pattern, ""))
 
 
 def explode_items(df: DataFrame, keep: Sequence[str], array: str, name: str) -> DataFrame:

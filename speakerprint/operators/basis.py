@@ -234,21 +234,23 @@ def speaker_stats(df: DataFrame, by: str, vec: str = "embedding", scale: int = p
     Spark combines them map-side per (speaker, dimension).
     """
     q = F.round(F.col("x").cast("double") * F.lit(float(scale))).cast("bigint")
-    wide = "decimal(38,0)"
+    square = F.col("q").cast("decimal(19,0)") * F.col("q").cast("decimal(19,0)")
     sums = (
         df.select(by, F.posexplode(vec).alias("dim", "x"))
         .withColumn("q", q)
         .groupBy(by, "dim")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("s"), F.sum((F.col("q") * F.col("q")).cast("decimal(20,0)")).alias("ss"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("decimal(20,0)")).alias("s"), F.sum(square.cast("decimal(28,0)")).alias("ss"))
     )
     n, s = F.col("n").cast("double"), F.col("s").cast("double")
-    spread = (F.col("n").cast("decimal(18,0)") * F.col("ss").cast("decimal(20,0)")).cast(wide) - (
-        F.col("s").cast("decimal(19,0)") * F.col("s").cast("decimal(19,0)")
-    ).cast(wide)
+    # n * ss - s^2 = n * (ss - s * whole) - s * rest, with s = n * whole + rest: no factor of n^2 arises.
+    whole = F.floor(F.col("s") / F.col("n")).cast("decimal(19,0)")
+    rest = (F.col("s") - whole * F.col("n").cast("decimal(18,0)")).cast("decimal(19,0)")
+    centred = (F.col("ss") - (F.col("s") * whole).cast("decimal(38,0)")).cast("decimal(38,0)").cast("double")
+    spread = centred * n - rest.cast("double") * s
     return sums.select(
         by,
         F.col("dim").cast("bigint").alias("dim"),
         "n",
         (s / n / F.lit(float(scale))).alias("mean"),
-        (spread.cast("double") / (n * n) / F.lit(float(scale) ** 2)).alias("var"),
+        (spread / (n * n) / F.lit(float(scale) ** 2)).alias("var"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speakerprint.functions.jsontext import has_key, strict_object
-from speakerprint.functions.text import explode_items, run_hashes, word_count, words
+from speakerprint.functions.text import explode_items, run_hashes, script_strip, word_count, words
 from speakerprint.functions.vectors import as_col
 from speakerprint.operators.scale import HOT_ROWS, spread_join
 
@@ -65,7 +65,7 @@ def normalise_manifest(archives: DataFrame, mode: str = "lenient") -> DataFrame:
     ``strict`` reads the contract's names only; ``lenient`` also takes the earlier tool names.
     """
     aliases = (MANIFEST_ALIASES, METADATA_ALIASES) if mode == "lenient" else ({}, {})
-    parsed = archives.withColumn("__m", strict_object(F.trim("manifest_json"))).withColumn("__d", strict_object(F.trim("metadata_json")))
+    parsed = archives.withColumn("__m", strict_object(script_strip("manifest_json"))).withColumn("__d", strict_object(script_strip("metadata_json")))
 
     def field(source: str, name: str, typ: str, alias: dict[str, str]) -> Column:
         value = F.try_variant_get(source, F.lit(f"$.{name}"), typ)
@@ -96,8 +96,8 @@ def validate(archives: DataFrame, mode: str = "strict") -> DataFrame:
     """
     lenient = mode == "lenient"
     df = (
-        archives.withColumn("__m", strict_object(F.trim("manifest_json")))
-        .withColumn("__d", strict_object(F.trim("metadata_json")))
+        archives.withColumn("__m", strict_object(script_strip("manifest_json")))
+        .withColumn("__d", strict_object(script_strip("metadata_json")))
         .withColumn("__words", F.when(F.col("summary_utf8"), word_count("summary")))
     )
 
