@@ -200,10 +200,11 @@ def k_ablation(
 
     One shared basis is fitted on the training rows. A row is projected once and exploded over
     ``ks`` with its later components zeroed, which equals truncation since the first k rows of
-    the sign matrix do not depend on k.
+    the sign matrix do not depend on k. A k above the components there are uses all of them; its
+    row is kept.
     """
     basis = fit_shared_basis(train, vec, max(ks))
-    ks = [k for k in ks if k <= len(basis.components)]
+    ks = sorted(set(ks))
 
     def encoded(df: DataFrame) -> DataFrame:
         projected = project(df, basis, vec)

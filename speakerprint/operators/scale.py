@@ -8,13 +8,17 @@ All helpers work on blocks: an integer order column cut into ranges of at most
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
 HOT_ROWS = 1_000_000
-MAX_FANOUT = 1_024
+#: Salts for rows of ``spread_join`` with a null key, which match nothing wherever they go.
+NULL_SALTS = 1 << 30
+PLACE = "__place"
 
 
 def block_of(order: str, block_rows: int = BLOCK_ROWS) -> Column:
@@ -35,11 +39,13 @@ def ranked(
 ) -> DataFrame:
     """0-based position of every row inside its key, and the key's row count.
 
-    ``order`` must be unique inside a key and, unless ``block`` is given, an integer; keys
-    must not be null. The rows are shuffled once, by (key, block); a window per block ranks
+    ``order`` must be unique inside a key and, unless ``block`` is given, an integer. Rows with
+    a null key are a key of their own and a null order comes first, as in a window. The rows
+    are shuffled once, by (key, block); a window per block ranks
     them and the joined block offset makes the rank global. With ``keep_block`` the columns
     ``__block`` and ``__blocks`` (blocks of the key) stay, so that a following grouping by
-    (key, __block) needs no further shuffle. ``counts_from`` is another frame with the same
+    (key, __block) needs no further shuffle; there, rows with a null key or order belong to no
+    bundle and are left out. ``counts_from`` is another frame with the same
     keys and order values, used for the block counts when ``df`` is costly to compute twice.
     """
     keys = list(keys)
@@ -49,23 +55,28 @@ def ranked(
     counts = counted.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__c"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    at = [*keys, "__block"] if keep_block else [PLACE]
     offsets = counts.select(
-        *keys,
-        "__block",
+        *(at if keep_block else [place(keys)]),
         F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"),
         F.sum("__c").over(whole).alias("__total"),
         F.count(F.lit(1)).over(whole).alias("__blocks"),
     )
-    inner = Window.partitionBy(*keys, "__block").orderBy(order)
-    out = data.join(offsets, [*keys, "__block"]).withColumn(
+    inner = Window.partitionBy(*at).orderBy(order)
+    out = (data if keep_block else data.withColumn(PLACE, place(keys))).join(offsets, at).withColumn(
         pos, (F.row_number().over(inner) - F.lit(1) + F.col("__before")).cast("bigint")
     )
     if total:
         out = out.withColumn(total, F.col("__total").cast("bigint"))
-    drop = ["__before", "__total"] + ([] if keep_block else ["__block", "__blocks"])
+    drop = ["__before", "__total"] + ([] if keep_block else ["__block", "__blocks", PLACE])
     return out.drop(*drop)
 
 
+def place(keys: Sequence[str]) -> Column:
+    """Keys and block in one struct: fields that are null are equal to each other, in a join as in a window."""
+    return F.struct(*keys, "__block").alias(PLACE)
+
+
 def dense_index(df: DataFrame, key: str, name: str = "idx", total: str | None = "n") -> DataFrame:
     """Number the distinct values of ``key`` 0, 1, 2, ... without a global sort.
 
@@ -87,13 +98,13 @@ def running_sums(
     totals = data.groupBy(*keys, "__block").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "__block", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums]
+        place(keys), *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums]
     )
-    inner = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = data.join(offsets, [*keys, "__block"])
+    inner = Window.partitionBy(PLACE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = data.withColumn(PLACE, place(keys)).join(offsets, PLACE)
     for c, name in sums.items():
         out = out.withColumn(name, F.sum(c).over(inner) + F.col(f"__o_{c}"))
-    return out.drop("__block", *[f"__o_{c}" for c in sums])
+    return out.drop("__block", PLACE, *[f"__o_{c}" for c in sums])
 
 
 def spread_join(
@@ -110,11 +121,12 @@ def spread_join(
     Keys of ``big`` with more than ``hot_rows`` rows are found by a counting pass. Their rows
     are salted by a hash of ``spread_by`` (deterministic, so that a retried task repeats it)
     and only the matching rows of ``small`` are replicated. The broadcast table of hot keys
-    has at most |big| / hot_rows rows. ``how`` is inner, left, left_semi or left_anti.
+    has at most |big| / hot_rows rows. Rows of ``big`` with a null key match nothing and are
+    dealt out by the same hash. ``how`` is inner, left, left_semi or left_anti.
     ``hot_from`` is a frame with the same key values and a cheaper lineage for the counting pass.
     """
     on = list(on)
-    fanout = F.least(F.ceil(F.col("__c") / F.lit(hot_rows)), F.lit(MAX_FANOUT)).cast("int")
+    fanout = F.ceil(F.col("__c") / F.lit(hot_rows)).cast("int")
     hot = (
         (big if hot_from is None else hot_from)
         .groupBy(*on)
@@ -123,7 +135,9 @@ def spread_join(
         .select(*on, fanout.alias("__fanout"))
     )
     width = F.coalesce(F.col("__fanout"), F.lit(1))
-    left = big.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread_by), width).cast("int"))
+    lost = reduce(or_, [F.col(c).isNull() for c in on])
+    salt = F.pmod(F.xxhash64(*spread_by), F.when(lost, F.lit(NULL_SALTS)).otherwise(width)).cast("int")
+    left = big.join(F.broadcast(hot), on, "left").withColumn("__salt", salt)
     right = small.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), width - 1)))
     joined = left.drop("__fanout").join(right.drop("__fanout"), [*on, "__salt"], how)
     return joined.drop("__salt")

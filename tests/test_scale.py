@@ -4,6 +4,7 @@ import statistics
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from speakerprint.operators import scale as S
@@ -74,3 +75,23 @@ def test_exact_median(spark):
         assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
     whole = S.exact_median(df, [], "v", -1.0, 1.0, bins=16).first()["median"]
     assert abs(whole - statistics.median(pdf["v"])) < 1e-12
+
+
+def test_null_keys_and_orders_are_ranked_and_summed_as_in_a_window(spark):
+    rows = [(None, 1, 5), (None, 900, 7), ("a", None, 2), ("a", 3, 4), ("a", -70, 1), (None, None, 9)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    w = Window.partitionBy("k").orderBy("o")
+    placed = S.ranked(df, ["k"], "o", block_rows=10)
+    assert placed.columns == ["k", "o", "v", "pos", "n"]
+    want = df.select("k", "o", "v", (F.row_number().over(w) - 1).alias("pos"), F.count("v").over(Window.partitionBy("k")).alias("n"))
+    assert set(map(tuple, placed.collect())) == set(map(tuple, want.collect()))
+    summed = S.running_sums(df, ["k"], "o", {"v": "upto"}, block_rows=10)
+    assert set(map(tuple, summed.collect())) == set(map(tuple, df.withColumn("upto", F.sum("v").over(w)).collect()))
+
+
+def test_null_join_keys_are_dealt_out(spark):
+    big = spark.range(400).select(F.when(F.col("id") < 8, F.col("id")).alias("k"), "id")
+    small = spark.createDataFrame([(1, "x"), (None, "y")], "k bigint, name string")
+    out = S.spread_join(big, small, ["k"], ["id"], how="left", hot_rows=10)
+    assert out.count() == 400
+    assert [tuple(r) for r in out.where("name IS NOT NULL").select("k", "id", "name").collect()] == [(1, 1, "x")]
