@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from speakerprint.functions import packed
 from speakerprint.functions.vectors import as_col
-from speakerprint.operators.scale import block_of, ranked, spread_join
+from speakerprint.operators.scale import blocked, ranked, spread_join
 
 #: Moments folded per task and level.
 FOLD = 64
@@ -201,7 +201,7 @@ def project_by_speaker(
 
     The basis is copied once per block of messages, never per message.
     """
-    data = df.where(F.col(vec).isNotNull()).withColumn("__block", block_of(order, block_rows))
+    data = blocked(df.where(F.col(vec).isNotNull()), [by], order, block_rows)[0]
     blocks = data.select(by, "__block").distinct()
     sides = spread_join(blocks, bases.select(by, "mean", "components"), [by], ["__block"]).select(
         F.col(by).alias("__key"), F.col("__block").alias("__part"), "mean", "components"

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from speakerprint.functions import packed
 from speakerprint.operators.runs import fold_runs
-from speakerprint.operators.scale import block_of, ranked, running_sums, spread_join
+from speakerprint.operators.scale import blocked, ranked, running_sums, spread_join
 
 # Hypervector dimensions and projection seed.
 HV_DIM = 10_000
@@ -349,7 +349,8 @@ def hv_bundle(
     if positional and position == "index":
         placed = ranked(rows, by, order, pos="pos", total=None, block_rows=block_rows, keep_block=True, counts_from=counts_from)
     else:
-        placed = rows.withColumn("pos", F.col(order).cast("bigint")).withColumn("__block", block_of(order, block_rows))
+        rows = rows.where(F.col(order).isNotNull())
+        placed = blocked(rows, by, order, block_rows, counts_from)[0].withColumn("pos", F.col(order).cast("bigint"))
     data = placed.select(*by, "__block", "pos", "bits")
     return fold_partials(partial_sums(data, by, dim, positional), by, dim, positional, keep_acc=keep_acc)
 

@@ -67,7 +67,14 @@ def _with_scores(hits: DataFrame, dim: int) -> DataFrame:
 
 
 def _candidate_columns(candidates: DataFrame, bucket: Sequence[str] = ()) -> DataFrame:
-    return candidates.select(*bucket, "candidate", F.col("ord").cast("bigint").alias("ord"), F.col("bits").alias("cbits"))
+    """Candidates as they are scored; one without bits matches nothing."""
+    given = candidates.where(F.col("bits").isNotNull())
+    return given.select(*bucket, "candidate", F.col("ord").cast("bigint").alias("ord"), F.col("bits").alias("cbits"))
+
+
+def _numbered(queries: DataFrame) -> DataFrame:
+    """Queries with bits, stored with a number of their row: rows that share a ``query_id`` are ranked apart."""
+    return materialised(queries.where(F.col("bits").isNotNull()).withColumn("__row", F.monotonically_increasing_id()), "queries")
 
 
 def top_candidates(
@@ -143,22 +150,24 @@ def _by_blocks(
 
     A bucket with many queries and candidates, even one holding a third of both, is cut into
     cells of at most about query_block x candidate_block rows; a cell emits its k best per query.
+    A query is a ``__row`` where the frame has that column, as it does without buckets, else a ``query_id``.
     """
-    keep = [c for c in queries.columns if c not in ("bits", *bucket)]
     bucket = list(bucket)
-    queries = queries.where(F.col("bits").isNotNull())
+    queries = queries.where(F.col("bits").isNotNull()) if bucket else _numbered(queries)
+    row = "__row" if "__row" in queries.columns else "query_id"
+    keep = [c for c in queries.columns if c not in ("bits", *bucket)]
     if bucket:
         def cells(df: DataFrame, rows: int, name: str) -> DataFrame:
             return df.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
 
         grid = cells(queries, query_block, "__nq").join(cells(cand, candidate_block, "__nc"), bucket)
-        q = spread_join(queries, grid, bucket, ["query_id"])
+        q = spread_join(queries, grid, bucket, [row])
         c = spread_join(cand, grid, bucket, ["ord"])
     else:
-        queries, cand = materialised(queries, "queries"), materialised(cand, "candidates")
+        cand = materialised(cand, "candidates")
         width = {"__nq": F.lit(max(1, -(-queries.count() // query_block))), "__nc": F.lit(max(1, -(-cand.count() // candidate_block)))}
         q, c = queries.withColumns(width), cand.withColumns(width)
-    q = q.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.col("__nq")).cast("int")).withColumn(
+    q = q.withColumn("__q", F.pmod(F.xxhash64(row), F.col("__nq")).cast("int")).withColumn(
         "__c", F.explode(F.sequence(F.lit(0), F.col("__nc") - 1))
     )
     c = c.withColumn("__c", F.pmod(F.xxhash64("ord"), F.col("__nc")).cast("int")).withColumn(
@@ -197,12 +206,12 @@ def _by_blocks(
 
     hits = q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInArrow(score, schema)
     if bucket:
-        hits = hits.dropDuplicates(["query_id", "ord"])
-    order = Window.partitionBy("query_id").orderBy("ham", "ord")
+        hits = hits.dropDuplicates([row, "ord"])
+    order = Window.partitionBy(row).orderBy("ham", "ord")
     ranked_hits = hits.withColumn("rank", F.row_number().over(order))
     if k is not None:
         ranked_hits = ranked_hits.where(F.col("rank") <= k)
-    return _with_scores(ranked_hits, dim).select(*keep, "candidate", "ord", "score", "rank")
+    return _with_scores(ranked_hits, dim).select(*[x for x in keep if x != "__row"], "candidate", "ord", "score", "rank")
 
 
 def identify(queries: DataFrame, candidates: DataFrame, dim: int = HV_DIM, **kw) -> DataFrame:
@@ -246,7 +255,7 @@ def retrieve(
         hits = top_candidates(queries, candidates, k, theta, dim, **kw)
     else:
         bands = min(bands, dim // 16)
-        q = band_keys(materialised(queries.where(F.col("bits").isNotNull()), "queries"), bands)
+        q = band_keys(_numbered(queries), bands)
         c = band_keys(materialised(_candidate_columns(candidates), "candidates"), bands, bits="cbits")
         hits = _by_blocks(q, c, ["band", "band_value"], k, theta, dim)
     if registry is not None:

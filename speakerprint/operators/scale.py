@@ -1,8 +1,9 @@
 """Ranking, joining and medians that stay parallel when one key holds most rows.
 
-All helpers work on blocks: an integer order column cut into ranges of at most
-``block_rows`` values. A key is then never one task's work; only per-block counts
-(1/block_rows of the data) meet in a window over the whole key.
+All helpers work on blocks (``blocked``). A key of up to ``block_rows`` rows is one block; the order
+values of a larger one are cut into ranges by their density, so that wide gaps between values give
+no more blocks. A key is then never one task's work; only per-block counts (about 1/block_rows of
+the data) meet in a window over the whole key.
 """
 
 from __future__ import annotations
@@ -26,6 +27,35 @@ def block_of(order: str, block_rows: int = BLOCK_ROWS) -> Column:
     return F.expr(f"(CAST({order} AS BIGINT) - pmod(CAST({order} AS BIGINT), {block_rows})) div {block_rows}")
 
 
+def _key(keys: Sequence[str]) -> Column:
+    """Keys in one struct, also where there are none; null fields are equal to each other."""
+    return F.struct(*keys, F.lit(0).alias("__one"))
+
+
+def blocked(
+    df: DataFrame, keys: Sequence[str], order: str, block_rows: int = BLOCK_ROWS, counts_from: DataFrame | None = None, others: Sequence[DataFrame] = ()
+) -> list[DataFrame]:
+    """``df`` and ``others`` with ``__block``: ranges of an integer order inside a key, in order.
+
+    Keys of up to ``block_rows`` rows are block 0. The values of larger keys are cut so that
+    ``block_rows`` rows share a range on average between the 1st and the 99th percentile; values
+    outside go on in ranges of the same width, so that a far value widens none. The broadcast
+    table of large keys has at most |df| / block_rows rows. ``counts_from`` has the same keys and
+    order values and a cheaper lineage.
+    """
+    narrow = (df if counts_from is None else counts_from).select(_key(keys).alias("__key"), F.col(order).cast("bigint").alias("__o"))
+    sizes = narrow.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > block_rows)
+    ends = F.percentile_approx("__o", [0.01, 0.99], 1_000).alias("__ends")
+    large = narrow.join(F.broadcast(sizes), "__key").groupBy("__key").agg(F.max("__c").alias("__c"), ends)
+    low, high = (F.col("__ends")[i].cast("double") for i in (0, 1))
+    width = F.greatest((high - low) / F.ceil(F.col("__c") / block_rows), F.lit(float(block_rows)))
+    large = F.broadcast(large.select("__key", low.alias("__low"), width.alias("__width")))
+    cut = F.floor((F.col(order).cast("bigint").cast("double") - F.col("__low")) / F.col("__width"))
+    number = F.when(F.col("__width").isNull(), F.lit(0).cast("bigint")).otherwise(cut)
+    placed = [d.withColumn("__key", _key(keys)).join(large, "__key", "left").withColumn("__block", number) for d in (df, *others)]
+    return [d.drop("__key", "__low", "__width") for d in placed]
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,9 +79,14 @@ def ranked(
     keys and order values, used for the block counts when ``df`` is costly to compute twice.
     """
     keys = list(keys)
-    in_block = block_of(order, block_rows) if block is None else block
-    data = df.withColumn("__block", in_block)
-    counted = data if counts_from is None else counts_from.withColumn("__block", in_block)
+    if keep_block:
+        df, counts_from = (d if d is None else d.where(F.col(order).isNotNull()) for d in (df, counts_from))
+    if block is None:
+        data, *rest = blocked(df, keys, order, block_rows, counts_from, [] if counts_from is None else [counts_from])
+        counted = rest[0] if rest else data
+    else:
+        data = df.withColumn("__block", block)
+        counted = data if counts_from is None else counts_from.withColumn("__block", block)
     counts = counted.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__c"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +129,7 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums of columns along an integer order, in two block-wise levels."""
     keys = list(keys)
-    data = df.withColumn("__block", block_of(order, block_rows))
+    data = blocked(df, keys, order, block_rows)[0]
     totals = data.groupBy(*keys, "__block").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

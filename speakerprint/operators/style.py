@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from speakerprint.functions.text import explode_items, runs, strip, word_count, words
 from speakerprint.functions.vectors import as_col
+from speakerprint.operators.scale import spread_join
+from speakerprint.session import materialised
 
 # Characters cut from words, long-word length, default lexicon.
 WORD_EDGES = r"[.,;:!?()\"]+"
@@ -105,17 +107,17 @@ def punctuation_profile(df: DataFrame, by: Sequence[str], text: str = "text") ->
 def signature_phrases(df: DataFrame, by: str, text: str = "text", n: int = 2, k: int = 5) -> DataFrame:
     """Top-k n-grams per speaker by tf * ln(N / df); equal scores in phrase order.
 
-    tf is combined map-side per (speaker, phrase); df counts that table. Both sides of the join
-    read the same shuffle of (speaker, phrase) counts (df looks at tf, or Spark would prune it
-    and shuffle twice). The table of phrases grows with the data and is never broadcast.
+    tf is combined map-side per (speaker, phrase) and stored; df counts that table. A phrase that
+    very many speakers use has one row per speaker in the join and is salted. The table of
+    phrases grows with the data and is never broadcast.
     """
     normal = F.regexp_replace(F.lower(as_col(text)), WORD_EDGES, " ")
     split = df.select(by, words(normal).alias("__w")).select(by, runs("__w", n).alias("__g"))
     grams = explode_items(split, [by], "__g", "phrase")
-    tf = grams.groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("tf"))
-    spread = tf.groupBy("phrase").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    tf = materialised(grams.groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("tf")), "phrases")
+    spread = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     speakers = df.where(F.col(by).isNotNull()).select(by).distinct().agg(F.count(F.lit(1)).alias("n"))
-    scored = tf.join(spread.hint("merge"), "phrase").withColumn("__n", speakers.scalar())
+    scored = spread_join(tf, spread, ["phrase"], [by]).withColumn("__n", speakers.scalar())
     scored = scored.withColumn("score", F.col("tf") * F.log(F.col("__n") / F.col("df")))
     best = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("phrase"))
     return (

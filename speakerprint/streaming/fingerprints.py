@@ -2,7 +2,7 @@
 
 Each micro-batch writes unrotated partial sums under its own ``batch_id`` folder, so a
 repeated batch overwrites itself. Sums are commutative: messages may arrive in any order.
-Reading folds the partials of a speaker; compaction replaces many small ones by few.
+Reading folds the partials of a speaker; compaction adds a snapshot that replaces many small ones.
 """
 
 from __future__ import annotations
@@ -57,16 +57,37 @@ def stream_fingerprints(
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot and the batches after it; older folders are left out by their names.
+
+    A snapshot of all batches up to u is stored as ``batch_id=-(u + 1)``.
+    """
+    partials = spark.read.parquet(path)
+    upto = partials.agg(F.max(-F.col("batch_id") - 1)).first()[0]
+    if upto is None or upto < 0:
+        return partials
+    return partials.where((F.col("batch_id") == -(upto + 1)) | (F.col("batch_id") > upto))
+
+
 def read_stream_fingerprints(spark: SparkSession, path: str, by: str = "conv_id", dim: int = HV_DIM) -> DataFrame:
-    """Current seeds ``(by, n, acc, bits)`` from all stored partials."""
-    return fold_partials(spark.read.parquet(path).drop("batch_id"), [by], dim)
+    """Current seeds ``(by, n, acc, bits)`` from the newest snapshot and the partials stored since."""
+    return fold_partials(_current(spark, path).drop("batch_id"), [by], dim)
 
 
-def compact_partials(spark: SparkSession, path: str, target: str, by: str = "conv_id", dim: int = HV_DIM) -> None:
-    """Write one partial per speaker for all batches so far to ``target`` (run while no batch is written).
+def compact_partials(spark: SparkSession, path: str, by: str = "conv_id", dim: int = HV_DIM, upto: int | None = None) -> int | None:
+    """Fold the partials of all batches up to ``upto`` into a snapshot beside them, and return ``upto``.
 
-    Compaction keeps the unrotated form, so later batches can still be added.
+    Without ``upto`` all but the newest batch are folded, since a running stream may still be
+    writing that one; later batches go on adding to the same folder. A stream may run meanwhile,
+    readers should wait until the snapshot is written. Folders of batches up to ``upto`` are not read
+    any more afterwards and can be deleted. None means that there was nothing to fold.
     """
-    partials = spark.read.parquet(path).drop("batch_id")
-    folded = fold_partials(partials, [by], dim, finish=False)
-    folded.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id=-1")
+    partials = _current(spark, path)
+    if upto is None:
+        upto = (partials.agg(F.max("batch_id")).first()[0] or 0) - 1
+    chosen = partials.where(F.col("batch_id") <= upto)
+    if upto < 0 or chosen.where(F.col("batch_id") >= 0).isEmpty():
+        return None
+    folded = fold_partials(chosen.drop("batch_id"), [by], dim, finish=False)
+    folded.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={-(upto + 1)}")
+    return upto

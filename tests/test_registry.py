@@ -222,8 +222,19 @@ def test_stream_equals_batch_with_shuffled_duplicates(spark, tmp_path):
     def current(path):
         return {r["conv_id"]: (r["n"], r["acc"], r["bits"]) for r in read_stream_fingerprints(spark, path, dim=128).collect()}
     assert current(str(tmp_path / "parts")) == want
-    compact_partials(spark, str(tmp_path / "parts"), str(tmp_path / "compact"), dim=128)
-    assert current(str(tmp_path / "compact")) == want
+    parts = str(tmp_path / "parts")
+    assert compact_partials(spark, parts, dim=128) == 1
+    assert current(parts) == want
+    assert compact_partials(spark, parts, dim=128) is None
+
+    more = [(c, 15, rng.normal(size=8).tolist()) for c in range(4)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream_fingerprints(stream, parts, str(tmp_path / "check"), dim=128, block_rows=4).trigger(availableNow=True).start().awaitTermination()
+    batch = H.hv_bundle(H.hv_encode(spark.createDataFrame(rows + more, schema), dim=128), "conv_id", "turn", 128)
+    want = {r["conv_id"]: (r["n"], r["acc"], r["bits"]) for r in batch.collect()}
+    assert current(parts) == want
+    assert compact_partials(spark, parts, dim=128) == 2 and compact_partials(spark, parts, dim=128, upto=3) == 3
+    assert current(parts) == want
 
 
 def test_rendered_summary_meets_contract(spark):

@@ -1,5 +1,9 @@
 """Regressions: white space around JSON, ragged vectors, long sums."""
 
+import io
+import json
+import zipfile
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,7 +11,11 @@ import pytest
 from speakerprint.functions.jsontext import strict_object
 from speakerprint.functions.packed import list_matrix
 from speakerprint.functions.text import script_strip
+from speakerprint.operators import match
 from speakerprint.operators.basis import speaker_stats
+from speakerprint.operators.registry import validate
+from speakerprint.operators.style import signature_phrases
+from speakerprint.sources.archives import ingest_archives
 
 
 def test_json_with_white_space_around(spark):
@@ -30,3 +38,39 @@ def test_speaker_stats_of_large_values(spark):
     big = df.unionAll(df).unionAll(df)
     r = speaker_stats(big, "who").first()
     assert r["n"] == 12_000 and r["mean"] == pytest.approx(x.mean(), rel=1e-9) and r["var"] == pytest.approx(x.var(), rel=1e-6)
+
+
+def test_equal_query_ids_and_candidates_without_bits(spark):
+    queries = spark.createDataFrame([(1, [5]), (1, [5]), (1, [-1]), (2, None)], "query_id bigint, bits array<bigint>")
+    cands = spark.createDataFrame([("a", 0, [5]), ("b", 1, [-1]), ("c", 2, None)], "candidate string, ord bigint, bits array<bigint>")
+    found = [sorted(map(tuple, match.top_candidates(queries, cands, 1, None, 64, broadcast_limit=n).collect())) for n in (10, 1)]
+    assert found[0] == found[1] == [(1, "a", 0, 1.0, 1), (1, "a", 0, 1.0, 1), (1, "b", 1, 1.0, 1)]
+
+
+def test_archive_above_64_mib_breaks_the_size_rule_only(spark, tmp_path):
+    manifest = {"csp_version": "1.0", "fp_type": "identity"}
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w") as z:
+        z.writestr("manifest.json", json.dumps(manifest) + "\n")
+        z.writestr("summary.txt", "word " * 80)
+        z.writestr("metadata.json", json.dumps({"success_score": 0.5}))
+        z.writestr("vector.bin", bytes(65 << 20))
+    (tmp_path / "a.fp").write_bytes(whole.getvalue())
+    small = io.BytesIO()
+    with zipfile.ZipFile(small, "w") as z, zipfile.ZipFile(whole) as old:
+        for name in old.namelist()[:3]:
+            z.writestr(name, old.read(name))
+        z.writestr("vector.bin", bytes(8))
+    (tmp_path / "b.fp").write_bytes(small.getvalue())
+    rows = {r["path"][-4:]: r for r in ingest_archives(spark, str(tmp_path)).collect()}
+    big = rows["a.fp"]
+    assert big["is_zip"] and big["error"] is None and big["summary"] == rows["b.fp"]["summary"] and len(big["vector"]) == 65 << 20
+    broken = {r["path"][-4:]: set(r["violations"]) for r in validate(ingest_archives(spark, str(tmp_path))).select("path", "violations").collect()}
+    assert broken["a.fp"] - broken["b.fp"] == {"size"}
+
+
+def test_signature_phrases_keep_phrases_of_every_speaker(spark):
+    df = spark.createDataFrame([(i, f"all alike own{i} word{i}") for i in range(6)], "who bigint, text string")
+    rows = signature_phrases(df, "who", k=9).collect()
+    assert {(r["phrase"], r["df"], round(r["score"], 9)) for r in rows if r["df"] == 6} == {("all alike", 6, 0.0)}
+    assert len(rows) == 18

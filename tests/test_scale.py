@@ -95,3 +95,18 @@ def test_null_join_keys_are_dealt_out(spark):
     out = S.spread_join(big, small, ["k"], ["id"], how="left", hot_rows=10)
     assert out.count() == 400
     assert [tuple(r) for r in out.where("name IS NOT NULL").select("k", "id", "name").collect()] == [(1, 1, "x")]
+
+
+def test_blocks_follow_rows_not_values(spark):
+    """Wide gaps and far values give one block per small key and few for a large one."""
+    rows = [(k, (i - 200) * 10**12 + k) for k in range(20) for i in range(20)]
+    rows += [(99, i * 10**9) for i in range(1_000)] + [(99, 2**63 - 1), (99, -(2**63))]
+    df = spark.createDataFrame(rows, "k bigint, o bigint")
+    out = S.ranked(df, ["k"], "o", block_rows=100, keep_block=True)
+    blocks = {r["k"]: r["n"] for r in out.groupBy("k").agg(F.count_distinct("__block").alias("n")).collect()}
+    assert all(blocks[k] == 1 for k in range(20)) and 10 <= blocks[99] <= 15
+    assert out.groupBy("k", "__block").count().agg(F.max("count")).first()[0] <= 120
+    want = sorted((k, o, sorted(x for j, x in rows if j == k).index(o)) for k, o in rows)
+    assert sorted(tuple(r) for r in out.select("k", "o", "pos").collect()) == want
+    whole = S.blocked(df, [], "o", block_rows=100)[0]
+    assert whole.select("__block").distinct().count() <= 60
