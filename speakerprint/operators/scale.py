@@ -28,7 +28,7 @@ def block_of(order: str, block_rows: int = BLOCK_ROWS) -> Column:
 
 
 def _key(keys: Sequence[str]) -> Column:
-    """Keys in one struct, also where there are none; null fields are equal to each other."""
+    """Keys in one struct, with a field also where there are none; null fields are equal to each other."""
     return F.struct(*keys, F.lit(0).alias("__one"))
 
 
@@ -44,16 +44,23 @@ def blocked(
     order values and a cheaper lineage.
     """
     narrow = (df if counts_from is None else counts_from).select(_key(keys).alias("__key"), F.col(order).cast("bigint").alias("__o"))
-    sizes = narrow.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > block_rows)
     ends = F.percentile_approx("__o", [0.01, 0.99], 1_000).alias("__ends")
-    large = narrow.join(F.broadcast(sizes), "__key").groupBy("__key").agg(F.max("__c").alias("__c"), ends)
+    if keys:
+        sizes = narrow.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > block_rows)
+        large = narrow.join(F.broadcast(sizes), "__key").groupBy("__key").agg(F.max("__c").alias("__c"), ends)
+    else:
+        large = narrow.agg(F.count(F.lit(1)).alias("__c"), ends).where(F.col("__c") > block_rows)
     low, high = (F.col("__ends")[i].cast("double") for i in (0, 1))
     width = F.greatest((high - low) / F.ceil(F.col("__c") / block_rows), F.lit(float(block_rows)))
-    large = F.broadcast(large.select("__key", low.alias("__low"), width.alias("__width")))
-    cut = F.floor((F.col(order).cast("bigint").cast("double") - F.col("__low")) / F.col("__width"))
-    number = F.when(F.col("__width").isNull(), F.lit(0).cast("bigint")).otherwise(cut)
-    placed = [d.withColumn("__key", _key(keys)).join(large, "__key", "left").withColumn("__block", number) for d in (df, *others)]
-    return [d.drop("__key", "__low", "__width") for d in placed]
+    cuts = F.struct(low.alias("low"), width.alias("width")).alias("__cuts")
+    if keys:
+        large = F.broadcast(large.select("__key", cuts))
+        placed = [d.withColumn("__key", _key(keys)).join(large, "__key", "left").drop("__key") for d in (df, *others)]
+    else:
+        placed = [d.withColumn("__cuts", large.select(cuts).scalar()) for d in (df, *others)]
+    cut = F.floor((F.col(order).cast("bigint").cast("double") - F.col("__cuts.low")) / F.col("__cuts.width"))
+    number = F.when(F.col("__cuts.width").isNull(), F.lit(0).cast("bigint")).otherwise(cut)
+    return [d.withColumn("__block", number).drop("__cuts") for d in placed]
 
 
 def ranked(
