@@ -4,8 +4,8 @@ A document is the set of its distinct 5-word shingles. Equal sets are one class
 only one document of each takes part in the join. Every independent tree branches documents down
 chosen paths: at a node, ``BRANCHES`` of the minwise tokens are drawn by a hash of the node, and a
 document goes on to the child named by its own values there. Nodes with one document end. Nodes of
-up to ``SMALL`` documents compare all their pairs by minwise tokens, and each document proposes its most
-similar partners. In a larger node every document is compared with one pivot, the one that agrees most
+up to ``SMALL`` documents compare all their pairs by minwise tokens and propose every one that agrees
+enough. In a larger node every document is compared with one pivot, the one that agrees most
 with the node's frequent tokens: those near to it are one class within the node, and only children that
 hold documents of several classes are branched further. So the pairs handed on grow with the documents of
 a node, also where thousands of near copies meet, and links that a node leaves out join what its other
@@ -38,9 +38,8 @@ THRESHOLD = 75
 MINHASHES = 128
 TREES = 6
 BRANCHES = 2
-#: Documents of a node whose pairs are all compared, partners each proposes, levels of a tree, and tokens that vote for a pivot.
+#: Documents of a node whose pairs are all compared, levels of a tree, and tokens that vote for a pivot.
 SMALL = 64
-PARTNERS = 3
 LEVELS = 2
 VOTES = 16
 #: Agreeing tokens for a candidate and for a class within a node.
@@ -150,7 +149,7 @@ def _roots(names: DataFrame) -> DataFrame:
 
 
 def _leaf_pairs(small: DataFrame) -> DataFrame:
-    """Pairs of small nodes: all are compared, and each document keeps its ``PARTNERS`` most similar ones of other classes."""
+    """Pairs of small nodes: every pair of different labels that agrees in ``CANDIDATE`` tokens."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         pairs = set()
@@ -160,10 +159,8 @@ def _leaf_pairs(small: DataFrame) -> DataFrame:
             classes = np.unique([m["label"] for m in members], return_inverse=True)[1]
             tokens = np.frombuffer(b"".join(m["tokens"] for m in members), dtype=np.int32).reshape(len(members), MINHASHES)
             same = np.stack([(tokens == t).sum(axis=1) for t in tokens])
-            same[classes[:, None] == classes[None, :]] = -1
-            best = np.argsort(-same, axis=1, kind="stable")[:, :PARTNERS]
-            for i, row in enumerate(best):
-                pairs |= {(min(names[i], names[j]), max(names[i], names[j])) for j in row.tolist() if same[i, j] >= CANDIDATE}
+            i, j = np.nonzero(np.triu((same >= CANDIDATE) & (classes[:, None] != classes[None, :])))
+            pairs |= {(names[x], names[y]) for x, y in zip(i.tolist(), j.tolist())}
         if not pairs:
             return None
         a, b = zip(*sorted(pairs))

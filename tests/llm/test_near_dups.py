@@ -48,6 +48,32 @@ def test_large_nodes_branch(docs_of, copies, monkeypatch):
     assert classes(docs_of(copies)) == near_classes(copies)
 
 
+@pytest.fixture(scope="module")
+def versions():
+    """Two versions of a text, similar at 0.765, each with copies that are nearer to it than to the other version."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(6000)]
+    rows = []
+    for _ in range(6):
+        text = [rng.choice(words) for _ in range(1500)]
+        other = list(text)
+        for at in range(20, 1480, 36):
+            other[at] = rng.choice(words)
+        for version in (text, other):
+            for _ in range(6):
+                copy = list(version)
+                copy[rng.randrange(1500)] = rng.choice(words)
+                rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+def test_versions_with_copies(docs_of, versions):
+    """Links between the versions are found, although each copy has nearer partners of its own version."""
+    want = near_classes(versions)
+    assert len({c for _, c in want.values()}) == 6
+    assert classes(docs_of(versions)) == want
+
+
 def test_edges(spark, docs_of):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b c"), (5, "A  b\tc"), (6, "a b c d"), (7, "a b c d e"), (9, "a b c d e"), (8, "x" * 200_000)]
     got = classes(docs_of(rows))
