@@ -6,8 +6,8 @@ chosen paths: at a node, ``BRANCHES`` of the minwise tokens are drawn by a hash
 document goes on to the child named by its own values there. Nodes with one document end. Nodes of
 up to ``SMALL`` documents compare all their pairs by minwise tokens and propose every one that agrees
 enough. In a larger node every document is compared with one pivot, the one that agrees most
-with the node's frequent tokens: those near to it are one class within the node, and only children that
-hold documents of several classes are branched further. So the pairs handed on grow with the documents of
+with the node's frequent tokens: those whose full sets are similar to it take its label, and only nodes
+that hold documents of several labels are branched further. So the pairs handed on grow with the documents of
 a node, also where thousands of near copies meet, and links that a node leaves out join what its other
 links join already.
 
@@ -42,9 +42,8 @@ BRANCHES = 2
 SMALL = 64
 LEVELS = 2
 VOTES = 16
-#: Agreeing tokens for a candidate and for a class within a node.
+#: Agreeing tokens for a candidate.
 CANDIDATE = 80
-NEAR = 102
 _PRIME = np.uint64((1 << 61) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,11 +202,11 @@ def _pivots(large: DataFrame) -> DataFrame:
     def agree(batch: pa.RecordBatch) -> pa.RecordBatch:
         top = np.array([[v["value"] for v in x] for x in batch.column("votes").to_pylist()], dtype=np.int32)
         same = (_tokens(batch)[:, :VOTES] == top).sum(axis=1)
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "name", "tokens")], pa.array(same, pa.int64())], names=["node", "name", "tokens", "same"])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "name", "label", "tokens")], pa.array(same, pa.int64())], names=["node", "name", "label", "tokens", "same"])
 
-    rated = map_batches(large.join(frequent, "node").select("node", "name", "tokens", "votes"), agree, "node bigint, name binary, tokens binary, same bigint")
-    best = rated.groupBy("node").agg(F.max(F.struct("same", F.xxhash64("node", "name").alias("o"), "name", "tokens")).alias("p"))
-    return best.select("node", F.col("p.name").alias("pivot"), F.col("p.tokens").alias("pivot_tokens"))
+    rated = map_batches(large.join(frequent, "node").select("node", "name", "label", "tokens", "votes"), agree, "node bigint, name binary, label binary, tokens binary, same bigint")
+    best = rated.groupBy("node").agg(F.max(F.struct("same", F.xxhash64("node", "name").alias("o"), "name", "label", "tokens")).alias("p"))
+    return best.select("node", F.col("p.name").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.tokens").alias("pivot_tokens"))
 
 
 def _agreement(rows: DataFrame) -> DataFrame:
@@ -215,22 +214,33 @@ def _agreement(rows: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         same = (_tokens(batch) == _tokens(batch, "pivot_tokens")).sum(axis=1)
-        columns = [batch.column(c) for c in ("node", "name", "label", "tokens", "pivot")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.int64())], names=["node", "name", "label", "tokens", "pivot", "same"])
+        columns = [batch.column(c) for c in ("node", "name", "label", "tokens", "pivot", "pivot_label")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.int64())], names=["node", "name", "label", "tokens", "pivot", "pivot_label", "same"])
 
     return map_batches(
-        rows.select("node", "name", "label", "tokens", "pivot", "pivot_tokens"), run,
-        "node bigint, name binary, label binary, tokens binary, pivot binary, same bigint",
+        rows.select("node", "name", "label", "tokens", "pivot", "pivot_label", "pivot_tokens"), run,
+        "node bigint, name binary, label binary, tokens binary, pivot binary, pivot_label binary, same bigint",
     )
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of names that the trees bring together. ``sets`` has name and tokens, one row each."""
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionAll(f)
+    return out.distinct()
+
+
+def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed pairs (a, b), a < b, of names that the trees bring together.
+
+    ``sets`` has name, key and tokens, one row each; ``texts`` (key, text). Documents take the label of a
+    pivot only where their link to it is confirmed, so that documents of one label are of one class.
+    """
     first = _roots(sets)
     shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node")
     rows = first.join(shared, "node").join(sets.select("name", "tokens"), "name").select("node", "name", F.col("name").alias("label"), "tokens")
     rows = materialised(rows, "near-level")
-    found = []
+    found, asked, sure = [], [], []
     for level in range(1, LEVELS + 1):
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         small = rows.join(stats.where(F.col("c") <= SMALL).select("node"), "node")
@@ -239,19 +249,27 @@ def candidates(sets: DataFrame) -> DataFrame:
         if wide.isEmpty():
             break
         large = materialised(_agreement(wide.join(_pivots(wide), "node")), "near-large")
-        near = large.where((F.col("same") >= CANDIDATE) & (F.col("name") != F.col("pivot")))
-        found.append(near.select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b")).distinct())
-        rows = large.withColumn("label", F.when(F.col("same") >= NEAR, F.col("pivot")).otherwise(F.col("label")))
+        near = large.where((F.col("same") >= CANDIDATE) & (F.col("label") != F.col("pivot_label")))
+        near = near.select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b")).distinct()
+        if asked:
+            near = near.join(_union(asked), ["a", "b"], "left_anti")
+        asked.append(materialised(near, "near-asked"))
+        sure.append(materialised(confirmed(asked[-1], sets, texts), "near-links"))
+        linked = _union(sure).select("a", "b", F.lit(True).alias("linked"))
+        both = large.withColumn("a", F.least("name", "pivot")).withColumn("b", F.greatest("name", "pivot")).join(linked, ["a", "b"], "left")
+        rows = both.select("node", "name", F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("label")).alias("label"), "tokens")
+        rows = materialised(rows, "near-labels")
         open_nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         rows = rows.join(open_nodes.select("node", "c"), "node")
         if level == LEVELS:
             found.append(_leaf_pairs(_cells(rows)))
         else:
             rows = materialised(_children(rows, level), "near-level")
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.unionAll(p)
-    return pairs.distinct()
+    pairs = _union(found)
+    if asked:
+        pairs = pairs.join(_union(asked), ["a", "b"], "left_anti")
+    pairs = materialised(pairs, "near-candidates")
+    return _union([confirmed(pairs, sets, texts), *sure])
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -328,10 +346,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     signed = materialised(signatures(chosen), "near-signatures")
     sets = signed.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("key"), F.first("tokens").alias("tokens"))
     sets = materialised(sets, "near-sets")
-    pairs = materialised(candidates(sets), "near-candidates")
     texts = chosen.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"), as_bytes(F.col("text")).alias("text"))
-    links = confirmed(pairs, sets, texts)
-    roots = components(links)
+    roots = components(links(sets, texts))
     named = signed.select("doc_id", "n_shingles", "name")
     classes = named.join(roots, named["name"] == roots["node"], "left").withColumn("class_key", F.coalesce("root", "name"))
     smallest = classes.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min("doc_id").alias("component_id"))

@@ -74,6 +74,25 @@ def test_versions_with_copies(docs_of, versions):
     assert classes(docs_of(versions)) == want
 
 
+def test_pivot_links_are_confirmed(docs_of):
+    """A set whose tokens agree with the pivot beyond its true similarity keeps its link to another set."""
+    roots = [(i * 11 + 3) % near_dups.MINHASHES for i in range(near_dups.TREES * near_dups.BRANCHES)]
+    for seed in range(20_000):
+        rng = random.Random(seed)
+        text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        part = text[:300]  # 296 of 396 shingles: 0.747
+        whole, few = (near_dups.minwise(near_dups.shingles(" ".join(t).encode(), {})) for t in (text, part))
+        if (whole == few).sum() >= 106 and (whole == few)[roots].all():
+            break
+    rows = [" ".join(part), " ".join(text[:350]), " ".join(text)]
+    for i in range(75):
+        rows.append(" ".join([*text[:360], *(f"c{i}" if at == 365 + i % 30 else w for at, w in enumerate(text[360:], 360))]))
+    rows = list(enumerate(rows))
+    want = near_classes(rows)
+    assert {c for _, c in want.values()} == {0}
+    assert classes(docs_of(rows)) == want
+
+
 def test_edges(spark, docs_of):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b c"), (5, "A  b\tc"), (6, "a b c d"), (7, "a b c d e"), (9, "a b c d e"), (8, "x" * 200_000)]
     got = classes(docs_of(rows))
