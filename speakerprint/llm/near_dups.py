@@ -7,12 +7,16 @@ document goes on to the child named by its own values there. Nodes with one docu
 up to ``SMALL`` documents compare all their pairs by minwise tokens and propose every one that agrees
 enough. In a larger node every document is compared with one pivot, the one that agrees most
 with the node's frequent tokens: those whose full sets are similar to it take its label, and only nodes
-that hold documents of several labels are branched further. So the pairs handed on grow with the documents of
-a node, also where thousands of near copies meet, and links that a node leaves out join what its other
-links join already.
-
-Two documents that agree at the threshold (0.75) share a child with probability 1 - 0.25^2 per level
-and meet in a given tree with probability over 0.88; ``TREES`` trees miss them with less than 4e-6.
+that hold documents of several labels go on: all pairs of different labels are compared where a node has one
+block of documents, larger nodes are branched further. A node that keeps more than half of its parent's documents
+``LEVELS`` times in a row is not separated by tokens; all its pairs of different labels are compared in tasks of two
+blocks each, which takes time by the square of such a node. Near copies of a pivot have one label and are not paired
+with each other; no other pair that agrees enough is left out.
+
+Two documents at the threshold (0.75) share a child with probability 1 - 0.25^2 per level and meet in a given
+tree, of any depth, with probability 8/9. All trees draw from the same ``MINHASHES`` tokens. Over the binomial
+number of tokens that agree, ``TREES`` trees miss 2.5e-5 of such pairs and ``CANDIDATE`` another 1.2e-6, before
+what other links of their classes join.
 Candidate pairs are confirmed on the full sets, and connected components of the confirmed links are
 the classes.
 
@@ -24,6 +28,8 @@ id and the same shingles is linked to. Other columns of the input do not reach t
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,12 +44,14 @@ THRESHOLD = 75
 MINHASHES = 128
 TREES = 6
 BRANCHES = 2
-#: Documents of a node whose pairs are all compared, levels of a tree, and tokens that vote for a pivot.
+#: Documents of a node whose pairs are all compared at once, levels in a row that a node may keep over half of its
+#: parent's documents before it is compared in blocks, documents of a block, and tokens that vote for a pivot.
 SMALL = 64
 LEVELS = 2
+BLOCK = 1024
 VOTES = 16
 #: Agreeing tokens for a candidate.
-CANDIDATE = 80
+CANDIDATE = 72
 _PRIME = np.uint64((1 << 61) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +117,7 @@ def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """Rows (node, name, label, tokens) dealt to the children of their nodes."""
+    """Rows (node, name, label, tokens, c, stuck) dealt to the children of their nodes; ``up`` is the parent's c."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         node = batch.column("node").to_numpy().astype(np.uint64)
@@ -121,10 +129,11 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
             value = tokens[every, (drawn % np.uint64(MINHASHES)).astype(np.int64)].view(np.uint32).astype(np.uint64)
             nodes.append(_mixed(drawn ^ (value * _STEP)))
         out = np.concatenate(nodes).astype(np.int64)
-        rest = [pa.concat_arrays([batch.column(c)] * BRANCHES) for c in ("name", "label", "tokens")]
-        return pa.RecordBatch.from_arrays([pa.array(out), *rest], names=["node", "name", "label", "tokens"])
+        rest = [pa.concat_arrays([batch.column(c)] * BRANCHES) for c in ("name", "label", "tokens", "c", "stuck")]
+        return pa.RecordBatch.from_arrays([pa.array(out), *rest], names=["node", "name", "label", "tokens", "up", "stuck"])
 
-    return map_batches(rows.select("node", "name", "label", "tokens"), run, "node bigint, name binary, label binary, tokens binary")
+    schema = "node bigint, name binary, label binary, tokens binary, up bigint, stuck int"
+    return map_batches(rows.select("node", "name", "label", "tokens", "c", "stuck"), run, schema)
 
 
 def _tokens(batch: pa.RecordBatch, column: str = "tokens") -> np.ndarray:
@@ -184,14 +193,14 @@ def _pivots(large: DataFrame) -> DataFrame:
         order = np.argsort(node, kind="stable")
         ids, starts = np.unique(node[order], return_index=True)
         top = np.zeros((len(ids), VOTES), dtype=np.int32)
-        count = np.zeros((len(ids), VOTES), dtype=np.int64)
+        times = np.zeros((len(ids), VOTES), dtype=np.int64)
         for i, rows in enumerate(np.split(tokens[order], starts[1:])):
             for place in range(VOTES):
                 values, c = np.unique(rows[:, place], return_counts=True)
                 best = c.argmax()
-                top[i, place], count[i, place] = values[best], c[best]
+                top[i, place], times[i, place] = values[best], c[best]
         place = np.tile(np.arange(VOTES, dtype=np.int32), len(ids))
-        columns = [np.repeat(ids, VOTES), place, top.reshape(-1), count.reshape(-1)]
+        columns = [np.repeat(ids, VOTES), place, top.reshape(-1), times.reshape(-1)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "place", "value", "c"])
 
     together = large.select("node", "tokens").sortWithinPartitions("node")
@@ -214,12 +223,12 @@ def _agreement(rows: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         same = (_tokens(batch) == _tokens(batch, "pivot_tokens")).sum(axis=1)
-        columns = [batch.column(c) for c in ("node", "name", "label", "tokens", "pivot", "pivot_label")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.int64())], names=["node", "name", "label", "tokens", "pivot", "pivot_label", "same"])
+        columns = [batch.column(c) for c in ("node", "name", "label", "tokens", "stuck", "pivot", "pivot_label")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(same, pa.int64())], names=["node", "name", "label", "tokens", "stuck", "pivot", "pivot_label", "same"])
 
     return map_batches(
-        rows.select("node", "name", "label", "tokens", "pivot", "pivot_label", "pivot_tokens"), run,
-        "node bigint, name binary, label binary, tokens binary, pivot binary, pivot_label binary, same bigint",
+        rows.select("node", "name", "label", "tokens", "stuck", "pivot", "pivot_label", "pivot_tokens"), run,
+        "node bigint, name binary, label binary, tokens binary, stuck int, pivot binary, pivot_label binary, same bigint",
     )
 
 
@@ -239,13 +248,17 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     first = _roots(sets)
     shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node")
     rows = first.join(shared, "node").join(sets.select("name", "tokens"), "name").select("node", "name", F.col("name").alias("label"), "tokens")
+    rows = rows.withColumn("up", F.lit(None).cast("bigint")).withColumn("stuck", F.lit(0))
     rows = materialised(rows, "near-level")
     found, asked, sure = [], [], []
-    for level in range(1, LEVELS + 1):
-        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    for level in count(1):
+        counts = [F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+        stats = rows.groupBy("node").agg(*counts, F.first("up").alias("up"), F.first("stuck").alias("stuck")).where("lo <> hi")
+        stats = stats.withColumn("stuck", F.when(2 * F.col("c") > F.col("up"), F.col("stuck") + 1).otherwise(F.lit(0)))
         small = rows.join(stats.where(F.col("c") <= SMALL).select("node"), "node")
         found.append(materialised(_leaf_pairs(small).distinct(), "near-pairs"))
-        wide = materialised(rows.join(stats.where(F.col("c") > SMALL).select("node", "c"), "node"), "near-wide")
+        large_nodes = stats.where(F.col("c") > SMALL).select("node", "c", "stuck")
+        wide = materialised(rows.select("node", "name", "label", "tokens").join(large_nodes, "node"), "near-wide")
         if wide.isEmpty():
             break
         large = materialised(_agreement(wide.join(_pivots(wide), "node")), "near-large")
@@ -257,14 +270,12 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         sure.append(materialised(confirmed(asked[-1], sets, texts), "near-links"))
         linked = _union(sure).select("a", "b", F.lit(True).alias("linked"))
         both = large.withColumn("a", F.least("name", "pivot")).withColumn("b", F.greatest("name", "pivot")).join(linked, ["a", "b"], "left")
-        rows = both.select("node", "name", F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("label")).alias("label"), "tokens")
+        rows = both.select("node", "name", F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("label")).alias("label"), "tokens", "stuck")
         rows = materialised(rows, "near-labels")
-        open_nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        rows = rows.join(open_nodes.select("node", "c"), "node")
-        if level == LEVELS:
-            found.append(_leaf_pairs(_cells(rows)))
-        else:
-            rows = materialised(_children(rows, level), "near-level")
+        rows = rows.join(rows.groupBy("node").agg(*counts).where("lo <> hi").select("node", "c"), "node")
+        ends = (F.col("c") <= BLOCK) | (F.col("stuck") >= LEVELS)
+        found.append(materialised(_block_pairs(_once(rows.where(ends))).distinct(), "near-pairs"))
+        rows = materialised(_children(rows.where(~ends), level), "near-level")
     pairs = _union(found)
     if asked:
         pairs = pairs.join(_union(asked), ["a", "b"], "left_anti")
@@ -272,10 +283,40 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return _union([confirmed(pairs, sets, texts), *sure])
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """Nodes that are still large after the last level, dealt into small ones by a hash."""
-    part = F.pmod(F.xxhash64("name", "node"), F.ceil(F.col("c") / SMALL)).cast("int")
-    return rows.select(F.xxhash64("node", part).alias("node"), "name", "label", "tokens")
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows of nodes, one node of those that hold the same documents with the same labels."""
+    held = F.xxhash64("name", "label")
+    what = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(held).alias("x"), F.bit_xor(F.xxhash64("label", "name", F.lit(1))).alias("y"))
+    return rows.join(what.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node"), "node")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes that tokens no longer separate: all are compared, one task for each two blocks of a node.
+
+    Every pair of different labels that agrees in ``CANDIDATE`` tokens is proposed.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        names = np.array(table.column("name").to_pylist(), dtype=object)
+        labels = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
+        part, tokens = table.column("part").to_numpy(), np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.int32).reshape(-1, MINHASHES)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
+        a, b = [], []
+        for n, x in enumerate(left):
+            others = right if i != j else left[n + 1 :]
+            others = others[labels[others] != labels[x]]
+            for y in others[(tokens[others] == tokens[x]).sum(axis=1) >= CANDIDATE]:
+                a.append(min(names[x], names[y]))
+                b.append(max(names[x], names[y]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("name", "node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("node", "name", "label", "tokens", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return dealt.groupBy("node", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def _overlap(batch: pa.RecordBatch) -> pa.RecordBatch | None:

@@ -93,6 +93,25 @@ def test_pivot_links_are_confirmed(docs_of):
     assert classes(docs_of(rows)) == want
 
 
+def test_common_passage(docs_of, monkeypatch):
+    """Pairs of copies among texts that mostly are one passage: large nodes that tokens don't separate."""
+    monkeypatch.setattr(near_dups, "SMALL", 4)
+    monkeypatch.setattr(near_dups, "LEVELS", 1)
+    monkeypatch.setattr(near_dups, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(near_dups, "TREES", 1)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(240)]
+    rows = []
+    for n in range(40):
+        own = [f"o{n}-{i}" for i in range(100)]
+        rows += [" ".join(passage + own), " ".join([*passage, *own[:-2], f"e{n}", "e"])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = near_classes(rows)
+    assert len({c for _, c in want.values()}) == 40
+    assert classes(docs_of(rows)) == want
+
+
 def test_edges(spark, docs_of):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b c"), (5, "A  b\tc"), (6, "a b c d"), (7, "a b c d e"), (9, "a b c d e"), (8, "x" * 200_000)]
     got = classes(docs_of(rows))
