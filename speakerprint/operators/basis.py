@@ -201,7 +201,7 @@ def project_by_speaker(
 
     The basis is copied once per block of messages, never per message.
     """
-    data = blocked(df.where(F.col(vec).isNotNull()), [by], order, block_rows)[0]
+    data = blocked(df.where(F.col(vec).isNotNull()), [by], order, block_rows)
     blocks = data.select(by, "__block").distinct()
     sides = spread_join(blocks, bases.select(by, "mean", "components"), [by], ["__block"]).select(
         F.col(by).alias("__key"), F.col("__block").alias("__part"), "mean", "components"

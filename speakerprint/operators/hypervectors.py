@@ -350,7 +350,7 @@ def hv_bundle(
         placed = ranked(rows, by, order, pos="pos", total=None, block_rows=block_rows, keep_block=True, counts_from=counts_from)
     else:
         rows = rows.where(F.col(order).isNotNull())
-        placed = blocked(rows, by, order, block_rows, counts_from)[0].withColumn("pos", F.col(order).cast("bigint"))
+        placed = blocked(rows, by, order, block_rows, counts_from).withColumn("pos", F.col(order).cast("bigint"))
     data = placed.select(*by, "__block", "pos", "bits")
     return fold_partials(partial_sums(data, by, dim, positional), by, dim, positional, keep_acc=keep_acc)
 

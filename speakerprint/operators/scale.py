@@ -1,9 +1,9 @@
 """Ranking, joining and medians that stay parallel when one key holds most rows.
 
-All helpers work on blocks (``blocked``). A key of up to ``block_rows`` rows is one block; the order
-values of a larger one are cut into ranges by their density, so that wide gaps between values give
-no more blocks. A key is then never one task's work; only per-block counts (about 1/block_rows of
-the data) meet in a window over the whole key.
+Keys of up to ``block_rows`` rows are ranked by a window. The rows of larger keys are range-partitioned
+by (key, order), written once, and numbered where they lie; each (key, partition) has one count, and the
+offsets made of those turn places into positions. A block is a range of positions, so that a key of n rows
+has ceil(n / block_rows) blocks whatever its order values are: crowded, sparse, negative or not numbers.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speakerprint.session import materialised
+
 BLOCK_ROWS = 65_536
 HOT_ROWS = 1_000_000
 #: Salts for rows of ``spread_join`` with a null key, which match nothing wherever they go.
 NULL_SALTS = 1 << 30
-PLACE = "__place"
+#: Rows of keys or of partition offsets that are broadcast at most; more are joined by a shuffle.
+SMALL_TABLE = 1_000_000
 
 
 def block_of(order: str, block_rows: int = BLOCK_ROWS) -> Column:
@@ -32,121 +35,114 @@ def _key(keys: Sequence[str]) -> Column:
     return F.struct(*keys, F.lit(0).alias("__one"))
 
 
-def blocked(
-    df: DataFrame, keys: Sequence[str], order: str, block_rows: int = BLOCK_ROWS, counts_from: DataFrame | None = None, others: Sequence[DataFrame] = ()
-) -> list[DataFrame]:
-    """``df`` and ``others`` with ``__block``: ranges of an integer order inside a key, in order.
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, broadcast where its counted rows are few."""
+    return F.broadcast(df) if rows <= SMALL_TABLE else df
+
+
+def _light_and_heavy(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int, counts_from: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` without the rows of keys of more than ``block_rows`` rows, and those rows with their places.
+
+    The second frame is None where no key is that large, else it has ``__pos``, ``__total``,
+    ``__block`` and ``__blocks`` besides. It is written to the shared folder before it is numbered:
+    a range partitioning samples its input, and numbers must not change when a task runs again.
+    """
+    source = df if counts_from is None else counts_from
+    sizes = source.groupBy(_key(keys).alias("__key")).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > block_rows)
+    seen = sizes.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("__c"), F.lit(0)).alias("rows")).first()
+    if not seen["keys"]:
+        return df, None
+    large = _side(sizes.select("__key"), seen["keys"])
+    named = df.withColumn("__key", _key(keys))
+    light = named.join(large, "__key", "left_anti").drop("__key")
+    parts = -(-seen["rows"] // block_rows)
+    along = ["__key", *order]
+    dealt = named.join(large, "__key", "left_semi").repartitionByRange(parts, *along).sortWithinPartitions(*along)
+    heavy = materialised(dealt.withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33).alias("__part")
+    counts = heavy.groupBy("__key", part).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy("__key")
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        "__key", "__part", (F.coalesce(F.sum("__c").over(before), F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__c").over(whole).alias("__total")
+    )
+    joined = heavy.withColumn("__part", part).join(_side(offsets, parts + seen["keys"]), ["__key", "__part"])
+    joined = joined.withColumn("__pos", F.col("__at") + F.col("__shift"))
+    joined = joined.withColumn("__block", F.expr(f"__pos div {block_rows}")).withColumn("__blocks", F.expr(f"(__total + {block_rows - 1}) div {block_rows}"))
+    return light, joined.drop("__key", "__part", "__at", "__shift")
+
+
+def blocked(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], block_rows: int = BLOCK_ROWS, counts_from: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``__block``: the position of a row inside its key, in order, div ``block_rows``.
 
-    Keys of up to ``block_rows`` rows are block 0. The values of larger keys are cut so that
-    ``block_rows`` rows share a range on average between the 1st and the 99th percentile; values
-    outside go on in ranges of the same width, so that a far value widens none. The broadcast
-    table of large keys has at most |df| / block_rows rows. ``counts_from`` has the same keys and
-    order values and a cheaper lineage.
+    ``order`` is one or several columns that are unique inside a key together. ``counts_from`` has the
+    same keys, row for row, and a cheaper lineage.
     """
-    narrow = (df if counts_from is None else counts_from).select(_key(keys).alias("__key"), F.col(order).cast("bigint").alias("__o"))
-    ends = F.percentile_approx("__o", [0.01, 0.99], 1_000).alias("__ends")
-    if keys:
-        sizes = narrow.groupBy("__key").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > block_rows)
-        large = narrow.join(F.broadcast(sizes), "__key").groupBy("__key").agg(F.max("__c").alias("__c"), ends)
-    else:
-        large = narrow.agg(F.count(F.lit(1)).alias("__c"), ends).where(F.col("__c") > block_rows)
-    low, high = (F.col("__ends")[i].cast("double") for i in (0, 1))
-    width = F.greatest((high - low) / F.ceil(F.col("__c") / block_rows), F.lit(float(block_rows)))
-    cuts = F.struct(low.alias("low"), width.alias("width")).alias("__cuts")
-    if keys:
-        large = F.broadcast(large.select("__key", cuts))
-        placed = [d.withColumn("__key", _key(keys)).join(large, "__key", "left").drop("__key") for d in (df, *others)]
-    else:
-        placed = [d.withColumn("__cuts", large.select(cuts).scalar()) for d in (df, *others)]
-    cut = F.floor((F.col(order).cast("bigint").cast("double") - F.col("__cuts.low")) / F.col("__cuts.width"))
-    number = F.when(F.col("__cuts.width").isNull(), F.lit(0).cast("bigint")).otherwise(cut)
-    return [d.withColumn("__block", number).drop("__cuts") for d in placed]
+    light, heavy = _light_and_heavy(df, keys, [order] if isinstance(order, str) else order, block_rows, counts_from)
+    light = light.withColumn("__block", F.lit(0).cast("bigint"))
+    return light if heavy is None else light.unionByName(heavy.drop("__pos", "__total", "__blocks"))
 
 
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     pos: str = "pos",
     total: str | None = "n",
     block_rows: int = BLOCK_ROWS,
-    block: Column | None = None,
     keep_block: bool = False,
     counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of every row inside its key, and the key's row count.
 
-    ``order`` must be unique inside a key and, unless ``block`` is given, an integer. Rows with
-    a null key are a key of their own and a null order comes first, as in a window. The rows
-    are shuffled once, by (key, block); a window per block ranks
-    them and the joined block offset makes the rank global. With ``keep_block`` the columns
-    ``__block`` and ``__blocks`` (blocks of the key) stay, so that a following grouping by
-    (key, __block) needs no further shuffle; there, rows with a null key or order belong to no
-    bundle and are left out. ``counts_from`` is another frame with the same
-    keys and order values, used for the block counts when ``df`` is costly to compute twice.
+    ``order`` is one or several columns of any orderable types that are unique inside a key together.
+    Rows with a null key are a key of their own and a null order comes first, as in a window. Rows of
+    keys of up to ``block_rows`` rows are shuffled once, by key, and ranked by a window; a pass over
+    the keys alone finds the larger ones. With ``keep_block`` the columns ``__block`` and ``__blocks`` (blocks of the key)
+    stay; there, rows with a null order belong to no bundle and are left out. ``counts_from`` is another
+    frame with the same keys, row for row, used for the counts when ``df`` is costly to compute twice.
     """
-    keys = list(keys)
+    keys, order = list(keys), [order] if isinstance(order, str) else list(order)
     if keep_block:
-        df, counts_from = (d if d is None else d.where(F.col(order).isNotNull()) for d in (df, counts_from))
-    if block is None:
-        data, *rest = blocked(df, keys, order, block_rows, counts_from, [] if counts_from is None else [counts_from])
-        counted = rest[0] if rest else data
-    else:
-        data = df.withColumn("__block", block)
-        counted = data if counts_from is None else counts_from.withColumn("__block", block)
-    counts = counted.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__c"))
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    at = [*keys, "__block"] if keep_block else [PLACE]
-    offsets = counts.select(
-        *(at if keep_block else [place(keys)]),
-        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"),
-        F.sum("__c").over(whole).alias("__total"),
-        F.count(F.lit(1)).over(whole).alias("__blocks"),
-    )
-    inner = Window.partitionBy(*at).orderBy(order)
-    out = (data if keep_block else data.withColumn(PLACE, place(keys))).join(offsets, at).withColumn(
-        pos, (F.row_number().over(inner) - F.lit(1) + F.col("__before")).cast("bigint")
-    )
-    if total:
-        out = out.withColumn(total, F.col("__total").cast("bigint"))
-    drop = ["__before", "__total"] + ([] if keep_block else ["__block", "__blocks", PLACE])
-    return out.drop(*drop)
-
-
-def place(keys: Sequence[str]) -> Column:
-    """Keys and block in one struct: fields that are null are equal to each other, in a join as in a window."""
-    return F.struct(*keys, "__block").alias(PLACE)
+        missing = reduce(or_, [F.col(c).isNull() for c in order])
+        df, counts_from = (d if d is None else d.where(~missing) for d in (df, counts_from))
+    light, heavy = _light_and_heavy(df, keys, order, block_rows, counts_from)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    light = light.withColumn("__pos", (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint"))
+    light = light.withColumn("__total", F.count(F.lit(1)).over(whole)) if total else light
+    if keep_block:
+        light = light.withColumn("__block", F.lit(0).cast("bigint")).withColumn("__blocks", F.lit(1).cast("bigint"))
+    out = light if heavy is None else light.unionByName(heavy.select(*light.columns))
+    given = {pos: F.col("__pos"), **({total: F.col("__total")} if total else {})}
+    return out.withColumns(given).drop("__pos", "__total")
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx", total: str | None = "n") -> DataFrame:
-    """Number the distinct values of ``key`` 0, 1, 2, ... without a global sort.
-
-    Integer keys are numbered in key order; other types by (hash bucket, value), which is
-    just as stable but has no meaning of its own.
-    """
+    """Number the distinct values of ``key`` 0, 1, 2, ... in their order, without a global sort."""
     distinct = df.select(key).where(F.col(key).isNotNull()).distinct()
-    integral = dict(distinct.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    block = None if integral else F.expr(f"pmod(xxhash64({key}), 4096)")
-    return ranked(distinct, [], key, pos=name, total=total, block=block)
+    return ranked(distinct, [], key, pos=name, total=total)
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str], block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], sums: dict[str, str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Inclusive running sums of columns along an integer order, in two block-wise levels."""
-    keys = list(keys)
-    data = blocked(df, keys, order, block_rows)[0]
-    totals = data.groupBy(*keys, "__block").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        place(keys), *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums]
-    )
-    inner = Window.partitionBy(PLACE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = data.withColumn(PLACE, place(keys)).join(offsets, PLACE)
-    for c, name in sums.items():
-        out = out.withColumn(name, F.sum(c).over(inner) + F.col(f"__o_{c}"))
-    return out.drop("__block", PLACE, *[f"__o_{c}" for c in sums])
+    """Inclusive running sums of columns along an order; those of large keys in two block-wise levels."""
+    keys, order = list(keys), [order] if isinstance(order, str) else list(order)
+    light, heavy = _light_and_heavy(df, keys, order, block_rows)
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    light = light.select("*", *[F.sum(c).over(along).alias(name) for c, name in sums.items()])
+    if heavy is None:
+        return light
+    heavy = heavy.withColumn("__place", F.struct(*keys, "__block"))
+    totals = heavy.groupBy("__place").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = Window.partitionBy(*[F.col("__place")[k] for k in keys] or [F.lit(0)]).orderBy(F.col("__place")["__block"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__place", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}") for c in sums])
+    inner = Window.partitionBy("__place").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    joined = heavy.join(offsets, "__place")
+    upto = [(F.sum(c).over(inner) + F.col(f"__o_{c}")).alias(name) for c, name in sums.items()]
+    return light.unionByName(joined.select(*df.columns, *upto))
 
 
 def spread_join(

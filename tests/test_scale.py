@@ -98,15 +98,45 @@ def test_null_join_keys_are_dealt_out(spark):
 
 
 def test_blocks_follow_rows_not_values(spark):
-    """Wide gaps and far values give one block per small key and few for a large one."""
+    """Clustered, sparse, negative and extreme values: every key has ceil(n / block) blocks, and no block has more rows than that."""
     rows = [(k, (i - 200) * 10**12 + k) for k in range(20) for i in range(20)]
     rows += [(99, i * 10**9) for i in range(1_000)] + [(99, 2**63 - 1), (99, -(2**63))]
+    rows += [(98, c * 10**15 + i) for c in (-1, 1) for i in range(1_000)] + [(None, -i) for i in range(150)]
     df = spark.createDataFrame(rows, "k bigint, o bigint")
     out = S.ranked(df, ["k"], "o", block_rows=100, keep_block=True)
     blocks = {r["k"]: r["n"] for r in out.groupBy("k").agg(F.count_distinct("__block").alias("n")).collect()}
-    assert all(blocks[k] == 1 for k in range(20)) and 10 <= blocks[99] <= 15
-    assert out.groupBy("k", "__block").count().agg(F.max("count")).first()[0] <= 120
-    want = sorted((k, o, sorted(x for j, x in rows if j == k).index(o)) for k, o in rows)
-    assert sorted(tuple(r) for r in out.select("k", "o", "pos").collect()) == want
-    whole = S.blocked(df, [], "o", block_rows=100)[0]
-    assert whole.select("__block").distinct().count() <= 60
+    assert blocks == {**dict.fromkeys(range(20), 1), 99: 11, 98: 20, None: 2}
+    assert out.groupBy("k", "__block").count().agg(F.max("count")).first()[0] == 100
+    assert out.where("__blocks <> CASE WHEN k IS NULL THEN 2 WHEN k = 99 THEN 11 WHEN k = 98 THEN 20 ELSE 1 END").count() == 0
+    by_key = {k: sorted(x for j, x in rows if j == k) for k in blocks}
+    want = {(k, o, by_key[k].index(o)) for k, o in rows}
+    assert {tuple(r) for r in out.select("k", "o", "pos").collect()} == want
+    whole = S.blocked(df, [], ["k", "o"], block_rows=100)
+    assert sorted(r["count"] for r in whole.groupBy("__block").count().collect()) == [52] + [100] * 35
+
+
+def test_large_keys_are_numbered_in_bounded_tasks(spark, monkeypatch):
+    """Without adaptive execution, no partition of a range-partitioned key gets far more than its share."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    written, write = [], S.materialised
+    monkeypatch.setattr(S, "materialised", lambda df, name: written.append(write(df, name)) or written[-1])
+    try:
+        df = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), (F.pow("id", 2) % 7919 * 10**6 + F.col("id")).cast("bigint").alias("o"))
+        _, heavy = S._light_and_heavy(df, ["k"], ["o"], 1_000)
+        sizes = [r["count"] for r in written[0].groupBy(F.shiftright("__at", 33)).count().collect()]
+        assert sum(sizes) == 26_666 and max(sizes) <= 2_000
+        assert heavy.groupBy("__block").count().agg(F.max("count"), F.count("*")).first()[0:2] == (1_000, 27)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_orders_of_several_columns_and_texts(spark):
+    rows = [(i % 3, f"w{i * 7919 % 500:04d}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, a string, b int")
+    for block in (20, 1_000):
+        got = {(r["k"], r["a"], r["b"]): (r["pos"], r["n"]) for r in S.ranked(df, ["k"], ["a", "b"], block_rows=block).collect()}
+        for k in range(3):
+            own = sorted((a, b) for j, a, b in rows if j == k)
+            assert [got[(k, a, b)] for a, b in own] == [(i, len(own)) for i in range(len(own))]
+        sums = {(r["k"], r["a"], r["b"]): r["s"] for r in S.running_sums(df, ["k"], ["a", "b"], {"b": "s"}, block_rows=block).collect()}
+        assert all(sums[(0, a, b)] == sum(y for j, x, y in rows if j == 0 and (x, y) <= (a, b)) for j, a, b in rows if j == 0)
