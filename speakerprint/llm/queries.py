@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speakerprint.llm import backoff, bpe, leaks, licenses, near_dups, quality_lm, repeats, rules, site_tree, surrogates
+from speakerprint.llm import backoff, bpe, leaks, licenses, near_dups, quality_lm, repair, repeats, rules, site_tree, surrogates
 from speakerprint.plans.catalog import table
 from speakerprint.session import ship
 
@@ -63,6 +63,10 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 #: Rules of op7 in DuckDB's dialect: the conditions of ``rules.RULES`` over the same measurements.
 OP7_SQL = """
 WITH d AS (
@@ -94,7 +98,7 @@ _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_near_duplicates, op3_main_text, op4_surrogates, op5_licenses, op6_backoff_scores, op7_quality_rules, op8_bpe, op9_repeats,
-        op10_leaks,
+        op10_leaks, op12_repair,
     )
 }
 _SQL = {"op7_quality_rules": OP7_SQL}
