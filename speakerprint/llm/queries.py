@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speakerprint.llm import backoff, bpe, leaks, licenses, near_dups, quality_lm, repair, repeats, rules, site_tree, surrogates
+from speakerprint.llm import backoff, bpe, leaks, licenses, near_dups, quality_lm, repair, repeats, rules, site_tree, substrings, surrogates, whitening
 from speakerprint.plans.catalog import table
 from speakerprint.session import ship
 
@@ -63,10 +63,20 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.stop - s.start)
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Rules of op7 in DuckDB's dialect: the conditions of ``rules.RULES`` over the same measurements.
 OP7_SQL = """
 WITH d AS (
@@ -98,7 +108,7 @@ _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_near_duplicates, op3_main_text, op4_surrogates, op5_licenses, op6_backoff_scores, op7_quality_rules, op8_bpe, op9_repeats,
-        op10_leaks, op12_repair,
+        op10_leaks, op11_whitening, op12_repair, op13_substrings,
     )
 }
 _SQL = {"op7_quality_rules": OP7_SQL}
