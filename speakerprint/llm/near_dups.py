@@ -3,15 +3,25 @@
 A document is the set of its distinct 5-word shingles. Equal sets are one class from the start, and
 only one document of each takes part in the join. Every independent tree branches documents down
 chosen paths: at a node, ``BRANCHES`` of the minwise tokens are drawn by a hash of the node, and a
-document goes on to the child named by its own values there. Nodes with one document end. Nodes of
+document goes on to the child named by its own values there. Nodes with one document end, and so do nodes whose
+documents have one label, a label naming documents known to be of one class. Nodes of
 up to ``SMALL`` documents compare all their pairs by minwise tokens and propose every one that agrees
-enough. In a larger node every document is compared with one pivot, the one that agrees most
-with the node's frequent tokens: those whose full sets are similar to it take its label, and only nodes
-that hold documents of several labels go on: all pairs of different labels are compared where a node has one
-block of documents, larger nodes are branched further. A node that keeps more than half of its parent's documents
-``LEVELS`` times in a row is not separated by tokens; all its pairs of different labels are compared in tasks of two
-blocks each, which takes time by the square of such a node. Near copies of a pivot have one label and are not paired
-with each other; no other pair that agrees enough is left out.
+enough. Larger ones end as cells, in which each document meets each of another label:
+
+* up to ``BLOCK`` documents are one cell;
+* a node whose documents have one label but for ``SMALL`` at most (a group of copies and what shares its tokens)
+  gives each cell ``BLOCK`` documents of that label and all the others, so that its rows follow its documents;
+* a node that keeps more than half of its parent's documents ``LEVELS`` times in a row is not separated by tokens: its
+  blocks meet two by two.
+
+Other large nodes compare every document with one pivot, the one that agrees most with the node's frequent tokens. Those
+whose full sets are similar to it take its label; then the node ends as above or is branched further. Two roots of each document
+are compared with pivots before all others, so that large groups of copies have one label in all trees.
+
+Cells propose pairs in rounds, and links found in one merge labels before the next: first the spanning forest of the best agreeing
+pairs between labels, then up to ``NEAREST`` pairs of every document, then every pair that agrees enough and still
+has different labels. So a group of c similar documents costs c pairs, and only documents that are similar without being linked
+are compared pair by pair. No pair that agrees enough is left out but those within one label.
 
 Two documents at the threshold (0.75) share a child with probability 1 - 0.25^2 per level and meet in a given
 tree, of any depth, with probability 8/9. All trees draw from the same ``MINHASHES`` tokens. Over the binomial
@@ -28,6 +38,8 @@ id and the same shingles is linked to. Other columns of the input do not reach t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -44,12 +56,15 @@ THRESHOLD = 75
 MINHASHES = 128
 TREES = 6
 BRANCHES = 2
-#: Documents of a node whose pairs are all compared at once, levels in a row that a node may keep over half of its
-#: parent's documents before it is compared in blocks, documents of a block, and tokens that vote for a pivot.
+#: Documents of a node whose pairs are all proposed at once, levels in a row that a node may keep over half of its
+#: parent's documents before its blocks meet, documents of a block, and tokens that vote for a pivot.
 SMALL = 64
 LEVELS = 2
 BLOCK = 1024
 VOTES = 16
+#: Pairs of a document in the second round of a cell, and the roots that are compared with pivots first.
+NEAREST = 8
+FIRST_ROOTS = (0, 2)
 #: Agreeing tokens for a candidate.
 CANDIDATE = 72
 _PRIME = np.uint64((1 << 61) - 1)
@@ -141,19 +156,21 @@ def _tokens(batch: pa.RecordBatch, column: str = "tokens") -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.int32).reshape(len(values), MINHASHES)
 
 
-def _roots(names: DataFrame) -> DataFrame:
-    """Nodes of the first level: every set in ``TREES`` times ``BRANCHES`` nodes."""
+def _roots(names: DataFrame, which: Sequence[int] = range(TREES * BRANCHES)) -> DataFrame:
+    """Nodes of the first level: every row (name, label, tokens) in ``TREES`` times ``BRANCHES`` nodes, or in some of them."""
+    which = list(which)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = _tokens(batch).view(np.uint32).astype(np.uint64)
         nodes = []
-        for i in range(TREES * BRANCHES):
+        for i in which:
             drawn = _mixed(np.array([i // BRANCHES * 7919 + i], dtype=np.uint64) * _STEP)[0]
             nodes.append(_mixed(drawn ^ (tokens[:, (i * 11 + 3) % MINHASHES] * _STEP)))
         out = np.concatenate(nodes).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out), pa.concat_arrays([batch.column("name")] * (TREES * BRANCHES))], names=["node", "name"])
+        rest = [pa.concat_arrays([batch.column(c)] * len(which)) for c in ("name", "label")]
+        return pa.RecordBatch.from_arrays([pa.array(out), *rest], names=["node", "name", "label"])
 
-    return map_batches(names.select("name", "tokens"), run, "node bigint, name binary")
+    return map_batches(names.select("name", "label", "tokens"), run, "node bigint, name binary, label binary")
 
 
 def _leaf_pairs(small: DataFrame) -> DataFrame:
@@ -239,84 +256,186 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+_COUNTS = (F.count, "c"), (F.min, "lo"), (F.max, "hi")
+
+
+def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, c) of nodes or cells that hold several labels."""
+    return rows.groupBy(*keys).agg(*[f("label").alias(n) for f, n in _COUNTS]).where("lo <> hi").select(*keys, "c")
+
+
+def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, name, label, tokens, c, stuck) of large nodes: those that end, dealt to cells, and the others.
+
+    A cell (node, i, j) has two sides; ``own`` is the side, counted from 1, whose documents meet each other as well.
+    """
+    tops = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("top"))
+    rows = rows.join(tops, "node")
+    lopsided = F.col("c") - F.col("top.n") <= SMALL
+    dense = (F.col("c") <= BLOCK) | (F.col("stuck") >= LEVELS)
+    def blocks(count):
+        return F.ceil(count / BLOCK).cast("int")
+
+    def part(count):
+        return F.pmod(F.xxhash64("name", "node"), blocks(count)).cast("int")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), blocks(count) - 1))
+
+    whole = rows.where(dense & ~lopsided).withColumn("part", part(F.col("c"))).withColumn("other", every(F.col("c")))
+    whole = whole.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    whole = whole.withColumn("side", F.when(F.col("part") == F.col("i"), 0).otherwise(1)).withColumn("own", F.when(F.col("i") == F.col("j"), 1).otherwise(0))
+    uneven = rows.where(lopsided).withColumn("j", F.lit(-1))
+    most = uneven.where(F.col("label") == F.col("top.label")).withColumn("i", part(F.col("top.n"))).withColumn("side", F.lit(0))
+    few = uneven.where(F.col("label") != F.col("top.label")).withColumn("i", every(F.col("top.n"))).withColumn("side", F.lit(1))
+    uneven = most.unionByName(few).withColumn("own", F.when(F.col("i") == 0, 2).otherwise(0))
+    columns = ["node", "i", "j", "side", "own", "name", "tokens"]
+    cells = whole.select(*columns).unionByName(uneven.select(*columns))
+    return cells, rows.where(~(dense | lopsided)).drop("top")
+
+
+def _to_pivots(large: DataFrame, sets: DataFrame, texts: DataFrame, asked: list[DataFrame], sure: list[DataFrame]) -> DataFrame:
+    """Rows (node, name, label, tokens, stuck) of large nodes, with the pivot's label where a link to it is confirmed."""
+    compared = materialised(_agreement(large.join(_pivots(large), "node")), "near-large")
+    near = compared.where((F.col("same") >= CANDIDATE) & (F.col("label") != F.col("pivot_label")))
+    near = near.select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b")).distinct()
+    _ask(near, sets, texts, asked, sure)
+    linked = _union(sure).select("a", "b", F.lit(True).alias("linked"))
+    both = compared.withColumn("a", F.least("name", "pivot")).withColumn("b", F.greatest("name", "pivot")).join(linked, ["a", "b"], "left")
+    label = F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("label")).alias("label")
+    return materialised(both.select("node", "name", label, "tokens", "stuck"), "near-labels")
+
+
+def _ask(pairs: DataFrame, sets: DataFrame, texts: DataFrame, asked: list[DataFrame], sure: list[DataFrame]) -> None:
+    """Confirm pairs that were not asked before."""
+    if asked:
+        pairs = pairs.join(_union(asked), ["a", "b"], "left_anti")
+    asked.append(materialised(pairs, "near-asked"))
+    sure.append(materialised(confirmed(asked[-1], sets, texts), "near-links"))
+
+
+def _labelled(rows: DataFrame, sure: list[DataFrame]) -> DataFrame:
+    """Rows with ``label``: the smallest name that links found so far lead to."""
+    roots = components(_union(sure)).select(F.col("node").alias("name"), F.col("root").alias("label"))
+    joined = rows.drop("label").join(roots, "name", "left")
+    return joined.withColumn("label", F.coalesce("label", "name"))
+
+
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed pairs (a, b), a < b, of names that the trees bring together.
 
     ``sets`` has name, key and tokens, one row each; ``texts`` (key, text). Documents take the label of a
     pivot only where their link to it is confirmed, so that documents of one label are of one class.
     """
-    first = _roots(sets)
-    shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("node")
-    rows = first.join(shared, "node").join(sets.select("name", "tokens"), "name").select("node", "name", F.col("name").alias("label"), "tokens")
-    rows = rows.withColumn("up", F.lit(None).cast("bigint")).withColumn("stuck", F.lit(0))
-    rows = materialised(rows, "near-level")
-    found, asked, sure = [], [], []
+    asked, sure, found, cells = [], [], [], []
+    named = sets.select("name", F.col("name").alias("label"), "tokens")
+    early = _roots(named, FIRST_ROOTS)
+    crowded = early.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("node")
+    early = materialised(early.join(crowded, "node").join(sets.select("name", "tokens"), "name").withColumn("stuck", F.lit(0)), "near-early")
+    if not early.isEmpty():
+        _to_pivots(early, sets, texts, asked, sure)
+        named = materialised(_labelled(named, sure), "near-named")
+    first = _roots(named)
+    rows = first.join(_sizes(first, "node").select("node"), "node").join(sets.select("name", "tokens"), "name")
+    rows = materialised(rows.withColumn("up", F.lit(None).cast("bigint")).withColumn("stuck", F.lit(0)), "near-level")
     for level in count(1):
-        counts = [F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")]
-        stats = rows.groupBy("node").agg(*counts, F.first("up").alias("up"), F.first("stuck").alias("stuck")).where("lo <> hi")
+        stats = rows.groupBy("node").agg(*[f("label").alias(n) for f, n in _COUNTS], F.first("up").alias("up"), F.first("stuck").alias("stuck")).where("lo <> hi")
         stats = stats.withColumn("stuck", F.when(2 * F.col("c") > F.col("up"), F.col("stuck") + 1).otherwise(F.lit(0)))
         small = rows.join(stats.where(F.col("c") <= SMALL).select("node"), "node")
         found.append(materialised(_leaf_pairs(small).distinct(), "near-pairs"))
-        large_nodes = stats.where(F.col("c") > SMALL).select("node", "c", "stuck")
-        wide = materialised(rows.select("node", "name", "label", "tokens").join(large_nodes, "node"), "near-wide")
+        wide = rows.select("node", "name", "label", "tokens").join(stats.where(F.col("c") > SMALL).select("node", "c", "stuck"), "node")
+        wide = materialised(wide, "near-wide")
         if wide.isEmpty():
             break
-        large = materialised(_agreement(wide.join(_pivots(wide), "node")), "near-large")
-        near = large.where((F.col("same") >= CANDIDATE) & (F.col("label") != F.col("pivot_label")))
-        near = near.select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b")).distinct()
-        if asked:
-            near = near.join(_union(asked), ["a", "b"], "left_anti")
-        asked.append(materialised(near, "near-asked"))
-        sure.append(materialised(confirmed(asked[-1], sets, texts), "near-links"))
-        linked = _union(sure).select("a", "b", F.lit(True).alias("linked"))
-        both = large.withColumn("a", F.least("name", "pivot")).withColumn("b", F.greatest("name", "pivot")).join(linked, ["a", "b"], "left")
-        rows = both.select("node", "name", F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("label")).alias("label"), "tokens", "stuck")
-        rows = materialised(rows, "near-labels")
-        rows = rows.join(rows.groupBy("node").agg(*counts).where("lo <> hi").select("node", "c"), "node")
-        ends = (F.col("c") <= BLOCK) | (F.col("stuck") >= LEVELS)
-        found.append(materialised(_block_pairs(_once(rows.where(ends))).distinct(), "near-pairs"))
-        rows = materialised(_children(rows.where(~ends), level), "near-level")
-    pairs = _union(found)
-    if asked:
-        pairs = pairs.join(_union(asked), ["a", "b"], "left_anti")
-    pairs = materialised(pairs, "near-candidates")
-    return _union([confirmed(pairs, sets, texts), *sure])
+        ends, large = _sorted_out(wide)
+        cells.append(materialised(ends, "near-cells"))
+        large = materialised(large, "near-open")
+        if large.isEmpty():
+            break
+        rows = _to_pivots(large, sets, texts, asked, sure)
+        ends, large = _sorted_out(rows.join(_sizes(rows, "node"), "node"))
+        cells.append(materialised(ends, "near-cells"))
+        rows = materialised(_children(large, level), "near-level")
+    _ask(_union(found), sets, texts, asked, sure)
+    _rounds(cells, sets, texts, asked, sure)
+    return _union(sure)
+
+
+def _rounds(cells: list[DataFrame], sets: DataFrame, texts: DataFrame, asked: list[DataFrame], sure: list[DataFrame]) -> None:
+    """Propose and confirm pairs of cells until every one that agrees enough was asked for or has one label."""
+    if not cells:
+        return
+    every = materialised(reduce(DataFrame.unionAll, cells), "near-cells")
+    for most in (1, NEAREST, None):
+        labelled = materialised(_labelled(every, sure), "near-labelled")
+        several = _sizes(labelled, "node", "i", "j")
+        pairs = materialised(_cell_pairs(_once(labelled.join(several.drop("c"), ["node", "i", "j"])), most).distinct(), "near-pairs")
+        if pairs.isEmpty():
+            break
+        _ask(pairs, sets, texts, asked, sure)
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """Rows of nodes, one node of those that hold the same documents with the same labels."""
-    held = F.xxhash64("name", "label")
-    what = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(held).alias("x"), F.bit_xor(F.xxhash64("label", "name", F.lit(1))).alias("y"))
-    return rows.join(what.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node"), "node")
+    """Rows of cells, one cell of those that hold the same documents with the same labels on the same sides."""
+    cell = ["node", "i", "j"]
+    held = [F.xxhash64("name", "label", "side", "own", F.lit(k)) for k in range(2)]
+    what = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(h).alias(f"x{k}") for k, h in enumerate(held)])
+    return rows.join(what.groupBy("n", "x0", "x1").agg(F.min(F.struct(*cell)).alias("cell")).select("cell.*"), cell)
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes that tokens no longer separate: all are compared, one task for each two blocks of a node.
+def _cell_pairs(rows: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of different labels that agree in ``CANDIDATE`` tokens, of each cell.
 
-    Every pair of different labels that agrees in ``CANDIDATE`` tokens is proposed.
+    ``most`` = 1: a spanning forest of the labels by the best agreeing pairs; a greater number: the best agreeing
+    pairs, so many of each document; None: all.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        names = np.array(table.column("name").to_pylist(), dtype=object)
-        labels = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-        part, tokens = table.column("part").to_numpy(), np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.int32).reshape(-1, MINHASHES)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.nonzero(part == i)[0], np.nonzero(part == j)[0]
-        a, b = [], []
-        for n, x in enumerate(left):
-            others = right if i != j else left[n + 1 :]
+        table = table.sort_by("name").combine_chunks()
+        names, labels = table.column("name").to_pylist(), table.column("label").to_pylist()
+        labels = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.int32).reshape(-1, MINHASHES)
+        side, own = table.column("side").to_numpy(), table.column("own")[0].as_py()
+        sides = [np.flatnonzero(side == s) for s in (0, 1)]
+        todo = [(x, sides[0]) for x in sides[1]] + ([(x, sides[own - 1][n + 1 :]) for n, x in enumerate(sides[own - 1])] if own else [])
+        left, right, same = [], [], []
+        for x, others in todo:
             others = others[labels[others] != labels[x]]
-            for y in others[(tokens[others] == tokens[x]).sum(axis=1) >= CANDIDATE]:
-                a.append(min(names[x], names[y]))
-                b.append(max(names[x], names[y]))
+            agree = np.count_nonzero(tokens[others] == tokens[x], axis=1)
+            enough = agree >= CANDIDATE
+            left.append(np.full(int(enough.sum()), x))
+            right.append(others[enough])
+            same.append(agree[enough])
+        left, right, same = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (left, right, same))
+        order = np.argsort(-same, kind="stable")
+        left, right = left[order].tolist(), right[order].tolist()
+        if most == 1:
+            parent = list(range(int(labels.max()) + 1))
+
+            def root(v: int) -> int:
+                while parent[v] != v:
+                    parent[v] = v = parent[parent[v]]
+                return v
+
+            chosen = []
+            for x, y in zip(left, right):
+                u, v = root(labels[x]), root(labels[y])
+                if u != v:
+                    parent[u] = v
+                    chosen.append((x, y))
+        elif most:
+            used, chosen = np.zeros(len(names), dtype=np.int64), []
+            for x, y in zip(left, right):
+                if used[x] < most or used[y] < most:
+                    used[[x, y]] += 1
+                    chosen.append((x, y))
+        else:
+            chosen = zip(left, right)
+        pairs = sorted((min(names[x], names[y]), max(names[x], names[y])) for x, y in chosen)
+        a, b = zip(*pairs) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("name", "node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("node", "name", "label", "tokens", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return dealt.groupBy("node", "i", "j").applyInArrow(run, "a binary, b binary")
+    return rows.groupBy("node", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def _overlap(batch: pa.RecordBatch) -> pa.RecordBatch | None:
