@@ -104,6 +104,84 @@ def test_markup(page, text):
     assert site_tree.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><div class='content has-sidebar'><article>a<p>b</article></div>", "a\n\nb"),
+        ("<body><form action=x><div id=wrap><article>a</article></div><input><button>no</button></form>", "a"),
+        ("<body><form><h1>t</h1><p>" + "long text " * 9 + "<nav><a>no</a></nav></form><p>short", "t\n\n" + ("long text " * 9).strip() + "\n\nshort"),
+        ("<article class='post no-comments format-aside'>a</article>", "a"),
+        ("<article>" + "long text " * 20 + "</article><article>teaser</article><article>" + "second " * 20 + "</article>", ("long text " * 20).strip() + "\n\n" + ("second " * 20).strip()),
+        ("<section class=comments><article>me too, and at much greater length than the post</article></section><article>post</article>", "post"),
+        ("<div class=post-comments><article class=comment>no</article></div><div class=sidebar-left><p>no</div><p>yes", "yes"),
+        ("<main><p>intro of some length<article>teaser</article><p>more of the text</main>", "intro of some length\n\nteaser\n\nmore of the text"),
+        ("<article><div class=entry-header><h1>T</h1></div>let <math><mi>x</mi></math> be <object data=y>shown</object><noscript>too</noscript></article>", "T\n\nlet x be showntoo"),
+        ("<div class=site-header>no</div><div class=MainMenu>no</div><p>yes", "yes"),
+        ("<div role=main>yes</div><p>no", "yes"),
+    ],
+)
+def test_wrappers_and_articles(page, text):
+    assert site_tree.main_text(page) == text
+
+
+@pytest.mark.parametrize("body", ["<article>The same story on every page.</article>", "<div><h1>Same</h1><p>The same story.</div>"])
+def test_mirrored_and_link_heavy_hosts(spark, body):
+    """Equal pages count once, and long menus above short articles weigh nothing."""
+    menu = "<nav>" + "".join(f"<li><a href=/{i}>a long entry of the menu {i}</a>" for i in range(40)) + "</nav>"
+    rows = [(i, "http://m.example/", f"<body>{menu}{body}</body>") for i in range(20)] + [(20 + i, "http://l.example/", f"<body>{menu}<div class=z><p>Story {i}.</div>") for i in range(12)]
+    by = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {by[i] for i in range(20)} == {site_tree.main_text(body)} and "" not in by.values()
+    assert [by[20 + i] for i in range(12)] == [f"Story {i}." for i in range(12)]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert site_tree.main_text("<span>x" * 20_000) == "x" * 20_000
+    assert len(list(site_tree.node_rows("<span>x" * 20_000))) == 20_000
+    assert site_tree.main_text("<span><p>x" * 5_000).count("x") == 5_000 and site_tree.main_text("</b>" * 50_000 + "x") == "x"
+    assert time.perf_counter() - start < 4
+
+
+def plain_site(rows, low=site_tree.LOW):
+    """Extraction with a style tree in plain dictionaries, for pages without articles; page_id -> text."""
+    import math
+    from collections import Counter, defaultdict
+
+    hosts = defaultdict(set)
+    for _, url, page in rows:
+        hosts[url].add(page)
+    out = {}
+    for url, pages in hosts.items():
+        content, style, size = defaultdict(Counter), defaultdict(Counter), defaultdict(lambda: [0, 0])
+        for page in pages:
+            for node, _, c, s, chars, links in site_tree.node_rows(page):
+                content[node][c] += 1
+                style[node][s] += 1
+                size[node][0] += chars
+                size[node][1] += links
+        def entropy(counts):
+            n = sum(counts.values())
+            return 1 - sum(c * math.log(c) for c in counts.values()) / n / math.log(n) if n > 1 else 1.0
+        weak = {
+            node for node in content
+            if sum(content[node].values()) >= site_tree.MIN_PAGES
+            and max(entropy(content[node]), entropy(style[node])) * (1 - size[node][1] / max(size[node][0], 1)) < low
+        }
+        for i, u, page in rows:
+            if u == url:
+                out[i] = site_tree.main_text(page, weak)
+    return out
+
+
+def test_style_tree_equals_plain_counts(spark):
+    page = "<body><div class=x><p>Welcome.</div><div class=y><p>Story {0}<p>{1}</div><ul class=z><li><a href=/>one</a><li>{2}</ul><p>Imprint {3}"
+    rows = [(i, f"h{i % 3}", page.format(i, i % 4, i % 2, "same")) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == plain_site(rows) and any("Welcome" not in t for t in got.values())
+
+
 def test_licenses(docs_of):
     rows = [
         (1, "Released under the MIT License."), (2, "All rights reserved. ALL RIGHTS   reserved"), (3, "Licensed under CC BY-NC 4.0."), (4, None), (5, ""),
