@@ -268,7 +268,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     found = materialised(_anchored(docs, window), "substring-runs")
     facts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("run").alias("lo"), F.max("run").alias("hi"))
-    facts = facts.where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # Stored, so that the join has plain shuffles on both sides and Spark can split an anchor of very many rows.
+    facts = materialised(facts.where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "substring-facts")
     several = materialised(found.join(facts, "anchor"), "substring-several")
     mixed = several.where("mixed")
     kinds = mixed.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first")).alias("place"), F.first("windows").alias("windows"))
