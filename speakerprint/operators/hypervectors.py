@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from speakerprint.functions import packed
 from speakerprint.operators.runs import fold_runs
-from speakerprint.operators.scale import blocked, ranked, running_sums, spread_join
+from speakerprint.operators.scale import blocked, ranked, spread_join
+from speakerprint.session import materialised
 
 # Hypervector dimensions and projection seed.
 HV_DIM = 10_000
@@ -33,6 +34,8 @@ BUNDLE_ROWS = 1 << 20
 HELD_SPEAKERS = 4_096
 #: Rows unpacked or projected at once inside a task.
 STEP = 1_024
+#: Neighbouring chunk seeds that a task folds into one.
+COMPOSE_FAN = 4_096
 #: Consensus rule: members per task type and lowest score.
 MERGE_TOP, MERGE_MIN_SCORE = 5, 0.8
 
@@ -222,6 +225,35 @@ def hv_encode(
     return df.mapInArrow(encode, schema)
 
 
+def hv_encode_prefixes(
+    df: DataFrame, ks: Sequence[int], vec: str = "projected", out: str = "bits", dim: int = HV_DIM, seed: int = HV_SEED, scale: int = packed.SCALE
+) -> DataFrame:
+    """One row per k of ``ks``: packed signs of the first k components of a vector, ``(other columns, k, bits)``.
+
+    The product with the sign matrix is built up component range by component range, so that all k together cost one
+    product; the sums are exact integers. A k above the length takes the whole vector.
+    """
+    ks = sorted(set(ks))
+    keep = [c for c in df.columns if c != vec]
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("k", T.IntegerType()), T.StructField(out, T.ArrayType(T.LongType()))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, STEP):
+                batch = whole.slice(lo, STEP)
+                q = packed.quantise(packed.list_matrix(batch.column(vec), np.float64), scale)
+                sign = packed.sign_matrix(q.shape[1], dim, seed, "sign")
+                total, done = np.zeros((len(q), dim), dtype=np.int64), 0
+                for k in ks:
+                    if done < min(k, q.shape[1]):
+                        total += packed.project_exact(q[:, done:k], sign[done:k])
+                        done = min(k, q.shape[1])
+                    columns = [*[batch.column(c) for c in keep], pa.array(np.full(len(q), k, dtype=np.int32)), packed.matrix_list(packed.pack(total >= 0), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keep, "k", out])
+
+    return df.where(F.col(vec).isNotNull()).mapInArrow(encode, schema)
+
+
 def hv_query(df: DataFrame, center: Center | None, vec: str = "embedding", dim: int = HV_DIM, seed: int = HV_SEED, **kw) -> DataFrame:
     """Encode single messages unshifted, in the basis shared with the seeds."""
     return hv_encode(df, vec=vec, dim=dim, seed=seed, center=center, **kw)
@@ -391,25 +423,55 @@ def fingerprints(
     return seeds.select(by, "n", (F.lit(own) & (F.col("n") < 2)).alias("degenerate"), *rest)
 
 
-def hv_compose(parts: DataFrame, by: str, chunk: str = "chunk", dim: int = HV_DIM) -> DataFrame:
+def hv_compose(parts: DataFrame, by: str, chunk: str = "chunk", dim: int = HV_DIM, fan: int = COMPOSE_FAN) -> DataFrame:
     """Compose chunk seeds ``(by, chunk, n, acc)`` into whole seeds without their messages.
 
-    ``acc`` is the integer seed of a chunk. Composition is (S1, n1) + (S2, n2) =
-    (roll(S1, n2) + S2, n1 + n2); it is done as a commutative sum of rolled-back parts.
+    ``acc`` is the integer seed of a chunk. Composition (S1, n1) + (S2, n2) = (roll(S1, n2) + S2, n1 + n2) is
+    associative: neighbours are folded in levels, up to ``fan`` of them by a task, in as few bytes per dimension as their sums
+    need. A speaker of any number of chunks takes the logarithm of it in levels.
     """
-    placed = running_sums(parts.select(by, chunk, "n", "acc"), [by], chunk, {"n": "__upto"})
+    keys = parts.schema[by].dataType.simpleString()
+    names = [by, "__order", "n", "width", "acc"]
+    head = f"`{by}` {keys}, __order bigint, n bigint, width int, acc binary"
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [_narrow(a) for a in packed.list_matrix(batch.column("acc"), np.int64)]
+            columns = [batch.column(by), batch.column("__order"), batch.column("n"), pa.array([w for w, _ in short], pa.int32()), pa.array([raw for _, raw in short], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n, acc, kind = None, 0, None, None
+
+        def done() -> pa.RecordBatch:
+            width, raw = _narrow(acc)
+            columns = [pa.array([current[0]], kind), pa.array([current[1]], pa.int64()), pa.array([n], pa.int64()), pa.array([width], pa.int32()), pa.array([raw], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def roll_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            acc = packed.list_matrix(batch.column("acc"), np.int64)
-            last = batch.column("__upto").to_numpy(zero_copy_only=False) - 1
-            rolled = np.stack([np.roll(a, -(s % dim)) for a, s in zip(acc, last)]) if len(acc) else acc
-            columns = _partial_columns(list(rolled), batch.column("n").to_pylist(), last.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(by), batch.column(chunk), *columns], names=[by, "__block", *PARTIAL_NAMES])
-
-    placed = placed.withColumn(chunk, F.col(chunk).cast("bigint")).withColumn("n", F.col("n").cast("bigint"))
-    partials = placed.mapInArrow(roll_back, f"{_head(parts, [by])}, `__block` bigint, {PARTIAL_SCHEMA}")
-    return fold_partials(partials, [by], dim)
+            kind = batch.schema.field(by).type
+            columns = [batch.column(c).to_pylist() for c in (by, "__block", "n", "width", "acc")]
+            for who, block, size, width, raw in zip(*columns):
+                part = np.frombuffer(raw, dtype=f"<i{width}").astype(np.int64)
+                if (who, block) != current:
+                    if current is not None:
+                        yield done()
+                    current, n, acc = (who, block), size, part
+                else:
+                    acc, n = np.roll(acc, size % dim) + part, n + size
+        if current is not None:
+            yield done()
+
+    given = parts.select(by, F.col(chunk).cast("bigint").alias("__order"), F.col("n").cast("bigint").alias("n"), "acc").where(F.col("acc").isNotNull() & F.col("__order").isNotNull())
+    level = materialised(given.mapInArrow(narrow, head), "compose")
+    while True:
+        dealt = blocked(level, [by], "__order", fan)
+        folded = dealt.repartition(by, "__block").sortWithinPartitions(by, "__block", "__order").mapInArrow(fold, head)
+        level = materialised(folded, "compose")
+        if level.groupBy(by).agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+            break
+    last = level.select(by, F.lit(0).cast("bigint").alias("__block"), "width", "acc", "n", F.lit(0).cast("bigint").alias("last"))
+    return fold_partials(last, [by], dim)
 
 
 def consensus_members(registry: DataFrame, top: int = MERGE_TOP, min_score: float = MERGE_MIN_SCORE) -> DataFrame:

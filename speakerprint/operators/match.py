@@ -20,7 +20,7 @@ from speakerprint.functions import packed
 from speakerprint.functions.mixing import pick
 from speakerprint.functions.vectors import cosine
 from speakerprint.operators.hypervectors import HV_DIM
-from speakerprint.operators.scale import ranked, spread_join
+from speakerprint.operators.scale import SMALL_TABLE, ranked, spread_join
 from speakerprint.session import materialised
 
 # Retrieval threshold and similarity bands.
@@ -145,12 +145,14 @@ def _by_blocks(
     dim: int,
     query_block: int = QUERY_BLOCK,
     candidate_block: int = CANDIDATE_BLOCK,
+    keep_row: bool = False,
 ) -> DataFrame:
     """Block-by-block scoring inside each bucket (no bucket columns: one bucket for all).
 
     A bucket with many queries and candidates, even one holding a third of both, is cut into
     cells of at most about query_block x candidate_block rows; a cell emits its k best per query.
     A query is a ``__row`` where the frame has that column, as it does without buckets, else a ``query_id``.
+    ``keep_row`` gives the rows with their ``__row`` and distance ``ham`` instead of scores.
     """
     bucket = list(bucket)
     queries = queries.where(F.col("bits").isNotNull()) if bucket else _numbered(queries)
@@ -211,12 +213,24 @@ def _by_blocks(
     ranked_hits = hits.withColumn("rank", F.row_number().over(order))
     if k is not None:
         ranked_hits = ranked_hits.where(F.col("rank") <= k)
+    if keep_row:
+        return ranked_hits
     return _with_scores(ranked_hits, dim).select(*[x for x in keep if x != "__row"], "candidate", "ord", "score", "rank")
 
 
-def identify(queries: DataFrame, candidates: DataFrame, dim: int = HV_DIM, **kw) -> DataFrame:
-    """The closest fingerprint per query; the first candidate wins ties."""
-    return top_candidates(queries, candidates, 1, None, dim, **kw).drop("rank")
+def _pruned(queries: DataFrame, candidates: DataFrame, k: int, theta: float | None, dim: int, **kw) -> DataFrame:
+    from speakerprint.operators.hamming_index import build_index, search
+
+    return search(queries, build_index(candidates, dim, **kw), k, theta)
+
+
+def identify(queries: DataFrame, candidates: DataFrame, dim: int = HV_DIM, method: str = "exact", **kw) -> DataFrame:
+    """The closest fingerprint per query; the first candidate wins ties.
+
+    ``pruned`` gives the same rows by a metric index (:mod:`speakerprint.operators.hamming_index`).
+    """
+    hits = _pruned(queries, candidates, 1, None, dim, **kw) if method == "pruned" else top_candidates(queries, candidates, 1, None, dim, **kw)
+    return hits.drop("rank")
 
 
 def rank_candidates(queries: DataFrame, candidates: DataFrame, dim: int = HV_DIM, k: int | None = None, **kw) -> DataFrame:
@@ -224,11 +238,12 @@ def rank_candidates(queries: DataFrame, candidates: DataFrame, dim: int = HV_DIM
     return top_candidates(queries, candidates, k, None, dim, **kw)
 
 
-def band_keys(df: DataFrame, bands: int, width: int = 16, bits: str = "bits") -> DataFrame:
-    """Explode packed bits into ``(band, band_value)`` keys of ``width`` bits (a divisor of 64)."""
+def band_keys(df: DataFrame, bands: int, width: int = 16, bits: str = "bits", dim: int | None = None) -> DataFrame:
+    """Explode packed bits into ``(band, band_value)`` keys of ``width`` bits (a divisor of 64), spread over ``dim`` bits if given."""
     per_word = 64 // width
-    word = F.element_at(F.col(bits), (F.expr(f"band div {per_word}") + 1).cast("int"))
-    shift = F.col("band") % per_word * width
+    step = max(1, dim // width // bands) if dim else 1
+    word = F.element_at(F.col(bits), (F.expr(f"(band * {step}) div {per_word}") + 1).cast("int"))
+    shift = F.col("band") * step % per_word * width
     exploded = df.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
     value = F.expr("shiftrightunsigned(__w, CAST(__s AS INT))").bitwiseAND(F.lit((1 << width) - 1))
     return exploded.withColumn("__w", word).withColumn("__s", shift).withColumn("band_value", value).drop("__w", "__s")
@@ -247,16 +262,19 @@ def retrieve(
 ) -> DataFrame:
     """Top-k candidates with cosine strictly above theta, optionally with the summary of each.
 
-    ``exact`` compares everything. ``banded`` compares only pairs that share one of ``bands``
+    ``exact`` compares everything. ``pruned`` gives the same rows, skipping cells of candidates by the triangle
+    inequality (:mod:`speakerprint.operators.hamming_index`). ``banded`` compares only pairs that share one of ``bands``
     16-bit bands of the hypervector and re-scores them exactly; it may miss a pair with
     probability (1 - p^16)^bands, p being the share of equal bits (0.03 % at cosine 0.75).
     """
     if method == "exact":
         hits = top_candidates(queries, candidates, k, theta, dim, **kw)
+    elif method == "pruned":
+        hits = _pruned(queries, candidates, k, theta, dim, **kw)
     else:
         bands = min(bands, dim // 16)
-        q = band_keys(_numbered(queries), bands)
-        c = band_keys(materialised(_candidate_columns(candidates), "candidates"), bands, bits="cbits")
+        q = band_keys(_numbered(queries), bands, dim=dim)
+        c = band_keys(materialised(_candidate_columns(candidates), "candidates"), bands, bits="cbits", dim=dim)
         hits = _by_blocks(q, c, ["band", "band_value"], k, theta, dim)
     if registry is not None:
         summaries = registry.select(F.col("id").alias("candidate"), "summary")
@@ -306,5 +324,13 @@ def speaker_pairs(df: DataFrame, by: str, order: str, vec: str, trials: int = 1_
     )
     vectors_a = df.select(F.col(by).alias("__by"), F.col(order).alias("a"), F.col(vec).alias("__va"))
     vectors_b = df.select(F.col(by).alias("__by2"), F.col(order).alias("b"), F.col(vec).alias("__vb"))
-    pairs = same.unionByName(other).join(vectors_a, ["__by", "a"]).join(vectors_b, ["__by2", "b"])
+    pairs = materialised(same.unionByName(other), "pairs")
+    few = 2 * trials <= SMALL_TABLE
+
+    def found(vectors: DataFrame, on: list[str]) -> DataFrame:
+        """Vectors of the drawn messages alone, picked out where they are read when the draws are few."""
+        asked = pairs.select(*on).distinct()
+        return vectors.join(F.broadcast(asked) if few else asked, on)
+
+    pairs = pairs.join(found(vectors_a, ["__by", "a"]), ["__by", "a"]).join(found(vectors_b, ["__by2", "b"]), ["__by2", "b"])
     return pairs.select("trial", "draw", "a", "b", "same_speaker", cosine("__va", "__vb").alias("score"))
