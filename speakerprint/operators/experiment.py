@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from speakerprint.functions.mixing import pick, pick_sql
 from speakerprint.functions.vectors import bit_cosine
-from speakerprint.operators.basis import fit_shared_basis, project
-from speakerprint.operators.hypervectors import HV_DIM, HV_SEED, hv_bundle, hv_encode
-from speakerprint.operators.scale import dense_index, exact_median, ranked, running_sums
+from speakerprint.operators.basis import Basis, fit_shared_basis, project
+from speakerprint.operators.hypervectors import HV_DIM, HV_SEED, hv_bundle, hv_encode_prefixes
+from speakerprint.operators.scale import SMALL_TABLE, dense_index, exact_median, ranked, running_sums
+from speakerprint.session import materialised
 
 # Fixed values of the experiment.
 TRIALS, CANDIDATES, REPORT_EVERY = 1_000, 10, 100
@@ -34,7 +35,7 @@ def similarity_stats(df: DataFrame, by: Sequence[str] = (), value: str = "score"
         F.count_if(v >= 0.7).alias("above_0_7"),
         F.count_if(v >= 0.6).alias("above_0_6"),
     )
-    median = exact_median(df, by, value, -1.0, 1.0)
+    median = exact_median(df, by, value)
     if by:
         return stats.join(median, by, "left")
     return stats.withColumn("median", median.scalar())
@@ -75,13 +76,16 @@ def make_trials(speakers: DataFrame, by: str, n: int = TRIALS, c: int = CANDIDAT
 def trial_queries(trials: DataFrame, heldout: DataFrame, by: str, order: str, seed: int = 42) -> DataFrame:
     """One held-out message of the true speaker per trial: ``(trial, truth, other heldout columns)``.
 
-    The message is drawn by its position, so only drawn rows go on to be encoded.
+    The message is drawn by its position, so only drawn rows go on to be encoded. Few drawn ids, as is usual, are broadcast: then
+    other held-out rows are left where they are read.
     """
     placed = ranked(heldout.select(by, order), [by], order, pos="__p", total=None)
     sizes = heldout.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
     truth = trials.where("is_truth").select("trial", by).join(sizes, by)
     drawn = truth.withColumn("__p", pick("trial", f"{seed} + 11", "__n")).join(placed, [by, "__p"])
-    return drawn.select("trial", by, order).join(heldout, [by, order]).withColumnRenamed(by, "truth")
+    drawn = materialised(drawn.select("trial", by, order), "drawn")
+    small = drawn.count() <= SMALL_TABLE
+    return heldout.join(F.broadcast(drawn) if small else drawn, [by, order]).withColumnRenamed(by, "truth")
 
 
 def run_identification(
@@ -195,22 +199,19 @@ def k_ablation(
     dim: int = HV_DIM,
     seed: int = HV_SEED,
     bind: str = "bag",
+    basis: Basis | None = None,
 ) -> DataFrame:
     """Identification accuracy per number of principal components, on the same trials.
 
-    One shared basis is fitted on the training rows. A row is projected once and exploded over
-    ``ks`` with its later components zeroed, which equals truncation since the first k rows of
-    the sign matrix do not depend on k. A k above the components there are uses all of them; its
+    One shared basis is fitted on the training rows, unless it is given. A row is projected once, and the signs for all
+    ``ks`` come from running sums over its components (:func:`hv_encode_prefixes`). A k above the components there are uses all of them; its
     row is kept.
     """
-    basis = fit_shared_basis(train, vec, max(ks))
     ks = sorted(set(ks))
+    basis = fit_shared_basis(train, vec, max(ks)) if basis is None else basis
 
     def encoded(df: DataFrame) -> DataFrame:
-        projected = project(df, basis, vec)
-        each = projected.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-        cut = F.transform("projected", lambda x, i: F.when(i < F.col("k"), x).otherwise(F.lit(0.0)))
-        return hv_encode(each.withColumn("projected", cut), "projected", dim=dim, seed=seed)
+        return hv_encode_prefixes(project(df, basis, vec), ks, "projected", dim=dim, seed=seed)
 
     seeds = hv_bundle(encoded(train.select(by, order, vec)), [by, "k"], order, dim, bind=bind, keep_acc=False)
     trials = make_trials(train.select(by), by, n, c)

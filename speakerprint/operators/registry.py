@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from speakerprint.functions.jsontext import has_key, strict_object
 from speakerprint.functions.text import explode_items, run_hashes, script_strip, word_count, words
 from speakerprint.functions.vectors import as_col
-from speakerprint.operators.scale import HOT_ROWS, spread_join
+from speakerprint.operators.scale import HOT_ROWS, bit_filter, may_hold, spread_join
 
 # Fixed values of the fingerprint contract.
 VERSION = "2.0"
@@ -18,6 +18,8 @@ MAX_BYTES = 200 * 1024
 REQUIRED_FILES = ("manifest.json", "summary.txt", "metadata.json")
 MANIFEST_FIELDS = ("csp_version", "fp_type", "task_type", "success_score", "created_at", "model_origin")
 METADATA_FIELDS = ("generated_at", "model_origin", "source_message_count", "summary_token_count", "vector_dimensions")
+#: Bits of a bitmap of runs at most (16 MiB).
+FILTER_BITS = 1 << 27
 #: Names written by earlier tools, accepted in lenient mode.
 MANIFEST_ALIASES = {"created_at": "created", "model_origin": "model"}
 METADATA_ALIASES = {"generated_at": "created", "summary_token_count": "summary_words", "vector_dimensions": "hdc_dim"}
@@ -180,6 +182,13 @@ def _run_rows(df: DataFrame, keep: list[str], text: str, k: int) -> DataFrame:
     return explode_items(hashes.select(*keep, run_hashes("__w", k).alias("__s")), keep, "__s", "s").select(*keep, "s.h1", "s.h2")
 
 
+def _filter_bits(texts: DataFrame, text: str) -> int | None:
+    """Size of a bitmap for the runs of a table, some eight bits each; None where it would be too large."""
+    chars = texts.agg(F.coalesce(F.sum(F.octet_length(as_col(text))), F.lit(0)).alias("c")).first()["c"]
+    bits = 1 << max(10, (2 * chars).bit_length())
+    return bits if bits <= FILTER_BITS else None
+
+
 def leak_audit(texts: DataFrame, against: DataFrame, key: str, text: str, against_text: str, k: int = 8) -> DataFrame:
     """``(key, runs, leaked, containment, leak)``: a text's k-word runs that occur in ``against``.
 
@@ -187,11 +196,17 @@ def leak_audit(texts: DataFrame, against: DataFrame, key: str, text: str, agains
     quote messages; the other way round it finds the messages quoted. Only the distinct runs of
     ``against`` are joined, as a semi-join, so no (text, message) pair is built however often
     either repeats; a run common to very many texts is split by Spark's skew join. A text is
-    hashed once: its number of runs follows from its words.
+    hashed once: its number of runs follows from its words. Where one of the tables is small, a bitmap of its runs'
+    hashes leaves only runs of the other that may match to be shuffled.
     """
     total = F.greatest(word_count(text) - (k - 1), F.lit(0)).cast("bigint")
-    known = _run_rows(against, [], against_text, k).distinct()
-    hits = _run_rows(texts, [key], text, k).join(known, ["h1", "h2"], "left_semi")
+    runs, known = _run_rows(texts, [key], text, k), _run_rows(against, [], against_text, k).distinct()
+    sizes = _filter_bits(against, against_text), _filter_bits(texts, text)
+    if sizes[0] and (not sizes[1] or sizes[0] <= sizes[1]):
+        runs = runs.where(may_hold(bit_filter(known, "h1", sizes[0]), "h1", sizes[0]))
+    elif sizes[1]:
+        known = _run_rows(against, [], against_text, k).where(may_hold(bit_filter(runs, "h1", sizes[1]), "h1", sizes[1])).distinct()
+    hits = runs.join(known, ["h1", "h2"], "left_semi")
     leaked = hits.groupBy(key).agg(F.count(F.lit(1)).alias("leaked"))
     rows = texts.select(key, total.alias("runs")).join(leaked, key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(0)))
     share = F.when(F.col("runs") > 0, F.col("leaked") / F.col("runs")).otherwise(0.0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,41 +181,45 @@ def spread_join(
     return joined.drop("__salt")
 
 
-def exact_median(
-    df: DataFrame, by: Sequence[str], value: str, lo: float, hi: float, name: str = "median", bins: int = 1 << 20
-) -> DataFrame:
-    """Exact median per group without holding a group's values in one buffer.
+def bit_filter(values: DataFrame, hashed: str, bits: int) -> Column:
+    """Bitmap of a column of 64-bit hashes, as one array of words that a scan can look rows up in before they are shuffled.
+
+    ``bits`` is a power of two; use :func:`may_hold` to ask. The array is made by Spark (bits set are ored per word) and reaches
+    tasks as a scalar subquery.
+    """
+    low = F.col(hashed).bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int"))
+    words = values.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(one).alias("b"))
+    every = values.sparkSession.range(max(1, bits // 64)).withColumnRenamed("id", "w").join(words, "w", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x.b)).scalar()
+
+
+def may_hold(words: Column, hashed: str, bits: int) -> Column:
+    """False for hashes that are surely not among those of :func:`bit_filter`."""
+    low = F.col(hashed).bitwiseAND(F.lit(bits - 1))
+    return F.getbit(F.get(words, F.shiftright(low, 6).cast("int")), low.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact median per group, of any range of values and however they crowd.
 
-    A histogram over [lo, hi] finds the bins that hold the middle ranks; only the distinct
-    values of those bins (with their counts) are then ranked. Values outside the range fall
-    in the outer bins and stay exact.
+    Equal values become one row with a count before they are shuffled; running counts along the distinct values, in
+    blocks of ``block_rows`` where a group has more, tell which hold the middle ranks.
     """
     by = list(by)
-    scaled = F.floor((F.col("__v") - F.lit(lo)) / F.lit(hi - lo) * bins)
-    binned = (
-        df.select(*by, F.col(value).cast("double").alias("__v"))
-        .where(F.col("__v").isNotNull())
-        .withColumn("__bin", F.least(F.greatest(scaled, F.lit(0)), F.lit(bins - 1)).cast("int"))
-    )
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    middle = (
-        binned.groupBy(*by, "__bin")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__end", F.sum("__c").over(upto))
-        .withColumn("__n", F.sum("__c").over(whole))
-        .where((F.col("__end") > F.expr("(__n - 1) div 2")) & (F.col("__end") - F.col("__c") <= F.expr("__n div 2")))
-        .withColumn("__start", F.min(F.col("__end") - F.col("__c")).over(whole))
-        .select(*by, "__bin", "__start", "__n")
-    )
-    values = binned.join(middle, [*by, "__bin"]).groupBy(*by, "__start", "__n", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    along = whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.withColumn("__end", F.sum("__c").over(along) + F.col("__start")).withColumn(
-        "__first", F.col("__end") - F.col("__c")
-    )
+    values = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    counts = values.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = running_sums(counts, by, "__v", {"__c": "__end"}, block_rows)
+    sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    if by:
+        named = sizes.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__n")
+        placed = upto.join(named, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]))
+    else:
+        placed = upto.withColumn("__n", sizes.scalar())
+
     def at(rank: str) -> Column:
-        inside = (F.col("__first") <= F.expr(rank)) & (F.col("__end") > F.expr(rank))
-        return F.max(F.when(inside, F.col("__v")))
+        return F.min(F.when(F.col("__end") > F.expr(rank), F.col("__v")))
+
     picked = placed.groupBy(*by).agg(at("(__n - 1) div 2").alias("__a"), at("__n div 2").alias("__b"))
     return picked.select(*by, ((F.col("__a") + F.col("__b")) / 2).alias(name))
 

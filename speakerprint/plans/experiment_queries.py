@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from speakerprint.functions.mixing import pick_sql
 from speakerprint.operators import experiment as X
 from speakerprint.operators import hypervectors as H
 from speakerprint.operators import match as J
+from speakerprint.operators.basis import Basis
 from speakerprint.plans.catalog import query, table
-from speakerprint.plans.fingerprint_queries import BASE_SQL, DIM, parts, train_center, train_seeds
+from speakerprint.plans.fingerprint_queries import FULL_SQL, parts, train_center, train_seeds
 
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 _PAIRS = f"""
@@ -89,7 +91,7 @@ def similarity_stats_by_speaker(spark, sf):
     return s.select(*[c if c in exact else F.round(c, 6).alias(c) for c in s.columns])
 
 
-_C = 5
+_C = 10
 _DRAW = pick_sql("trial", "(j + 42000)", "(j + 1)")
 _TRIALS = f"""
 speakers AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM embeddings)),
@@ -109,9 +111,23 @@ def id_trials(spark, sf):
     return X.make_trials(table(spark, sf, "embeddings").select("label"), "label", 1_000, _C)
 
 
-_ANSWERS = f"""{BASE_SQL}, {_TRIALS},
+# Seeds and held-out messages at the full width, as bit strings.
+_WIDE = f"""{FULL_SQL},
+placed AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
+                  count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+x AS (SELECT vec_id, label, pos, pos < (n * 70) // 100 AS train, generate_subscripts(embedding, 1) - 1 AS j,
+             CAST(round(CAST(unnest(embedding) AS DOUBLE) * 1000000) AS BIGINT) AS x FROM placed)"""
+_ANSWERS = f"""{_WIDE}, {_TRIALS},
+tc AS (SELECT j, sum(x)::BIGINT AS s, count(*) AS n FROM x WHERE train GROUP BY j),
+v AS (SELECT vec_id, label, pos, train, list((tc.n * x.x - tc.s)::DOUBLE ORDER BY x.j) AS v FROM x JOIN tc ON x.j = tc.j GROUP BY ALL),
+tn AS (SELECT label, count(*) AS n FROM v WHERE train GROUP BY label),
+seed AS (SELECT v.label, (r.m + tn.n - 1 - v.pos) % {H.HV_DIM} AS m, sum(CASE WHEN list_dot_product(v.v, r.r) >= 0 THEN 1 ELSE -1 END) AS acc
+         FROM v JOIN tn ON v.label = tn.label, r WHERE v.train GROUP BY ALL),
+sb AS (SELECT label, string_agg(CASE WHEN acc >= 0 THEN '1' ELSE '0' END, '' ORDER BY m)::BIT AS b FROM seed GROUP BY label),
+qb AS (SELECT vec_id, string_agg(CASE WHEN list_dot_product(v, r) >= 0 THEN '1' ELSE '0' END, '' ORDER BY m)::BIT AS b FROM v, r WHERE NOT train GROUP BY vec_id),
+score AS (SELECT qb.vec_id AS query_id, sb.label AS candidate, ({H.HV_DIM} - 2 * bit_count(xor(qb.b, sb.b))) / {H.HV_DIM}.0 AS score FROM qb, sb),
 held AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS n
-         FROM (SELECT DISTINCT label, vec_id FROM h WHERE NOT train)),
+         FROM v WHERE NOT train),
 drawn AS (SELECT t.trial, t.label AS truth, held.vec_id FROM trials t JOIN held ON held.label = t.label
           AND held.p = {pick_sql('t.trial', '42 + 11', 'held.n')} WHERE t.is_truth),
 judged AS (SELECT d.trial, d.truth, t.label AS winner, s.score, row_number() OVER (PARTITION BY d.trial ORDER BY s.score DESC, t.slot) AS rk
@@ -124,8 +140,8 @@ def _answers(spark, sf):
     center = train_center(train)
     trials = X.make_trials(table(spark, sf, "embeddings").select("label"), "label", 1_000, _C)
     drawn = X.trial_queries(trials, heldout.select("label", "vec_id", "embedding"), "label", "vec_id")
-    queries = H.hv_query(drawn, center, dim=DIM)
-    return X.run_identification(trials, queries, train_seeds(train, center), "label", DIM)
+    queries = H.hv_query(drawn, center)
+    return X.run_identification(trials, queries, train_seeds(train, center, H.HV_DIM), "label")
 
 
 @query("id_answers", f"WITH RECURSIVE {_ANSWERS} SELECT trial, truth, winner, score, correct FROM answers")
@@ -136,7 +152,7 @@ def id_answers(spark, sf):
 @query(
     "id_accuracy",
     f"""WITH RECURSIVE {_ANSWERS} SELECT count(*) AS n_trials, count(*) FILTER (correct) AS n_correct,
-        round(count(*) FILTER (correct) / count(*), 6) AS accuracy, 0.2::DOUBLE AS baseline,
+        round(count(*) FILTER (correct) / count(*), 6) AS accuracy, 0.1::DOUBLE AS baseline,
         round(count(*) FILTER (correct) / count(*) * {_C}, 6) AS lift FROM answers""",
 )
 def id_accuracy(spark, sf):
@@ -159,7 +175,7 @@ def id_running_accuracy(spark, sf):
     f"""WITH RECURSIVE {_ANSWERS}, s AS (SELECT count(*) AS n, count(*) FILTER (correct) AS k FROM answers),
     i AS (SELECT n, k, unnest(range(k, n + 1)) AS i FROM s)
     SELECT n AS n_trials, k AS n_correct, round(log10(sum(exp(
-        lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.2) + (n - i) * ln(0.8)))), 6) AS log10_p
+        lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.1) + (n - i) * ln(0.9)))), 6) AS log10_p
     FROM i GROUP BY n, k""",
 )
 def id_binomial(spark, sf):
@@ -167,7 +183,34 @@ def id_binomial(spark, sf):
     return tested.select("n_trials", "n_correct", F.round("log10_p", 6).alias("log10_p"))
 
 
-@query("id_ablation")
+@query(
+    "id_ablation",
+    f"""WITH RECURSIVE {_WIDE}, {_TRIALS},
+    ks AS (SELECT unnest([{', '.join(map(str, X.ABLATION_K))}]) AS k),
+    v AS (SELECT vec_id, label, train, list(x::DOUBLE ORDER BY j) AS v FROM x GROUP BY ALL),
+    h AS (SELECT vec_id, label, train, k, m, CASE WHEN list_dot_product(v[1:k], r[1:k]) >= 0 THEN 1 ELSE -1 END AS h FROM v, r, ks),
+    sb AS (SELECT label, k, string_agg(CASE WHEN acc >= 0 THEN '1' ELSE '0' END, '' ORDER BY m)::BIT AS b
+           FROM (SELECT label, k, m, sum(h) AS acc FROM h WHERE train GROUP BY ALL) GROUP BY label, k),
+    qb AS (SELECT vec_id, k, string_agg(CASE WHEN h > 0 THEN '1' ELSE '0' END, '' ORDER BY m)::BIT AS b FROM h WHERE NOT train GROUP BY vec_id, k),
+    held AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, count(*) OVER (PARTITION BY label) AS n FROM v WHERE NOT train),
+    drawn AS (SELECT t.trial, t.label AS truth, held.vec_id FROM trials t JOIN held ON held.label = t.label
+              AND held.p = {pick_sql('t.trial', '42 + 11', 'held.n')} WHERE t.is_truth),
+    judged AS (SELECT d.trial, d.truth, qb.k, t.label AS winner,
+               row_number() OVER (PARTITION BY d.trial, qb.k ORDER BY bit_count(xor(qb.b, sb.b)), t.slot) AS rk
+               FROM drawn d JOIN trials t ON t.trial = d.trial JOIN qb ON qb.vec_id = d.vec_id JOIN sb ON sb.label = t.label AND sb.k = qb.k)
+    SELECT k, count(*) AS n_trials, count(*) FILTER (truth = winner) AS n_correct, round(count(*) FILTER (truth = winner) / count(*), 6) AS accuracy,
+           0.1::DOUBLE AS baseline, round(count(*) FILTER (truth = winner) / count(*) * {_C}, 6) AS lift FROM judged WHERE rk = 1 GROUP BY k""",
+)
 def id_ablation(spark, sf):
+    """Six numbers of components at 10,000 dimensions and 10 candidates, in a given basis: the first 32 axes."""
+    train, heldout = parts(spark, sf)
+    axes = Basis(0, np.zeros(64), np.eye(64)[: max(X.ABLATION_K)], np.ones(max(X.ABLATION_K)) / 64)
+    a = X.k_ablation(train, heldout, "label", "vec_id", c=_C, basis=axes)
+    return a.withColumn("accuracy", F.round("accuracy", 6)).withColumn("lift", F.round("lift", 6))
+
+
+@query("id_ablation_fitted")
+def id_ablation_fitted(spark, sf):
+    """The same in the principal components of the training messages."""
     train, heldout = parts(spark, sf)
-    return X.k_ablation(train, heldout, "label", "vec_id", dim=1_024, c=_C)
+    return X.k_ablation(train, heldout, "label", "vec_id", c=_C)

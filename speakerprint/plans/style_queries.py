@@ -90,7 +90,41 @@ def signature_phrases(spark, sf):
     return p.withColumn("rank", F.col("rank").cast("bigint")).withColumn("score", F.round("score", 6))
 
 
-@query("rendered_summaries")
+def _grade_sql(c: str, low: float, high: float, names: tuple[str, str, str]) -> str:
+    return f"CASE WHEN {c} < {low} THEN '{names[0]}' WHEN {c} < {high} THEN '{names[1]}' ELSE '{names[2]}' END"
+
+
+def _lexicon_sql(kind: str) -> str:
+    return f"count(*) FILTER (token IN ({_listed(S.LEXICON[kind])})) * 100 / count(*)"
+
+
+_SUMMARY = (
+    "Writes %s sentences of %s words on average, the longest with %s words, over %s messages. "
+    "The vocabulary is %s: %s distinct words per word used, words of %s letters on average, and a share of %s long words. "
+    "Statements are %s: hedges occur %s times, certain words %s times and direct words %s times per hundred words. "
+    "Punctuation is %s, with %s marks per hundred words, %s questions, %s exclamations and %s list lines in total. "
+    "Keep sentence length, word choice, directness and punctuation habits close to these figures when writing in this style."
+)
+
+
+@query(
+    "rendered_summaries",
+    f"""WITH s AS (SELECT role, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: {words_sql('s')}), lambda n: n > 0) AS n FROM conversations),
+    a AS (SELECT role, count(*) AS messages, sum(coalesce(list_sum(n), 0)) / sum(len(n)) AS avg_words, max(list_max(n)) AS max_words FROM s GROUP BY role),
+    t AS {_TOKENS.format(by='role', src='conversations')},
+    v AS (SELECT role, count(DISTINCT token) / count(*) AS ratio, sum(length(token)) / count(*) AS letters, count(*) FILTER (length(token) >= 7) / count(*) AS long,
+          {_lexicon_sql('hedge')} AS hedge, {_lexicon_sql('certain')} AS certain, {_lexicon_sql('direct')} AS direct FROM t GROUP BY role),
+    m AS (SELECT role, {', '.join(f'{_mark_sql(m)} AS {n}' for n, m in S.MARKS.items())}, len(regexp_extract_all(text, '(?m)^[ 	]*(?:[-*]|[0-9]+\\.)[ 	]')) AS list,
+          {words_sql('text')} AS w FROM conversations),
+    p AS (SELECT role, ({' + '.join(f'sum({n})' for n in S.MARKS)}) * 100 / sum(w) AS marks, sum(question)::BIGINT AS question, sum(exclamation)::BIGINT AS exclamation,
+          sum(list)::BIGINT AS list FROM m GROUP BY role)
+    SELECT role, messages, printf('{_SUMMARY}',
+        {_grade_sql('avg_words', 8, 16, ('short', 'medium', 'long'))}, format('{{:,.1f}}', avg_words), format('{{:,}}', max_words), format('{{:,}}', messages),
+        {_grade_sql('letters', 4, 6, ('plain', 'mixed', 'formal'))}, format('{{:,.2f}}', ratio), format('{{:,.1f}}', letters), format('{{:,.2f}}', long),
+        {_grade_sql('hedge', 0.5, 2, ('direct', 'measured', 'hedged'))}, format('{{:,.1f}}', hedge), format('{{:,.1f}}', certain), format('{{:,.1f}}', direct),
+        {_grade_sql('marks', 8, 16, ('sparse', 'regular', 'dense'))}, format('{{:,.1f}}', marks), format('{{:,}}', question), format('{{:,}}', exclamation), format('{{:,}}', list)) AS summary
+    FROM a JOIN v USING (role) JOIN p USING (role)""",
+)
 def rendered_summaries(spark, sf):
     profile = S.style_profile(table(spark, sf, "conversations"), "role")
     return S.render_summary(profile).select("role", "messages", "summary")

@@ -41,6 +41,25 @@ def test_positions_shuffle_rows_once(spark, sf_dir):
     assert text.count("Exchange hashpartitioning(conv_id") <= 4
 
 
+@pytest.mark.parametrize("name", ["leak_audit", "leaked_messages"])
+def test_runs_are_filtered_before_their_shuffle(name, spark, sf_dir):
+    """Only runs that the bitmap of the small table may hold are shuffled."""
+    text = plan(entry.queries()[name](spark, sf_dir))
+    assert "getbit" in text
+
+
+def test_bitmap_holds_its_values_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    from speakerprint.operators.scale import bit_filter, may_hold
+
+    values = spark.range(1_000).select(F.xxhash64("id").alias("h"))
+    words = bit_filter(values, "h", 1 << 14)
+    asked = spark.range(20_000).select("id", F.xxhash64("id").alias("h")).withColumn("kept", may_hold(words, "h", 1 << 14))
+    assert asked.where("id < 1000 AND kept").count() == 1_000
+    assert asked.where("id >= 1000 AND kept").count() < 0.08 * 19_000
+
+
 class _Conf:
     def __init__(self, root):
         self.root = root

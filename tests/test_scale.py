@@ -68,15 +68,23 @@ def test_spread_join_salts_only_hot_keys(spark):
 
 def test_exact_median(spark):
     pdf, df = skewed(spark, 601)
-    for bins in (1, 4, 1 << 20):
-        got = {r["k"]: r["median"] for r in S.exact_median(df, ["k"], "v", -1.0, 1.0, bins=bins).collect()}
+    for rows in (7, 1 << 16):
+        got = {r["k"]: r["median"] for r in S.exact_median(df, ["k"], "v", block_rows=rows).collect()}
         want = {k: statistics.median(g["v"]) for k, g in pdf.groupby("k")}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
-    whole = S.exact_median(df, [], "v", -1.0, 1.0, bins=16).first()["median"]
+    whole = S.exact_median(df, [], "v").first()["median"]
     assert abs(whole - statistics.median(pdf["v"])) < 1e-12
 
 
+def test_exact_median_of_any_range_and_crowd(spark):
+    """A million equal values, and values of all magnitudes: equal values are one row before they are shuffled."""
+    equal = spark.range(1_000_000).select(F.lit(None).cast("int").alias("k"), F.lit(0.25).alias("v"))
+    wide = [(1, v) for v in (-1e300, -5.0, -1e-300, 0.0, 1e-300, 3e-300, 7.5, 1e18, 1e300, 1e301)] + [(2, None)]
+    df = equal.unionByName(spark.createDataFrame(wide, "k int, v double"))
+    assert {r["k"]: r["median"] for r in S.exact_median(df, ["k"], "v", block_rows=3).collect()} == {None: 0.25, 1: 2e-300}
+
+
 def test_null_keys_and_orders_are_ranked_and_summed_as_in_a_window(spark):
     rows = [(None, 1, 5), (None, 900, 7), ("a", None, 2), ("a", 3, 4), ("a", -70, 1), (None, None, 9)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
