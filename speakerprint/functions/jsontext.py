@@ -12,7 +12,8 @@ def strict_object(text: str | Column) -> Column:
     """VARIANT of a text that is exactly one JSON object, else null.
 
     The text is parsed inside a one-element array, because the parser alone accepts trailing
-    characters after a complete value.
+    characters after a complete value. Of equal keys the last counts, as in scripts, where the session allows them
+    (``session.ship`` and ``get_session`` do); otherwise such an object is null.
     """
     t = as_col(text)
     items = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).try_cast("array<variant>")
@@ -24,18 +25,42 @@ def has_key(value: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.map_keys(value.try_cast("map<string,variant>")), key), F.lit(False))
 
 
+def script_number(value: Column) -> Column:
+    """Text of a double as a script writes it: the fewest digits that give the number again, 21 places before an exponent is used."""
+    tries = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda p: _scientific(value, p))
+    shortest = F.get(F.filter(tries, lambda t: t.cast("double") == F.abs(value)), 0)
+    digits = F.regexp_replace(F.regexp_replace(F.split_part(shortest, F.lit("e"), F.lit(1)), "[.]", ""), "0+$", "")
+    places = F.split_part(shortest, F.lit("e"), F.lit(2)).cast("int") + 1
+    size = F.length(digits)
+    fraction = F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit(""))
+    exponent = F.concat(F.substr(digits, F.lit(1), F.lit(1)), fraction, F.when(places > 1, "e+").otherwise("e"), (places - 1).cast("string"))
+    text = (
+        F.when((size <= places) & (places <= 21), F.rpad(digits, places, F.lit("0")))
+        .when((places > 0) & (places <= 21), F.concat(F.substr(digits, F.lit(1), places), F.lit("."), F.substr(digits, places + 1)))
+        .when((places > -6) & (places <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -places), digits))
+        .otherwise(exponent)
+    )
+    signed = F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(value == 0, "0").when(F.abs(value) == float("inf"), F.when(value < 0, "-Infinity").otherwise("Infinity")).otherwise(signed)
+
+
+def _scientific(value: Column, digits: Column) -> Column:
+    """Scientific notation with so many digits after the point."""
+    return F.call_function("printf", F.concat(F.lit("%."), digits.cast("string"), F.lit("e")), F.abs(value))
+
+
 def script_text(value: Column) -> Column:
     """Text of a JSON value as a script's string conversion writes it.
 
-    38.0 and 38 are both "38", null is "null", a flat array is its values joined by commas.
+    38.0 and 38 are both "38", 1.5e10 is "15000000000", null is "null", a flat array is its values joined by commas.
     """
     kind = F.schema_of_variant(value)
     plain = value.try_cast("string")
-    number = F.regexp_replace(plain, r"\.0+$", "")
+    number = script_number(value.try_cast("double"))
     joined = F.array_join(value.try_cast("array<string>"), ",", "")
     return (
         F.when(kind == "VOID", "null")
-        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), number)
+        .when(kind.isin("DOUBLE", "FLOAT", "BIGINT") | kind.startswith("DECIMAL"), number)
         .when(kind.startswith("ARRAY"), joined)
         .when(kind.startswith("OBJECT"), "[object Object]")
         .otherwise(plain)

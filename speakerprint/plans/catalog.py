@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("conversation_queries", "fingerprint_queries", "experiment_queries", "trial_queries", "registry_queries", "style_queries")
+MODULES = ("conversation_queries", "fingerprint_queries", "experiment_queries", "trial_queries", "registry_queries", "archive_queries", "stream_queries", "style_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from speakerprint.functions.mixing import mix_sql
 from speakerprint.operators import messages as M
 from speakerprint.plans.catalog import query, table
+from speakerprint.session import shared_dir
+from speakerprint.sources.conversations import read_messages
 
 
 @query("user_messages", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
@@ -104,3 +106,21 @@ def sampled_messages(spark, sf):
 )
 def holdout_split(spark, sf):
     return M.split(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id").select("vec_id", "label", "pos", "part")
+
+
+@query(
+    "conversations_read",
+    """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT i AS turn, role, text, n, sum(CASE WHEN conv_id % 3 = 0 THEN 3 ELSE 1 END)::BIGINT AS documents FROM c GROUP BY i, role, text, n""",
+)
+def conversations_read(spark, sf):
+    """Conversations as lines of JSON, every third one written three times: each line is a conversation of its own."""
+    folder = shared_dir(spark, "lines")
+    rows = table(spark, sf, "conversations").select("conv_id", F.struct("turn", "role", F.col("text").alias("content")).alias("m"))
+    listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    text = F.to_json(F.transform("m", lambda m: F.struct(m.role.alias("role"), m.content.alias("content"))))
+    copies = F.explode(F.when(F.col("conv_id") % 3 == 0, F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1))))
+    listed.select(text.alias("value"), copies.alias("copy")).select("value").write.text(folder)
+    read = read_messages(spark, folder, lines=True, key="conv_id")
+    sizes = read.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return read.join(sizes, "conv_id").groupBy("turn", "role", "text", "n").agg(F.count_distinct("conv_id").alias("documents"))

@@ -233,6 +233,24 @@ def score_json(spark, sf):
     return replied.select("event_id", K.score_json("reply", F.create_map(F.lit("k"), F.col("kk").cast("string"))).alias("ok"))
 
 
+# Number texts and repeated keys of replies, each with the text that a script makes of the value.
+_NUMBER_REPLY = """CASE event_id % 8 WHEN 0 THEN concat('{"k": ', kk, 'e2}') WHEN 1 THEN concat('{"k": "x", "k": ', kk, '}')
+    WHEN 2 THEN concat('{"k": ', kk, ', "k": 1000}') WHEN 3 THEN concat('{"k": ', kk, '.50}') WHEN 4 THEN concat('{"k": 1', kk, 'e20}')
+    WHEN 5 THEN concat('{"k": 1', kk, 'e-9}') WHEN 6 THEN concat('{"k": -0.0', 1 + kk % 9, '0}') ELSE '{"k": 1.5e10}' END"""
+_NUMBER_TEXT = """CASE event_id % 8 WHEN 0 THEN CAST(kk * 100 AS STRING) WHEN 3 THEN concat(kk, '.5')
+    WHEN 4 THEN concat(regexp_replace(concat('1.', kk), '[.]?0*$', ''), CASE WHEN kk < 10 THEN 'e+21' ELSE 'e+22' END)
+    WHEN 5 THEN concat(regexp_replace(concat('1.', kk), '[.]?0*$', ''), CASE WHEN kk < 10 THEN 'e-8' ELSE 'e-7' END)
+    WHEN 6 THEN concat('-0.0', 1 + kk % 9) WHEN 7 THEN '15000000000' ELSE CAST(kk AS STRING) END"""
+
+
+@query("score_json_numbers", "SELECT event_id, event_id % 8 <> 2 AS ok FROM events")
+def score_json_numbers(spark, sf):
+    """Exponents, trailing zeros, large and small numbers, and the last of equal keys."""
+    rows = wide_table(spark, sf, "events", "event_id", "props").withColumn("kk", F.expr(_K))
+    replied = rows.withColumn("reply", F.expr(_NUMBER_REPLY))
+    return replied.select("event_id", K.score_json("reply", F.create_map(F.lit("k"), F.expr(_NUMBER_TEXT))).alias("ok"))
+
+
 _OUTCOMES = "SELECT d.doc_id, d.lang AS task, l.quality = 1 AS ok_with, l.toxic = 1 AS ok_without FROM labels l JOIN documents d ON d.doc_id = l.doc_id"
 
 

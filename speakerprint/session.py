@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: JSON objects with equal keys are read as scripts do: the last one counts.
+LAST_KEY = "spark.sql.variant.allowDuplicateKeys"
 
 
 def get_session(app: str = "speakerprint", cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -23,6 +25,7 @@ def get_session(app: str = "speakerprint", cpus: int | str = 8, shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(LAST_KEY, "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -55,8 +58,9 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, wherever the driver was started."""
+    """Make the package importable in Python workers, wherever the driver was started, and the last of equal JSON keys count."""
     sc = spark.sparkContext
+    spark.conf.set(LAST_KEY, "true")
     if getattr(sc, "_speakerprint_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))

@@ -7,9 +7,12 @@ Reading folds the partials of a speaker; compaction adds a snapshot that replace
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.query import StreamingQuery
 
 from speakerprint.operators.hypervectors import (
     BUNDLE_ROWS,
@@ -41,7 +44,7 @@ def stream_fingerprints(
 
     A message's position is its absolute ``order`` value. Repeats of (by, order) are dropped;
     with ``event_time`` the state is bounded by the watermark, without it it grows with the
-    stream. Start it with the trigger you want.
+    stream. Rows behind the watermark are left out; :func:`run_available` counts them. Start it with the trigger you want.
     """
     if event_time:
         unique = messages.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([by, order])
@@ -57,6 +60,36 @@ def stream_fingerprints(
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+@dataclass(frozen=True)
+class StreamCounts:
+    """What the batches of a run saw: rows read, rows that came after the watermark and were left out, and the most rows of state held."""
+
+    rows: int
+    late: int
+    most_state: int
+
+    def then(self, later: StreamCounts) -> StreamCounts:
+        return StreamCounts(self.rows + later.rows, self.late + later.late, max(self.most_state, later.most_state))
+
+
+def counts_of(query: StreamingQuery) -> StreamCounts:
+    """Counts over the batches that a query still reports (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    rows = late = most = 0
+    for progress in query.recentProgress:
+        rows += progress.numInputRows
+        for state in progress.stateOperators:
+            late += state.numRowsDroppedByWatermark
+            most = max(most, state.numRowsTotal)
+    return StreamCounts(rows, late, most)
+
+
+def run_available(writer: DataStreamWriter) -> StreamCounts:
+    """Work through everything that is there, batch by batch, and stop; a later run goes on from there, its watermark included."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counts_of(query)
+
+
 def _current(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot and the batches after it; older folders are left out by their names.
 
