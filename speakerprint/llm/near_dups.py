@@ -8,26 +8,25 @@ documents have one label, a label naming documents known to be of one class. Nod
 up to ``SMALL`` documents compare all their pairs by minwise tokens and propose every one that agrees
 enough. Larger ones end as cells, in which each document meets each of another label:
 
-* up to ``BLOCK`` documents are one cell;
 * a node whose documents have one label but for ``SMALL`` at most (a group of copies and what shares its tokens)
-  gives each cell ``BLOCK`` documents of that label and all the others, so that its rows follow its documents;
-* a node that keeps more than half of its parent's documents ``LEVELS`` times in a row is not separated by tokens: its
-  blocks meet two by two.
+  gives each cell a block of documents of that label and all the others, so that its rows follow its documents;
+* in a node of up to ``WHOLE`` documents, blocks of up to ``BLOCK`` meet two by two; so they do in a node that keeps more than half of its
+  parent's documents ``LEVELS`` times in a row, which tokens do not separate.
 
 Other large nodes compare every document with one pivot, the one that agrees most with the node's frequent tokens. Those
 whose full sets are similar to it take its label; then the node ends as above or is branched further. Two roots of each document
 are compared with pivots before all others, so that large groups of copies have one label in all trees.
 
-Cells propose pairs in rounds, and links found in one merge labels before the next: first the spanning forest of the best agreeing
-pairs between labels, then up to ``NEAREST`` pairs of every document, then every pair that agrees enough and still
-has different labels. So a group of c similar documents costs c pairs, and only documents that are similar without being linked
-are compared pair by pair. No pair that agrees enough is left out but those within one label.
+Cells hold the full sets besides the tokens. Pairs of different labels that agree enough, and that bitmaps of the sets do not rule out, are confirmed there, the best agreeing first; a
+link merges its labels for the pairs that follow. So a cell gives fewer links than it has documents, whatever the number of its similar pairs. Blocks
+are smaller where sets are large (``BLOCK_SHINGLES``). No pair that agrees enough is left out but those within one label. A node that tokens do not separate
+takes time, and copies of its rows, by the square of its blocks.
 
 Two documents at the threshold (0.75) share a child with probability 1 - 0.25^2 per level and meet in a given
 tree, of any depth, with probability 8/9. All trees draw from the same ``MINHASHES`` tokens. Over the binomial
 number of tokens that agree, ``TREES`` trees miss 2.5e-5 of such pairs and ``CANDIDATE`` another 1.2e-6, before
 what other links of their classes join.
-Candidate pairs are confirmed on the full sets, and connected components of the confirmed links are
+Other candidate pairs are confirmed on the full sets as well, and connected components of the confirmed links are
 the classes.
 
 Words are runs of bytes other than ASCII white space, A-Z lowered. A text with fewer than five words is
@@ -43,9 +42,10 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speakerprint.llm.common import as_bytes, map_batches, materialised
@@ -62,8 +62,9 @@ SMALL = 64
 LEVELS = 2
 BLOCK = 1024
 VOTES = 16
-#: Pairs of a document in the second round of a cell, and the roots that are compared with pivots first.
-NEAREST = 8
+#: Documents of a node whose blocks meet at once, shingles of a block, and the roots that are compared with pivots first.
+WHOLE = 8192
+BLOCK_SHINGLES = 1 << 21
 FIRST_ROOTS = (0, 2)
 #: Agreeing tokens for a candidate.
 CANDIDATE = 72
@@ -264,34 +265,46 @@ def _sizes(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*[f("label").alias(n) for f, n in _COUNTS]).where("lo <> hi").select(*keys, "c")
 
 
-def _sorted_out(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, name, label, tokens, c, stuck) of large nodes: those that end, dealt to cells, and the others.
+def _sorted_out(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, name, label, tokens, c, stuck) of large nodes with what is known of their node's end.
 
-    A cell (node, i, j) has two sides; ``own`` is the side, counted from 1, whose documents meet each other as well.
+    ``kind`` is ``lopsided``, ``dense`` or ``open``; ``top`` names the most frequent label, with its documents and shingles, ``w``
+    counts the shingles of all.
     """
-    tops = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("top"))
-    rows = rows.join(tops, "node")
+    sized = rows.join(sets.select("name", "size"), "name")
+    tops = sized.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    tops = tops.groupBy("node").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("w").alias("w"))
     lopsided = F.col("c") - F.col("top.n") <= SMALL
-    dense = (F.col("c") <= BLOCK) | (F.col("stuck") >= LEVELS)
-    def blocks(count):
-        return F.ceil(count / BLOCK).cast("int")
+    dense = (F.col("c") <= WHOLE) | (F.col("stuck") >= LEVELS)
+    return rows.join(tops, "node").withColumn("kind", F.when(lopsided, "lopsided").when(dense, "dense").otherwise("open"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """(node, i, j, side, own, name) of rows that end: their cells.
+
+    A cell (node, i, j) has two sides; ``own`` is the side, counted from 1, whose documents meet each other as well.
+    """
 
-    def part(count):
-        return F.pmod(F.xxhash64("name", "node"), blocks(count)).cast("int")
+    def blocks(count, shingles):
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-    def every(count):
-        return F.explode(F.sequence(F.lit(0), blocks(count) - 1))
+    def part(n):
+        return F.pmod(F.xxhash64("name", "node"), n).cast("int")
 
-    whole = rows.where(dense & ~lopsided).withColumn("part", part(F.col("c"))).withColumn("other", every(F.col("c")))
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    n = blocks(F.col("c"), F.col("w"))
+    whole = rows.where("kind = 'dense'").withColumn("part", part(n)).withColumn("other", every(n))
     whole = whole.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     whole = whole.withColumn("side", F.when(F.col("part") == F.col("i"), 0).otherwise(1)).withColumn("own", F.when(F.col("i") == F.col("j"), 1).otherwise(0))
-    uneven = rows.where(lopsided).withColumn("j", F.lit(-1))
-    most = uneven.where(F.col("label") == F.col("top.label")).withColumn("i", part(F.col("top.n"))).withColumn("side", F.lit(0))
-    few = uneven.where(F.col("label") != F.col("top.label")).withColumn("i", every(F.col("top.n"))).withColumn("side", F.lit(1))
+    n = blocks(F.col("top.n"), F.col("top.w"))
+    uneven = rows.where("kind = 'lopsided'").withColumn("j", F.lit(-1))
+    most = uneven.where(F.col("label") == F.col("top.label")).withColumn("i", part(n)).withColumn("side", F.lit(0))
+    few = uneven.where(F.col("label") != F.col("top.label")).withColumn("i", every(n)).withColumn("side", F.lit(1))
     uneven = most.unionByName(few).withColumn("own", F.when(F.col("i") == 0, 2).otherwise(0))
-    columns = ["node", "i", "j", "side", "own", "name", "tokens"]
-    cells = whole.select(*columns).unionByName(uneven.select(*columns))
-    return cells, rows.where(~(dense | lopsided)).drop("top")
+    columns = ["node", "i", "j", "side", "own", "name"]
+    return whole.select(*columns).unionByName(uneven.select(*columns))
 
 
 def _to_pivots(large: DataFrame, sets: DataFrame, texts: DataFrame, asked: list[DataFrame], sure: list[DataFrame]) -> DataFrame:
@@ -347,32 +360,40 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         wide = materialised(wide, "near-wide")
         if wide.isEmpty():
             break
-        ends, large = _sorted_out(wide)
-        cells.append(materialised(ends, "near-cells"))
-        large = materialised(large, "near-open")
+        known = materialised(_sorted_out(wide, sets), "near-known")
+        cells.append(materialised(_cells(known), "near-cells"))
+        large = known.where("kind = 'open'").drop("top", "w", "kind")
         if large.isEmpty():
             break
         rows = _to_pivots(large, sets, texts, asked, sure)
-        ends, large = _sorted_out(rows.join(_sizes(rows, "node"), "node"))
-        cells.append(materialised(ends, "near-cells"))
-        rows = materialised(_children(large, level), "near-level")
+        known = materialised(_sorted_out(rows.join(_sizes(rows, "node"), "node"), sets), "near-known")
+        cells.append(materialised(_cells(known), "near-cells"))
+        rows = materialised(_children(known.where("kind = 'open'"), level), "near-level")
     _ask(_union(found), sets, texts, asked, sure)
-    _rounds(cells, sets, texts, asked, sure)
+    if cells:
+        sure.append(_cell_links(reduce(DataFrame.unionAll, cells), sets, texts, sure))
     return _union(sure)
 
 
-def _rounds(cells: list[DataFrame], sets: DataFrame, texts: DataFrame, asked: list[DataFrame], sure: list[DataFrame]) -> None:
-    """Propose and confirm pairs of cells until every one that agrees enough was asked for or has one label."""
-    if not cells:
-        return
-    every = materialised(reduce(DataFrame.unionAll, cells), "near-cells")
-    for most in (1, NEAREST, None):
-        labelled = materialised(_labelled(every, sure), "near-labelled")
-        several = _sizes(labelled, "node", "i", "j")
-        pairs = materialised(_cell_pairs(_once(labelled.join(several.drop("c"), ["node", "i", "j"])), most).distinct(), "near-pairs")
-        if pairs.isEmpty():
-            break
-        _ask(pairs, sets, texts, asked, sure)
+def _cell_links(cells: DataFrame, sets: DataFrame, texts: DataFrame, sure: list[DataFrame]) -> DataFrame:
+    """Links (a, b) that cells find, after all links known before have merged their labels."""
+    labelled = materialised(_labelled(cells, sure), "near-labelled")
+    open_cells = materialised(_once(labelled.join(_sizes(labelled, "node", "i", "j").drop("c"), ["node", "i", "j"])), "near-open")
+    names = open_cells.select("name").distinct()
+    full = materialised(_full_sets(names, sets, texts), "near-full")
+    tokens = sets.select("name", _low_bytes(sets).alias("tokens"))
+    rows = open_cells.join(full.join(tokens, "name"), "name")
+    return materialised(_linked_in_cells(rows), "near-links")
+
+
+def _low_bytes(sets: DataFrame) -> Column:
+    """The lowest byte of each minwise token: what agrees in tokens agrees in these."""
+
+    @F.pandas_udf("binary")
+    def low(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: np.frombuffer(t, dtype="<u4").astype(np.uint8).tobytes())
+
+    return low("tokens")
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -383,59 +404,73 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.join(what.groupBy("n", "x0", "x1").agg(F.min(F.struct(*cell)).alias("cell")).select("cell.*"), cell)
 
 
-def _cell_pairs(rows: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of different labels that agree in ``CANDIDATE`` tokens, of each cell.
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets of distinct hashes have the similarity that links them."""
+    if 100 * min(len(s), len(t)) < THRESHOLD * max(len(s), len(t)):
+        return False
+    both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
+    return 100 * both >= THRESHOLD * (len(s) + len(t) - both)
+
+
+def _bitmaps(members: list[np.ndarray]) -> np.ndarray:
+    """One row of bits per set: an element sets the bit that its hash names. Rows are some sixteen times as wide as an average set."""
+    average = sum(map(len, members)) // max(1, len(members))
+    width = min(1 << 16, max(1 << 9, 1 << (16 * average).bit_length()))
+    bits = np.zeros((len(members), width), dtype=bool)
+    for row, s in zip(bits, members):
+        row[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _may_link(sizes: np.ndarray, bits: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Which sets the bitmaps do not rule out: a bit that only one of two sets has stands for an element that the other lacks."""
+    both = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64)
+    ones = np.bitwise_count(bits[x]).sum(dtype=np.int64)
+    most = np.minimum(sizes[x] - (ones - both), sizes[others] - (np.bitwise_count(bits[others]).sum(axis=1, dtype=np.int64) - both))
+    return 100 * most >= THRESHOLD * (sizes[x] + sizes[others] - most)
 
-    ``most`` = 1: a spanning forest of the labels by the best agreeing pairs; a greater number: the best agreeing
-    pairs, so many of each document; None: all.
-    """
+
+def _linked_in_cells(rows: DataFrame) -> DataFrame:
+    """Links between different labels of each cell, confirmed on the full sets: a spanning forest of the labels."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("name").combine_chunks()
         names, labels = table.column("name").to_pylist(), table.column("label").to_pylist()
         labels = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.int32).reshape(-1, MINHASHES)
+        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint8).reshape(-1, MINHASHES)
         side, own = table.column("side").to_numpy(), table.column("own")[0].as_py()
         sides = [np.flatnonzero(side == s) for s in (0, 1)]
+        members = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in table.column("members")]
+        sizes, bits = np.array([len(m) for m in members]), _bitmaps(members)
         todo = [(x, sides[0]) for x in sides[1]] + ([(x, sides[own - 1][n + 1 :]) for n, x in enumerate(sides[own - 1])] if own else [])
         left, right, same = [], [], []
         for x, others in todo:
             others = others[labels[others] != labels[x]]
             agree = np.count_nonzero(tokens[others] == tokens[x], axis=1)
-            enough = agree >= CANDIDATE
+            others, agree = others[agree >= CANDIDATE], agree[agree >= CANDIDATE]
+            enough = _may_link(sizes, bits, x, others)
             left.append(np.full(int(enough.sum()), x))
             right.append(others[enough])
             same.append(agree[enough])
         left, right, same = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (left, right, same))
         order = np.argsort(-same, kind="stable")
-        left, right = left[order].tolist(), right[order].tolist()
-        if most == 1:
-            parent = list(range(int(labels.max()) + 1))
-
-            def root(v: int) -> int:
-                while parent[v] != v:
-                    parent[v] = v = parent[parent[v]]
-                return v
-
-            chosen = []
-            for x, y in zip(left, right):
-                u, v = root(labels[x]), root(labels[y])
-                if u != v:
-                    parent[u] = v
-                    chosen.append((x, y))
-        elif most:
-            used, chosen = np.zeros(len(names), dtype=np.int64), []
-            for x, y in zip(left, right):
-                if used[x] < most or used[y] < most:
-                    used[[x, y]] += 1
-                    chosen.append((x, y))
-        else:
-            chosen = zip(left, right)
-        pairs = sorted((min(names[x], names[y]), max(names[x], names[y])) for x, y in chosen)
-        a, b = zip(*pairs) if pairs else ((), ())
+        parent = list(range(int(labels.max()) + 1))
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        links = []
+        for x, y in zip(left[order].tolist(), right[order].tolist()):
+            u, v = root(labels[x]), root(labels[y])
+            if u != v and similar(members[x], members[y]):
+                parent[u] = v
+                links.append((min(names[x], names[y]), max(names[x], names[y])))
+        a, b = zip(*sorted(links)) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.groupBy("node", "i", "j").applyInArrow(run, "a binary, b binary")
+    return rows.select("node", "i", "j", "side", "own", "name", "label", "tokens", "members").groupBy("node", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def _overlap(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -456,6 +491,13 @@ def _set(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sets, pa.binary())], names=["name", "members"]).filter(own)
 
 
+def _full_sets(names: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(name, members) of names: their sets, made again from whole texts."""
+    needed = names.join(sets.select("name", "key"), "name")
+    full = map_batches(needed.join(texts, "key").select("name", "text"), _set, "name binary, members binary")
+    return full.dropDuplicates(["name"])
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough.
 
@@ -463,9 +505,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     pair are made again, from their whole texts.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    needed = asked.join(sets.select("name", "key"), "name")
-    full = map_batches(needed.join(texts, "key").select("name", "text"), _set, "name binary, members binary")
-    full = materialised(full.dropDuplicates(["name"]), "near-sets")
+    full = materialised(_full_sets(asked, sets, texts), "near-sets")
     both = pairs.join(full.select(F.col("name").alias("a"), F.col("members").alias("set_a")), "a")
     both = both.join(full.select(F.col("name").alias("b"), F.col("members").alias("set_b")), "b")
     return map_batches(both.select("a", "b", "set_a", "set_b"), _overlap, "a binary, b binary")
@@ -504,7 +544,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """(doc_id, n_shingles, component_id, kept) of every row, plus ``class_key`` naming its class."""
     chosen = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = materialised(signatures(chosen), "near-signatures")
-    sets = signed.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("key"), F.first("tokens").alias("tokens"))
+    sets = signed.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("doc_id").alias("key"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size"))
     sets = materialised(sets, "near-sets")
     texts = chosen.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"), as_bytes(F.col("text")).alias("text"))
     roots = components(links(sets, texts))
