@@ -7,7 +7,8 @@ its surrogate is drawn from a keyed hash, and each place gets the surrogate in i
 
 * Coreference: equal canonical forms have equal surrogates in all documents.
 * Distinctness: surrogates are counted per type; all but the least owner of a shared one, and owners of
-  one that is itself an entity of the corpus, draw again until none is shared.
+  one that is itself an entity of the corpus, draw again until none is shared. Formats with too few surrogates widen as
+  draws go on: names by a syllable, numbers by a digit at their end, mailboxes by a letter, octets to three digits.
 * Consistency: digits stay digits and letters letters of their case at their place; phones keep the country
   code, cards the issuer digit and a valid check digit if they had one, addresses the digits of each octet;
   given names keep their gender (by the form of address) and names their script.
@@ -40,7 +41,8 @@ PATTERNS: dict[str, str] = {
 }
 ENTITY = "|".join(PATTERNS.values())
 KEY = "surrogate-key-1"
-ROUNDS = 32
+#: Draws in an entity's own format; every second one after that widens it. Names widen with every second draw.
+NARROW = 3
 
 #: Fixed syllables that made-up names are built of, by script, and endings by gender.
 SYLLABLES = {
@@ -100,13 +102,21 @@ def _pick(values, stream: str, i: int) -> Column:
 
 
 def _made_name(role: str, script: str) -> Column:
-    """A name of two syllables and an ending; one more syllable every eighth attempt."""
+    """A name of two syllables and an ending; one more syllable every second attempt."""
     s = SYLLABLES[script]
-    more = F.when(F.col("attempt") >= 8, _pick(s, "stream", 3)).otherwise(F.lit(""))
-    more = F.concat(more, F.when(F.col("attempt") >= 16, _pick(s, "stream", 4)).otherwise(F.lit("")))
+    listed = ", ".join(f"'{x}'" for x in s)
+    more = F.expr(
+        f"CASE WHEN attempt < 2 THEN '' ELSE array_join(transform(sequence(1, attempt div 2), k -> element_at(array({listed}), 1 + pmod({_draw('stream', '(k + 2)')}, {len(s)}))), '') END"
+    )
     return F.concat(_pick(s, "stream", 0), _pick(s, "stream", 1), more, _pick(ENDINGS[script, role], "stream", 2))
 
 
+def _widening(characters: str) -> str:
+    """SQL of what a format is widened by: nothing for the first attempts, then one character more every second attempt."""
+    drawn = f"substring('{characters}', 1 + pmod({_draw('stream', '(k + 40)')}, {len(characters)}), 1)"
+    return f"CASE WHEN attempt <= {NARROW} THEN '' ELSE array_join(transform(sequence(1, (attempt - {NARROW} + 1) div 2), k -> {drawn}), '') END"
+
+
 #: Sum of a digit string by Luhn's rule, and the digit that makes it a multiple of ten.
 _LUHN = """aggregate(sequence(1, length({d})), 0, (a, i) -> a + CASE WHEN pmod(length({d}) - i, 2) = 0 THEN cast(substring({d}, i, 1) AS int)
  ELSE element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), 1 + cast(substring({d}, i, 1) AS int)) END)"""
@@ -119,17 +129,18 @@ def _generated() -> Column:
     letters = f" WHEN c BETWEEN 'a' AND 'z' THEN substring('abcdefghijklmnopqrstuvwxyz', 1 + pmod({r}, 26), 1) ELSE c END)"
     plain = F.expr(f"array_join({digits}{letters}, '')")
     hexed = F.expr(f"array_join(transform(split(canon, ''), (c, i) -> substring('0123456789abcdef', 1 + pmod({r}, 16), 1)), '')")
-    octet = f"""array_join(transform(split(canon, '[.]'), (c, i) -> cast(CASE length(c) WHEN 1 THEN 1 + pmod({r}, 9)
-     WHEN 2 THEN 10 + pmod({r}, 90) ELSE 100 + pmod({r}, 155) END AS string)), '.')"""
+    octet = f"""array_join(transform(split(canon, '[.]'), (c, i) -> cast(CASE WHEN attempt > {NARROW} THEN 100 + pmod({r}, 155) WHEN length(c) = 1 THEN 1 + pmod({r}, 9)
+     WHEN length(c) = 2 THEN 10 + pmod({r}, 90) ELSE 100 + pmod({r}, 155) END AS string)), '.')"""
+    octet = f"concat({octet}, CASE WHEN attempt <= {NARROW + 16} THEN '' ELSE concat('.', cast(100 + pmod({_draw('stream', '40')}, 155) AS string), {_widening('0123456789')}) END)"
     luhn, body = _LUHN.format(d="canon"), "substring(plain, 1, length(canon) - 1)"
     zero = f"concat({body}, '0')"
     checked = F.expr(f"CASE WHEN pmod({luhn}, 10) = 0 THEN concat({body}, cast(pmod(10 - pmod({_LUHN.format(d=zero)}, 10), 10) AS string)) ELSE plain END".replace("plain", "plain_form"))
-    local = F.expr("concat(substring_index(plain_form, '@', 1), '@', domain)")
+    local = F.expr(f"concat(substring_index(plain_form, '@', 1), {_widening('abcdefghijklmnopqrstuvwxyz')}, '@', domain)")
     out = F.when(F.col("kind") == "secret", hexed).when(F.col("kind") == "ip", F.expr(octet)).when(F.col("kind") == "card", checked).when(F.col("kind") == "email", local)
     for script in SYLLABLES:
         for role in ("male", "female", "surname"):
             out = out.when(F.col("kind") == f"{role} {script}", _made_name(role, script))
-    return out.otherwise(F.col("plain_form")), plain
+    return out.otherwise(F.expr(f"concat(plain_form, {_widening('0123456789')})")), plain
 
 
 def _with_surrogate(entities: DataFrame, key: str) -> DataFrame:
@@ -153,11 +164,12 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, surrogate): one surrogate per entity, none shared and none an entity itself.
 
     ``entities`` has (kind, canon). Rounds are written to the shared folder; in each, entities whose
-    surrogate is taken draw again. Few are left after the first.
+    surrogate is taken draw again. Few are left after the first; as their formats widen, the free surrogates outgrow any number of
+    entities and the rounds end.
     """
     known = materialised(entities.select("kind", "canon").distinct(), "surrogate-entities")
     table = materialised(_with_surrogate(known.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(ROUNDS):
+    while True:
         owners = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count(F.lit(1)).alias("c"))
         taken = known.select(F.col("kind"), F.col("canon").alias("surrogate"), F.lit(True).alias("entity"))
         bad = owners.join(taken, ["kind", "surrogate"], "left").where("c > 1 OR entity")
@@ -167,7 +179,6 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
             return table.select("kind", "canon", "surrogate")
         kept = table.join(again.select("kind", "canon"), ["kind", "canon"], "left_anti")
         table = materialised(kept.select("kind", "canon", "attempt", "surrogate").unionByName(_with_surrogate(again, key)), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
 def mentions(surfaces: DataFrame) -> DataFrame:
@@ -198,7 +209,10 @@ def _rendered() -> Column:
      WHEN c RLIKE '[A-Z]' THEN upper(substring(surrogate, {ordinal}, 1)) ELSE c END), '')"""
     placed = """array_join(transform(split(surface, ''), (c, i) -> CASE WHEN c RLIKE '[A-Z]' THEN upper(substring(surrogate, i + 1, 1))
      ELSE substring(surrogate, i + 1, 1) END), '')"""
-    return F.when(F.col("type").isin("email", "ip"), F.expr(placed)).otherwise(F.expr(spaced))
+    # What a widened surrogate has beyond its surface.
+    beyond = "substring(surrogate, length(regexp_replace(surface, '[^A-Za-z0-9]', '')) + 1)"
+    same = F.length("surrogate") == F.length("surface")
+    return F.when(F.col("type").isin("email", "ip"), F.when(same, F.expr(placed)).otherwise(F.col("surrogate"))).otherwise(F.concat(F.expr(spaced), F.expr(beyond)))
 
 
 def replacements(found: DataFrame, table: DataFrame) -> DataFrame:

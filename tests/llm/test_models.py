@@ -168,3 +168,19 @@ def test_surrogates_native(docs_of):
     plan = surrogates.with_surrogates(docs_of(PII))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
     assert surrogates.with_surrogates(docs_of([])).count() == 0
+
+
+def test_full_formats_widen(spark, docs_of):
+    """Mailboxes of one host, short addresses, short phone numbers and very many surnames: more than their formats hold."""
+    from speakerprint.llm import surrogates
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"write to {c}@example.org") for i, c in enumerate(letters)]
+    rows += [(100 + i, f"host {1 + i % 9}.{1 + i // 9 % 9}.{1 + i // 81 % 9}.{1 + i // 729}") for i in range(5_000)]
+    rows += [(10_000 + i, f"call +7 {10 + i // 90} {10 + i % 90}") for i in range(6_000)]
+    rows += [(20_000 + i, f"Herr {letters[i % 26].upper()}{letters[i // 26 % 26]}{letters[i // 676 % 26]}{letters[i // 17576]}q") for i in range(20_000)]
+    out = {r["doc_id"]: r["text"] for r in surrogates.with_surrogates(docs_of(rows)).collect()}
+    for low, high in ((0, 100), (100, 10_000), (10_000, 20_000), (20_000, 50_000)):
+        before = {t for i, t in rows if low <= i < high}
+        after = [t for i, t in out.items() if low <= i < high]
+        assert len(set(after)) == len(after) == len(before) and not before & set(after)
