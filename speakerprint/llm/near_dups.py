@@ -280,7 +280,7 @@ def _sorted_out(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """(node, i, j, side, own, name) of rows that end: their cells.
+    """(node, i, j, side, own, name, label) of rows that end: their cells.
 
     A cell (node, i, j) has two sides; ``own`` is the side, counted from 1, whose documents meet each other as well.
     """
@@ -303,7 +303,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     most = uneven.where(F.col("label") == F.col("top.label")).withColumn("i", part(n)).withColumn("side", F.lit(0))
     few = uneven.where(F.col("label") != F.col("top.label")).withColumn("i", every(n)).withColumn("side", F.lit(1))
     uneven = most.unionByName(few).withColumn("own", F.when(F.col("i") == 0, 2).otherwise(0))
-    columns = ["node", "i", "j", "side", "own", "name"]
+    columns = ["node", "i", "j", "side", "own", "name", "label"]
     return whole.select(*columns).unionByName(uneven.select(*columns))
 
 
@@ -327,13 +327,6 @@ def _ask(pairs: DataFrame, sets: DataFrame, texts: DataFrame, asked: list[DataFr
     sure.append(materialised(confirmed(asked[-1], sets, texts), "near-links"))
 
 
-def _labelled(rows: DataFrame, sure: list[DataFrame]) -> DataFrame:
-    """Rows with ``label``: the smallest name that links found so far lead to."""
-    roots = components(_union(sure)).select(F.col("node").alias("name"), F.col("root").alias("label"))
-    joined = rows.drop("label").join(roots, "name", "left")
-    return joined.withColumn("label", F.coalesce("label", "name"))
-
-
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed pairs (a, b), a < b, of names that the trees bring together.
 
@@ -346,8 +339,10 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     crowded = early.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("node")
     early = materialised(early.join(crowded, "node").join(sets.select("name", "tokens"), "name").withColumn("stuck", F.lit(0)), "near-early")
     if not early.isEmpty():
-        _to_pivots(early, sets, texts, asked, sure)
-        named = materialised(_labelled(named, sure), "near-named")
+        # Every set is in two of these nodes at most, and takes the smaller one of the pivots that it is linked to.
+        linked = _to_pivots(early, sets, texts, asked, sure).where("label <> name").groupBy("name").agg(F.min("label").alias("pivot"))
+        named = named.join(linked, "name", "left").withColumn("label", F.coalesce("pivot", "label")).drop("pivot")
+        named = materialised(named, "near-named")
     first = _roots(named)
     rows = first.join(_sizes(first, "node").select("node"), "node").join(sets.select("name", "tokens"), "name")
     rows = materialised(rows.withColumn("up", F.lit(None).cast("bigint")).withColumn("stuck", F.lit(0)), "near-level")
@@ -371,14 +366,13 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         rows = materialised(_children(known.where("kind = 'open'"), level), "near-level")
     _ask(_union(found), sets, texts, asked, sure)
     if cells:
-        sure.append(_cell_links(reduce(DataFrame.unionAll, cells), sets, texts, sure))
+        sure.append(_cell_links(reduce(DataFrame.unionAll, cells), sets, texts))
     return _union(sure)
 
 
-def _cell_links(cells: DataFrame, sets: DataFrame, texts: DataFrame, sure: list[DataFrame]) -> DataFrame:
-    """Links (a, b) that cells find, after all links known before have merged their labels."""
-    labelled = materialised(_labelled(cells, sure), "near-labelled")
-    open_cells = materialised(_once(labelled.join(_sizes(labelled, "node", "i", "j").drop("c"), ["node", "i", "j"])), "near-open")
+def _cell_links(cells: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that cells find between different labels."""
+    open_cells = materialised(_once(cells), "near-open")
     names = open_cells.select("name").distinct()
     full = materialised(_full_sets(names, sets, texts), "near-full")
     tokens = sets.select("name", _low_bytes(sets).alias("tokens"))
@@ -397,10 +391,11 @@ def _low_bytes(sets: DataFrame) -> Column:
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """Rows of cells, one cell of those that hold the same documents with the same labels on the same sides."""
+    """Rows of cells that hold several labels, one cell of those with the same documents and labels on the same sides."""
     cell = ["node", "i", "j"]
     held = [F.xxhash64("name", "label", "side", "own", F.lit(k)) for k in range(2)]
-    what = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(h).alias(f"x{k}") for k, h in enumerate(held)])
+    what = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), *[F.bit_xor(h).alias(f"x{k}") for k, h in enumerate(held)])
+    what = what.where("lo <> hi")
     return rows.join(what.groupBy("n", "x0", "x1").agg(F.min(F.struct(*cell)).alias("cell")).select("cell.*"), cell)
 
 
