@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +38,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder below ``spark.checkpoint.dir`` (the folder all executors share).
 
     Only where the session names none (local tests) a temporary folder is chosen, once per
-    Spark context.
+    Spark context, and removed when the program ends.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
@@ -46,6 +48,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
             root = sc._speakerprint_scratch = tempfile.mkdtemp(prefix="speakerprint-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
