@@ -42,9 +42,11 @@ def test_large_group_and_chain(docs_of, copies):
 
 
 def test_large_nodes_branch(docs_of, copies, monkeypatch):
-    """With tiny nodes every group goes through pivots, branching and the cells of the last level."""
+    """With tiny nodes every group goes through pivots, branching and cells of several blocks."""
     monkeypatch.setattr(near_dups, "SMALL", 4)
-    monkeypatch.setattr(near_dups, "LEVELS", 2)
+    monkeypatch.setattr(near_dups, "WHOLE", 8)
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 1_000)
     assert classes(docs_of(copies)) == near_classes(copies)
 
 
@@ -93,6 +95,26 @@ def test_pivot_links_are_confirmed(docs_of):
     assert classes(docs_of(rows)) == want
 
 
+def test_bitmaps_rule_out_no_link():
+    """Whatever two sets share, a pair that is similar enough passes the bitmaps, and the exact count agrees with plain sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 700):
+        pool = rng.integers(0, 2**63, 3 * size, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(1, 2 * size + 1))) for _ in range(20)]
+        for _ in range(20):
+            kept = sets[rng.integers(len(sets))]
+            sets.append(np.unique(np.concatenate([kept[rng.random(len(kept)) < 0.9], pool[:1]])))
+        sizes, bits = np.array([len(s) for s in sets]), near_dups._bitmaps(sets)
+        for x in range(len(sets)):
+            may = near_dups._may_link(sizes, bits, x, np.arange(len(sets)))
+            for y in range(len(sets)):
+                a, b = set(sets[x].tolist()), set(sets[y].tolist())
+                linked = 100 * len(a & b) >= 75 * len(a | b)
+                assert near_dups.similar(sets[x], sets[y]) == linked and (may[y] or not linked)
+
+
 def test_common_passage(docs_of, monkeypatch):
     """Pairs of copies among texts that mostly are one passage: large nodes that tokens don't separate."""
     monkeypatch.setattr(near_dups, "SMALL", 4)
