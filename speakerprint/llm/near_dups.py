@@ -57,10 +57,12 @@ MINHASHES = 128
 TREES = 6
 BRANCHES = 2
 #: Documents of a node whose pairs are all proposed at once, levels in a row that a node may keep over half of its
-#: parent's documents before its blocks meet, documents of a block, and tokens that vote for a pivot.
+#: parent's documents before its blocks meet, documents of a block, of a root that is compared with a pivot first, and tokens that
+#: vote for a pivot.
 SMALL = 64
 LEVELS = 2
-BLOCK = 1024
+BLOCK = 4096
+CROWD = 1024
 VOTES = 16
 #: Documents of a node whose blocks meet at once, shingles of a block, and the roots that are compared with pivots first.
 WHOLE = 8192
@@ -327,6 +329,10 @@ def _ask(pairs: DataFrame, sets: DataFrame, texts: DataFrame, asked: list[DataFr
     sure.append(materialised(confirmed(asked[-1], sets, texts), "near-links"))
 
 
+def _with_tokens(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return rows if "tokens" in rows.columns else rows.join(sets.select("name", "tokens"), "name")
+
+
 def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed pairs (a, b), a < b, of names that the trees bring together.
 
@@ -336,7 +342,7 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     asked, sure, found, cells = [], [], [], []
     named = sets.select("name", F.col("name").alias("label"), "tokens")
     early = _roots(named, FIRST_ROOTS)
-    crowded = early.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("node")
+    crowded = early.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("node")
     early = materialised(early.join(crowded, "node").join(sets.select("name", "tokens"), "name").withColumn("stuck", F.lit(0)), "near-early")
     if not early.isEmpty():
         # Every set is in two of these nodes at most, and takes the smaller one of the pivots that it is linked to.
@@ -344,18 +350,18 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         named = named.join(linked, "name", "left").withColumn("label", F.coalesce("pivot", "label")).drop("pivot")
         named = materialised(named, "near-named")
     first = _roots(named)
-    rows = first.join(_sizes(first, "node").select("node"), "node").join(sets.select("name", "tokens"), "name")
+    # Rows of roots are stored without their tokens, which are twelve times those of the sets.
+    rows = first.join(_sizes(first, "node").select("node"), "node")
     rows = materialised(rows.withColumn("up", F.lit(None).cast("bigint")).withColumn("stuck", F.lit(0)), "near-level")
     for level in count(1):
         stats = rows.groupBy("node").agg(*[f("label").alias(n) for f, n in _COUNTS], F.first("up").alias("up"), F.first("stuck").alias("stuck")).where("lo <> hi")
         stats = stats.withColumn("stuck", F.when(2 * F.col("c") > F.col("up"), F.col("stuck") + 1).otherwise(F.lit(0)))
-        small = rows.join(stats.where(F.col("c") <= SMALL).select("node"), "node")
+        small = _with_tokens(rows.join(stats.where(F.col("c") <= SMALL).select("node"), "node"), sets)
         found.append(materialised(_leaf_pairs(small).distinct(), "near-pairs"))
-        wide = rows.select("node", "name", "label", "tokens").join(stats.where(F.col("c") > SMALL).select("node", "c", "stuck"), "node")
-        wide = materialised(wide, "near-wide")
-        if wide.isEmpty():
+        wide = rows.drop("up", "stuck").join(stats.where(F.col("c") > SMALL).select("node", "c", "stuck"), "node")
+        known = materialised(_with_tokens(_sorted_out(wide, sets), sets), "near-known")
+        if known.isEmpty():
             break
-        known = materialised(_sorted_out(wide, sets), "near-known")
         cells.append(materialised(_cells(known), "near-cells"))
         large = known.where("kind = 'open'").drop("top", "w", "kind")
         if large.isEmpty():
@@ -375,12 +381,12 @@ def _cell_links(cells: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFram
     open_cells = materialised(_once(cells), "near-open")
     names = open_cells.select("name").distinct()
     full = materialised(_full_sets(names, sets, texts), "near-full")
-    tokens = sets.select("name", _low_bytes(sets).alias("tokens"))
+    tokens = names.join(sets.select("name", "tokens"), "name").select("name", _low_bytes().alias("tokens"))
     rows = open_cells.join(full.join(tokens, "name"), "name")
     return materialised(_linked_in_cells(rows), "near-links")
 
 
-def _low_bytes(sets: DataFrame) -> Column:
+def _low_bytes() -> Column:
     """The lowest byte of each minwise token: what agrees in tokens agrees in these."""
 
     @F.pandas_udf("binary")
@@ -488,7 +494,8 @@ def _set(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _full_sets(names: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(name, members) of names: their sets, made again from whole texts."""
-    needed = names.join(sets.select("name", "key"), "name")
+    # Stored, so that its size is known: where it is small, texts are not shuffled.
+    needed = materialised(names.join(sets.select("name", "key"), "name"), "near-needed")
     full = map_batches(needed.join(texts, "key").select("name", "text"), _set, "name binary, members binary")
     return full.dropDuplicates(["name"])
 
