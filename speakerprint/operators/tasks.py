@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speakerprint.functions.jsontext import script_text, strict_object
+from speakerprint.functions.jsontext import bound, script_text, strict_object
 from speakerprint.functions.text import strip, unfence
 from speakerprint.functions.vectors import as_col
 
@@ -34,12 +34,12 @@ def score_numeric(reply: str | Column, answer: str | Column) -> Column:
 def score_json(reply: str | Column, expected: str | Column) -> Column:
     """The reply is one JSON object, fences aside, whose values equal every expected text in any case."""
     found = strict_object(unfence(reply, any_case=True)).try_cast("map<string,variant>")
-    texts = F.transform_values(found, lambda _, v: F.lower(F.coalesce(script_text(v), F.lit("null"))))
-    return F.forall(
-        F.map_entries(as_col(expected)),
-        lambda e: F.coalesce(F.coalesce(F.element_at(texts, e["key"]), F.lit("undefined")) == F.lower(e["value"]), F.lit(False))
-        & texts.isNotNull(),
-    )
+
+    def same(texts: Column, e: Column) -> Column:
+        text = F.when(F.map_contains_key(texts, e["key"]), F.lower(F.coalesce(script_text(F.element_at(texts, e["key"])), F.lit("null"))))
+        return texts.isNotNull() & F.coalesce(F.coalesce(text, F.lit("undefined")) == F.lower(e["value"]), F.lit(False))
+
+    return bound(found, lambda texts: F.forall(F.map_entries(as_col(expected)), lambda e: same(texts, e)))
 
 
 def score_tasks(df: DataFrame, reply: str = "reply", out: str = "ok") -> DataFrame:
