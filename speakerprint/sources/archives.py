@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +31,11 @@ SCHEMA = (
     "path string, size bigint, is_zip boolean, files array<string>, manifest_json string, metadata_json string,"
     " summary string, summary_utf8 boolean, vector_name string, vector binary, vector_dim bigint, bits array<bigint>, vector_error string, sha256 string, error string"
 )
+_ARROW = {
+    "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64()),
+}
+#: Opened archives that a task hands on together: so many rows, and bytes unless one alone has more.
+HELD_ROWS, HELD_BYTES = 1_024, 8 << 20
 # How an array file begins, and the earliest time that a ZIP member can carry.
 NPY = b"\x93NUMPY"
 EPOCH = (1980, 1, 1, 0, 0, 0)
@@ -111,6 +115,33 @@ def _open_one(path: str, content: bytes, raw: bool) -> tuple:
     return (path, len(content), True, files, text(manifest)[0], text(metadata)[0], summary_text, utf8, vector_name, vector if raw else None, dim, bits, unread[0] if unread else None, digest, error)
 
 
+def _opened(batches: Iterator[pa.RecordBatch], raw: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SCHEMA`` of batches (path, content); many short archives are handed on together."""
+    kinds = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), kinds)], schema=kinds)
+        held.clear()
+        return out
+
+    for batch in batches:
+        for p, c in zip(batch.column("path"), batch.column("content")):
+            row = _open_one(p.as_py(), c.as_py(), raw)
+            own = sum(len(x) for x in row if isinstance(x, (bytes, str)))
+            if held and size + own > HELD_BYTES:
+                yield flush()
+                size = 0
+            held.append(row)
+            size += own
+            if len(held) >= HELD_ROWS:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
 def open_archives(files: DataFrame, path: str = "path", content: str = "content", raw: bool = True) -> DataFrame:
     """One row per archive of a table ``(path, content)``: texts, vector, its sign bits, and digest.
 
@@ -118,13 +149,10 @@ def open_archives(files: DataFrame, path: str = "path", content: str = "content"
     a vector that is none gives ``vector_error``, not a failure.
     """
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for batch in batches:
-            for p, c in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame([_open_one(p, bytes(c), raw)], columns=names).astype({"vector_dim": "Int64"})
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _opened(batches, raw)
 
-    return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).where("content IS NOT NULL").mapInPandas(unzip, SCHEMA)
+    return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).where("content IS NOT NULL").mapInArrow(unzip, SCHEMA)
 
 
 def ingest_archives(spark: SparkSession, path: str | list[str], pattern: str = "*.fp", raw: bool = True) -> DataFrame:

@@ -1,10 +1,12 @@
 """What a row costs: expressions that were computed once for each use, and tasks that held too much."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from speakerprint.functions.jsontext import script_number
 from speakerprint.operators.tasks import score_json
+from speakerprint.sources import archives
 
 
 def planned(df):
@@ -28,3 +30,11 @@ def test_a_reply_is_parsed_once(spark, reply, want):
     scored = df.select(score_json("reply", F.create_map(F.lit("k"), F.lit("5"), F.lit("j"), F.lit("null"))).alias("ok"))
     assert planned(scored).count("try_parse_json") == 1
     assert scored.first()["ok"] is want
+
+
+def test_many_archives_are_handed_on_together():
+    """Every archive was a table of its own."""
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(2_500)], "content": [b"x" * 20] * 2_500})
+    out = list(archives._opened(iter([batch]), True))
+    assert [b.num_rows for b in out] == [1_024, 1_024, 452] and [p for b in out for p in b.column("path").to_pylist()] == batch.column("path").to_pylist()
+    assert not any(b.column("is_zip")[0].as_py() for b in out) and list(archives._opened(iter([]), True)) == []
