@@ -33,9 +33,9 @@ def strict_object(text: str | Column) -> Column:
     return bound(as_col(text), parsed)
 
 
-def has_key(value: Column, key: str) -> Column:
-    """True when the object has the key, also with a null value."""
-    return F.coalesce(F.array_contains(F.map_keys(value.try_cast("map<string,variant>")), key), F.lit(False))
+def keys_of(value: Column) -> Column:
+    """Keys of an object, also of null values; none where there is no object."""
+    return F.coalesce(F.map_keys(value.try_cast("map<string,variant>")), F.array().cast("array<string>"))
 
 
 def script_number(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speakerprint.functions.jsontext import has_key, strict_object
+from speakerprint.functions.jsontext import keys_of, strict_object
 from speakerprint.functions.text import explode_items, run_hashes, script_strip, word_count, words
 from speakerprint.functions.vectors import as_col
 from speakerprint.operators.scale import HOT_ROWS, bit_filter, may_hold, spread_join
@@ -101,14 +101,15 @@ def validate(archives: DataFrame, mode: str = "strict") -> DataFrame:
         archives.withColumn("__m", strict_object(script_strip("manifest_json")))
         .withColumn("__d", strict_object(script_strip("metadata_json")))
         .withColumn("__words", F.when(F.col("summary_utf8"), word_count("summary")))
+        .withColumns({f"{c}_keys": keys_of(F.col(c)) for c in ("__m", "__d")})
     )
 
     def present(source: str, names: tuple[str, ...], aliases: dict[str, str]) -> Column:
         ok = F.lit(True)
         for n in names:
-            one = has_key(F.col(source), n)
+            one = F.array_contains(f"{source}_keys", n)
             if lenient and n in aliases:
-                one = one | has_key(F.col(source), aliases[n])
+                one = one | F.array_contains(f"{source}_keys", aliases[n])
             ok = ok & one
         return ok
 
@@ -133,7 +134,7 @@ def validate(archives: DataFrame, mode: str = "strict") -> DataFrame:
     for name, check in checks.items():
         out = out.withColumn(f"ok_{name}", F.coalesce(check, F.lit(False)))
     failed = F.array_compact(F.array(*[F.when(~F.col(f"ok_{n}"), F.lit(n)) for n in checks]))
-    return out.withColumn("violations", failed).withColumn("valid", F.size("violations") == 0).drop("__m", "__d", "__words")
+    return out.withColumn("violations", failed).withColumn("valid", F.size("violations") == 0).drop("__m", "__d", "__m_keys", "__d_keys", "__words")
 
 
 def validation_report(validated: DataFrame) -> DataFrame:
