@@ -32,6 +32,11 @@ BROADCAST_CANDIDATES = 32_768
 #: Rows per block when candidates are too many to broadcast.
 QUERY_BLOCK = 8_192
 CANDIDATE_BLOCK = 8_192
+#: The same for banded retrieval, whose cells score few of their pairs.
+BANDED_QUERIES, BANDED_CANDIDATES = 16_384, 32_768
+#: Pairs whose distances a task holds at a time, and pairs whose bits it gathers at a time.
+SCORED_PAIRS = 1 << 21
+PAIR_STEP = 1 << 13
 
 
 def _best(ham: np.ndarray, k: int | None, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +57,50 @@ def _best(ham: np.ndarray, k: int | None, most: int) -> tuple[np.ndarray, np.nda
     return rows[ok], cols[ok]
 
 
+def _dense(qm: np.ndarray, cm: np.ndarray, k: int | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, candidate, distance) of the k best candidates per query, some queries at a time."""
+    step = max(1, SCORED_PAIRS // len(cm))
+    for lo in range(0, len(qm), step):
+        ham = packed.hamming(qm[lo : lo + step], cm)
+        rows, cols = _best(ham, k, most)
+        yield rows + lo, cols, ham[rows, cols]
+
+
+def _sharing(
+    qm: np.ndarray, cm: np.ndarray, ords: pa.ChunkedArray, bands: int, dim: int, k: int | None, most: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`_dense` of the pairs that share a band of 16 bits; of equal ``ord`` (neighbours, as candidates come sorted) the best counts."""
+    step = max(1, dim // 16 // bands)
+    qv, cv = (np.ascontiguousarray(m).view("<u2")[:, : step * bands : step] for m in (qm, cm))
+    order = [cv[:, b].argsort(kind="stable") for b in range(bands)]
+    values = [cv[:, b][o] for b, o in enumerate(order)]
+    same = np.cumsum(np.diff(ords.dictionary_encode(null_encoding="encode").combine_chunks().indices.to_numpy(), prepend=0) != 0)
+    width = max(1, SCORED_PAIRS // len(cm))
+    for lo in range(0, len(qm), width):
+        asked = qv[lo : lo + width]
+        share = np.zeros((len(asked), len(cm)), dtype=bool)
+        for b in range(bands):
+            first, last = (np.searchsorted(values[b], asked[:, b], side=side) for side in ("left", "right"))
+            for i in np.flatnonzero(last > first):
+                share[i, order[b][first[i] : last[i]]] = True
+        rows, cols = np.nonzero(share)
+        ham = np.empty(len(rows), dtype=np.int64)
+        for at in range(0, len(rows), PAIR_STEP):
+            part = slice(at, at + PAIR_STEP)
+            ham[part] = np.bitwise_count(qm[lo + rows[part]].view(np.uint64) ^ cm[cols[part]].view(np.uint64)).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(ham <= most)
+        rows, cols, ham = rows[near], cols[near], ham[near]
+        # The best row of an ord, then the k best of a query.
+        best = np.lexsort((cols, ham, same[cols], rows))
+        head = np.ones(len(best), dtype=bool)
+        head[1:] = (np.diff(rows[best]) != 0) | (np.diff(same[cols[best]]) != 0)
+        best = best[head]
+        best = best[np.lexsort((cols[best], ham[best], rows[best]))]
+        if k is not None:
+            best = best[np.arange(len(best)) - np.searchsorted(rows[best], rows[best], side="left") < k]
+        yield rows[best] + lo, cols[best], ham[best]
+
+
 def _most(theta: float | None, dim: int) -> int:
     """Largest Hamming distance whose cosine is strictly above theta."""
     if theta is None:
@@ -146,13 +195,15 @@ def _by_blocks(
     query_block: int = QUERY_BLOCK,
     candidate_block: int = CANDIDATE_BLOCK,
     keep_row: bool = False,
+    bands: int | None = None,
 ) -> DataFrame:
     """Block-by-block scoring inside each bucket (no bucket columns: one bucket for all).
 
     A bucket with many queries and candidates, even one holding a third of both, is cut into
     cells of at most about query_block x candidate_block rows; a cell emits its k best per query.
     A query is a ``__row`` where the frame has that column, as it does without buckets, else a ``query_id``.
-    ``keep_row`` gives the rows with their ``__row`` and distance ``ham`` instead of scores.
+    ``keep_row`` gives the rows with their ``__row`` and distance ``ham`` instead of scores. With ``bands`` a cell compares only
+    pairs that share a band, and an ``ord`` counts once per query.
     """
     bucket = list(bucket)
     queries = queries.where(F.col("bits").isNotNull()) if bucket else _numbered(queries)
@@ -190,24 +241,18 @@ def _by_blocks(
         if left.num_rows and right.num_rows:
             qm = packed.list_matrix(left.column("bits").chunk(0), np.int64)
             cm = packed.list_matrix(right.column("cbits").chunk(0), np.int64)
-            step = max(1, (1 << 24) // len(cm))
-            for lo in range(0, len(qm), step):
-                ham = packed.hamming(qm[lo : lo + step], cm)
-                rows, cols = _best(ham, k, most)
-                taken, best = left.select(keep).take(pa.array(rows + lo)), right.take(pa.array(cols))
-                out.append(
-                    pa.table(
-                        [taken.column(x) for x in keep] + [best.column("candidate"), best.column("ord"), pa.array(ham[rows, cols], pa.int64())],
-                        names=names,
-                    )
-                )
+            given, found = left.select(keep), right.select(["candidate", "ord"])
+            for rows, cols, ham in _sharing(qm, cm, found.column("ord"), bands, dim, k, most) if bands else _dense(qm, cm, k, most):
+                taken, best = given.take(pa.array(rows)), found.take(pa.array(cols))
+                columns = [taken.column(x) for x in keep] + [best.column("candidate"), best.column("ord"), pa.array(ham, pa.int64())]
+                out.append(pa.table(columns, names=names))
         if out:
             return pa.concat_tables(out)
         types = [left.schema.field(x).type for x in keep] + [right.schema.field("candidate").type, pa.int64(), pa.int64()]
         return pa.table([pa.array([], t) for t in types], names=names)
 
     hits = q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInArrow(score, schema)
-    if bucket:
+    if bucket or bands:
         hits = hits.dropDuplicates([row, "ord"])
     order = Window.partitionBy(row).orderBy("ham", "ord")
     ranked_hits = hits.withColumn("rank", F.row_number().over(order))
@@ -272,10 +317,7 @@ def retrieve(
     elif method == "pruned":
         hits = _pruned(queries, candidates, k, theta, dim, **kw)
     else:
-        bands = min(bands, dim // 16)
-        q = band_keys(_numbered(queries), bands, dim=dim)
-        c = band_keys(materialised(_candidate_columns(candidates), "candidates"), bands, bits="cbits", dim=dim)
-        hits = _by_blocks(q, c, ["band", "band_value"], k, theta, dim)
+        hits = _by_blocks(queries, _candidate_columns(candidates), [], k, theta, dim, BANDED_QUERIES, BANDED_CANDIDATES, bands=min(bands, dim // 16))
     if registry is not None:
         summaries = registry.select(F.col("id").alias("candidate"), "summary")
         hits = spread_join(hits, summaries, ["candidate"], ["query_id"], how="left")
