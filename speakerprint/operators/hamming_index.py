@@ -33,6 +33,8 @@ SAMPLE = 1_024
 #: tables have more rows, and are scored in several tasks.
 CELL_ROWS = 2_048
 CELLS = 65_536
+#: Rows (query, cell) that a task hands on together, each with the bits of its query.
+VISIT_ROWS = 2_048
 
 
 @dataclass(frozen=True)
@@ -116,8 +118,9 @@ def _visits(queries: DataFrame, index: HammingIndex, radius: int | str | None) -
                 else:
                     most = batch.column(radius).to_numpy()[:, None] if isinstance(radius, str) else radius
                     rows, cols = np.nonzero(least <= most)
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(idx.ids[cols])], names=[*names, "cell"])
+                for at in range(0, len(rows), VISIT_ROWS):
+                    taken = batch.take(pa.array(rows[at : at + VISIT_ROWS]))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(idx.ids[cols[at : at + VISIT_ROWS]])], names=[*names, "cell"])
 
     return queries.mapInArrow(visit, schema)
 
