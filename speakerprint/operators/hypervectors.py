@@ -34,6 +34,8 @@ BUNDLE_ROWS = 1 << 20
 HELD_SPEAKERS = 4_096
 #: Rows unpacked or projected at once inside a task.
 STEP = 1_024
+#: Rows that are projected at a time: 80 KB each at 10,000 dimensions, and as much twice over while they are made.
+ENCODE_ROWS = 256
 #: Neighbouring chunk seeds that a task folds into one.
 COMPOSE_FAN = 4_096
 #: Consensus rule: members per task type and lowest score.
@@ -208,8 +210,8 @@ def hv_encode(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, STEP):
-                batch = whole.slice(lo, STEP)
+            for lo in range(0, whole.num_rows, ENCODE_ROWS):
+                batch = whole.slice(lo, ENCODE_ROWS)
                 column = batch.column(vec)
                 present = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
                 out_bits = np.zeros((batch.num_rows, packed.words(dim)), dtype=np.int64)
@@ -239,8 +241,8 @@ def hv_encode_prefixes(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, STEP):
-                batch = whole.slice(lo, STEP)
+            for lo in range(0, whole.num_rows, ENCODE_ROWS):
+                batch = whole.slice(lo, ENCODE_ROWS)
                 q = packed.quantise(packed.list_matrix(batch.column(vec), np.float64), scale)
                 sign = packed.sign_matrix(q.shape[1], dim, seed, "sign")
                 total, done = np.zeros((len(q), dim), dtype=np.int64), 0
