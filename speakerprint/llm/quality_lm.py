@@ -1,8 +1,7 @@
 """Quality by perplexity under interpolated modified Kneser-Ney models of trusted text.
 
 One model of character 4-grams per language, and one of all trusted text (language ``*``) for languages
-without enough of it. Training counts are bounded: ``TRUSTED_DOCS`` labelled documents, the ones of least
-hash. Counts, discounts, back-off weights and probabilities are tables, sharded by the hash of the n-gram.
+without enough of it. All trusted documents are counted. Counts, discounts, back-off weights and probabilities are tables, sharded by the hash of the n-gram.
 
 Scoring. Documents are dealt to blocks of text; the distinct n-grams of each block are joined with the
 shards, the way n-grams that the model has not seen are joined with its lower orders, and each block then
@@ -21,9 +20,8 @@ from pyspark.sql import functions as F
 
 from speakerprint.llm.common import materialised
 from speakerprint.llm.ngrams import BLOCK_BYTES, Grams, context, counted, low, scored
+from speakerprint.operators.scale import SMALL_TABLE
 
-#: Labelled documents that the models are trained on at most.
-TRUSTED_DOCS = 20_000
 #: Trusted documents that a language needs for a model and a threshold of its own.
 LEAST_DOCS = 20
 #: Quantile of trusted perplexities, and the margin above it that a document may reach.
@@ -36,10 +34,9 @@ GRAMS = Grams(ORDER, BITS)
 ALL = "*"
 
 
-def trusted_ids(labels: DataFrame, bound: int | None = None) -> DataFrame:
-    """doc_id of trusted labelled documents; with a bound, those of least hash."""
-    ids = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return ids if bound is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of trusted labelled documents."""
+    return labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,11 +137,11 @@ def thresholds(scores: DataFrame, trusted: DataFrame, quantile: float = QUANTILE
 
 def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, n_chars, perplexity, threshold, kept) of every document."""
-    # At most TRUSTED_DOCS ids: small enough for every task.
-    sample = F.broadcast(trusted_ids(labels, TRUSTED_DOCS))
-    picked = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).join(sample, "doc_id", "left_semi")
+    ids = trusted_ids(labels)
+    few = ids.count() <= SMALL_TABLE
+    picked = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     scores = materialised(perplexities(docs, picked.select("lang", "text"), id, text, lang), "kn-perplexities")
-    limits = materialised(thresholds(scores, trusted_ids(labels)), "kn-thresholds")
+    limits = materialised(thresholds(scores, ids), "kn-thresholds")
     own = scores.join(F.broadcast(limits), "lang", "left")
     # One row: the threshold for languages without one of their own.
     rest = F.broadcast(limits.where(F.col("lang") == ALL).select(F.col("threshold").alias("every")))
