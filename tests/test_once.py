@@ -1,12 +1,15 @@
 """What a row costs: expressions that were computed once for each use, and tasks that held too much."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from speakerprint.functions import packed
 from speakerprint.functions.jsontext import script_number
-from speakerprint.operators import hamming_index, match
+from speakerprint.operators import hamming_index, hypervectors, match
 from speakerprint.operators.tasks import score_json
 from speakerprint.sources import archives
 
@@ -73,3 +76,18 @@ def test_a_query_is_not_copied_for_all_of_its_cells_at_once(spark):
     index = hamming_index.build_index(rows.selectExpr("id AS candidate", "id AS ord", "bits"), 1_024, cell_rows=8)
     visits = hamming_index._visits(rows.selectExpr("id AS query_id", "bits").coalesce(1), index, 1_024)
     assert hamming_index.VISIT_ROWS == 2_048 and visits.count() == 600 * len(index.ids)
+
+
+def test_a_task_projects_few_rows_at_a_time(spark, monkeypatch):
+    """1,024 rows by 10,000 dimensions were held in several forms."""
+    df = spark.createDataFrame([(1, [0.5] * 32)], "id bigint, projected array<double>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: fn)
+    encode = hypervectors.hv_encode_prefixes(df, (1, 32))
+    x = np.random.default_rng(1).normal(size=(2_048, 32))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_048), pa.int64()), packed.matrix_list(x, pa.float64())], names=["id", "projected"])
+    packed.sign_matrix(32, 10_000, hypervectors.HV_SEED, "sign")
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in encode(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 2 * 2_048 and peak < 120
