@@ -37,7 +37,7 @@ id and the same shingles is linked to. Other columns of the input do not reach t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import count
 
@@ -48,7 +48,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speakerprint.llm.common import as_bytes, map_batches, materialised
+from speakerprint.llm.common import as_bytes, map_batches, materialised, pieces, ship
+from speakerprint.operators.scale import bit_filter, may_hold
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -68,6 +69,11 @@ BLOCK_SHINGLES = 1 << 21
 FIRST_ROOTS = (0, 2)
 #: Agreeing tokens for a candidate.
 CANDIDATE = 72
+#: Bits of a bitmap for each value, and of all at most.
+VALUE_BITS = 16
+MOST_BITS = 1 << 26
+#: Rows about large nodes that are broadcast at most; more are joined by a shuffle.
+FEW_NODES = 1 << 17
 _PRIME = np.uint64((1 << 61) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,8 +180,26 @@ def _roots(names: DataFrame, which: Sequence[int] = range(TREES * BRANCHES)) ->
     return map_batches(names.select("name", "label", "tokens"), run, "node bigint, name binary, label binary")
 
 
+def _marked(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``may``: false where a bitmap tells that ``column`` is none of the (stored) values."""
+    bits = min(MOST_BITS, 1 << max(10, (VALUE_BITS * values.count()).bit_length()))
+    hashed = F.xxhash64(column).alias("__h")
+    words = bit_filter(values.select(hashed), "__h", bits)
+    return rows.select("*", hashed).withColumn("may", may_hold(words, "__h", bits)).drop("__h")
+
+
+def _held(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The rows that a join with ``values`` can keep, and few others: a join that follows shuffles those alone."""
+    return _marked(rows, values, column).where("may").drop("may")
+
+
+def _few(stored: DataFrame) -> DataFrame:
+    """A stored side of a join, broadcast where it has few rows."""
+    return F.broadcast(stored) if stored.count() <= FEW_NODES else stored
+
+
 def _leaf_pairs(small: DataFrame) -> DataFrame:
-    """Pairs of small nodes: every pair of different labels that agrees in ``CANDIDATE`` tokens."""
+    """Pairs of small nodes: every pair of different labels that agrees in ``CANDIDATE`` tokens, by their lowest bytes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         pairs = set()
@@ -183,7 +207,7 @@ def _leaf_pairs(small: DataFrame) -> DataFrame:
             members.sort(key=lambda m: m["name"])
             names = [m["name"] for m in members]
             classes = np.unique([m["label"] for m in members], return_inverse=True)[1]
-            tokens = np.frombuffer(b"".join(m["tokens"] for m in members), dtype=np.int32).reshape(len(members), MINHASHES)
+            tokens = np.frombuffer(b"".join(m["tokens"] for m in members), dtype=np.uint8).reshape(len(members), MINHASHES)
             same = np.stack([(tokens == t).sum(axis=1) for t in tokens])
             i, j = np.nonzero(np.triu((same >= CANDIDATE) & (classes[:, None] != classes[None, :])))
             pairs |= {(names[x], names[y]) for x, y in zip(i.tolist(), j.tolist())}
@@ -276,7 +300,7 @@ def _sorted_out(rows: DataFrame, sets: DataFrame) -> DataFrame:
     tops = tops.groupBy("node").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("w").alias("w"))
     lopsided = F.col("c") - F.col("top.n") <= SMALL
     dense = (F.col("c") <= WHOLE) | (F.col("stuck") >= LEVELS)
-    return rows.join(tops, "node").withColumn("kind", F.when(lopsided, "lopsided").when(dense, "dense").otherwise("open"))
+    return rows.join(_few(materialised(tops, "near-tops")), "node").withColumn("kind", F.when(lopsided, "lopsided").when(dense, "dense").otherwise("open"))
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -336,28 +360,35 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     asked, sure, found, cells = [], [], [], []
     named = sets.select("name", F.col("name").alias("label"), "tokens")
     early = _roots(named, FIRST_ROOTS)
-    crowded = early.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("node")
-    early = materialised(early.join(crowded, "node").join(sets.select("name", "tokens"), "name").withColumn("stuck", F.lit(0)), "near-early")
+    # One node of every ``BLOCK`` sets and root at most, so that they are broadcast.
+    crowded = materialised(early.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("node"), "near-crowded")
+    early = materialised(early.join(F.broadcast(crowded), "node"), "near-early")
     if not early.isEmpty():
+        early = materialised(_with_tokens(early, sets).withColumn("stuck", F.lit(0)), "near-early")
         # Every set is in two of these nodes at most, and takes the smaller one of the pivots that it is linked to.
         linked = _to_pivots(early, sets, texts, asked, sure).where("label <> name").groupBy("name").agg(F.min("label").alias("pivot"))
-        named = named.join(linked, "name", "left").withColumn("label", F.coalesce("pivot", "label")).drop("pivot")
-        named = materialised(named, "near-named")
+        linked = materialised(linked, "near-linked")
+        parts = _marked(named, linked, "name")
+        moved = parts.where("may").join(linked, "name", "left").select("name", F.coalesce("pivot", "label").alias("label"), "tokens")
+        named = parts.where("NOT may").drop("may").unionByName(materialised(moved, "near-named"))
     first = _roots(named)
-    rows = first.join(_sizes(first, "node").select("node"), "node").join(sets.select("name", "tokens"), "name")
+    shared = materialised(_sizes(first, "node").select("node"), "near-nodes")
+    rows = materialised(_held(first, shared, "node").join(shared, "node"), "near-roots")
+    rows = _with_tokens(rows, sets)
     rows = materialised(rows.withColumn("up", F.lit(None).cast("bigint")).withColumn("stuck", F.lit(0)), "near-level")
     for level in count(1):
         stats = rows.groupBy("node").agg(*[f("label").alias(n) for f, n in _COUNTS], F.first("up").alias("up"), F.first("stuck").alias("stuck")).where("lo <> hi")
-        stats = stats.withColumn("stuck", F.when(2 * F.col("c") > F.col("up"), F.col("stuck") + 1).otherwise(F.lit(0)))
-        small = rows.join(stats.where(F.col("c") <= SMALL).select("node"), "node")
+        stats = stats.select("node", "c", F.when(2 * F.col("c") > F.col("up"), F.col("stuck") + 1).otherwise(F.lit(0)).alias("stuck"))
+        stats = materialised(stats, "near-nodes")
+        few, many = stats.where(F.col("c") <= SMALL).select("node"), stats.where(F.col("c") > SMALL)
+        small = _held(rows, few, "node")
+        small = small.select("node", "name", "label", _low_bytes(small).alias("tokens")).join(few, "node")
         found.append(materialised(_leaf_pairs(small).distinct(), "near-pairs"))
-        wide = rows.select("node", "name", "label", "tokens").join(stats.where(F.col("c") > SMALL).select("node", "c", "stuck"), "node")
-        wide = materialised(wide, "near-wide")
-        if wide.isEmpty():
+        if many.isEmpty():
             break
-        known = materialised(_sorted_out(wide, sets), "near-known")
+        known = _sorted_out(rows.select("node", "name", "label", "tokens").join(_few(many), "node"), sets)
         cells.append(materialised(_cells(known), "near-cells"))
-        large = known.where("kind = 'open'").drop("top", "w", "kind")
+        large = materialised(known.where("kind = 'open'").drop("top", "w", "kind"), "near-wide")
         if large.isEmpty():
             break
         rows = _to_pivots(large, sets, texts, asked, sure)
@@ -370,14 +401,20 @@ def links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return _union(sure)
 
 
+def _with_tokens(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored rows (node, name, label) with the tokens of their sets."""
+    return _held(sets.select("name", "tokens"), rows, "name").join(rows, "name").select("node", "name", "label", "tokens")
+
+
 def _cell_links(cells: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that cells find between different labels."""
     open_cells = materialised(_once(cells), "near-open")
-    names = open_cells.select("name").distinct()
+    held = _held(sets.select("name", "tokens"), open_cells, "name")
+    tokens = held.select("name", _low_bytes(held).alias("tokens"))
+    rows = materialised(_with_partners(open_cells.join(tokens, "name")), "near-partners")
+    names = materialised(rows.select("name").distinct(), "near-names")
     full = materialised(_full_sets(names, sets, texts), "near-full")
-    tokens = sets.select("name", _low_bytes(sets).alias("tokens"))
-    rows = open_cells.join(full.join(tokens, "name"), "name")
-    return materialised(_linked_in_cells(rows), "near-links")
+    return materialised(_linked_in_cells(rows.join(full, "name")), "near-links")
 
 
 def _low_bytes(sets: DataFrame) -> Column:
@@ -425,24 +462,48 @@ def _may_link(sizes: np.ndarray, bits: np.ndarray, x: int, others: np.ndarray) -
     return 100 * most >= THRESHOLD * (sizes[x] + sizes[others] - most)
 
 
+def _partners(table: pa.Table, labels: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each document of a cell those that it meets, of other labels, and that agree in ``CANDIDATE`` tokens, with the number of these."""
+    tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint8).reshape(-1, MINHASHES)
+    side, own = table.column("side").to_numpy(), table.column("own")[0].as_py()
+    sides = [np.flatnonzero(side == s) for s in (0, 1)]
+    todo = [(x, sides[0]) for x in sides[1]] + ([(x, sides[own - 1][n + 1 :]) for n, x in enumerate(sides[own - 1])] if own else [])
+    for x, others in todo:
+        others = others[labels[others] != labels[x]]
+        agree = np.count_nonzero(tokens[others] == tokens[x], axis=1)
+        yield x, others[agree >= CANDIDATE], agree[agree >= CANDIDATE]
+
+
+def _numbered(table: pa.Table) -> np.ndarray:
+    return np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
+
+
+def _with_partners(rows: DataFrame) -> DataFrame:
+    """The rows of cells that agree with another one enough: only their full sets are needed."""
+    columns = ["node", "i", "j", "side", "own", "name", "label", "tokens"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        needed = np.zeros(table.num_rows, dtype=bool)
+        for x, others, _ in _partners(table, _numbered(table)):
+            needed[others] = True
+            needed[x] |= len(others) > 0
+        return table.filter(pa.array(needed))
+
+    schema = "node bigint, i int, j int, side int, own int, name binary, label binary, tokens binary"
+    return rows.select(*columns).groupBy("node", "i", "j").applyInArrow(run, schema)
+
+
 def _linked_in_cells(rows: DataFrame) -> DataFrame:
     """Links between different labels of each cell, confirmed on the full sets: a spanning forest of the labels."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("name").combine_chunks()
-        names, labels = table.column("name").to_pylist(), table.column("label").to_pylist()
-        labels = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint8).reshape(-1, MINHASHES)
-        side, own = table.column("side").to_numpy(), table.column("own")[0].as_py()
-        sides = [np.flatnonzero(side == s) for s in (0, 1)]
+        names, labels = table.column("name").to_pylist(), _numbered(table)
         members = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in table.column("members")]
         sizes, bits = np.array([len(m) for m in members]), _bitmaps(members)
-        todo = [(x, sides[0]) for x in sides[1]] + ([(x, sides[own - 1][n + 1 :]) for n, x in enumerate(sides[own - 1])] if own else [])
         left, right, same = [], [], []
-        for x, others in todo:
-            others = others[labels[others] != labels[x]]
-            agree = np.count_nonzero(tokens[others] == tokens[x], axis=1)
-            others, agree = others[agree >= CANDIDATE], agree[agree >= CANDIDATE]
+        for x, others, agree in _partners(table, labels):
             enough = _may_link(sizes, bits, x, others)
             left.append(np.full(int(enough.sum()), x))
             right.append(others[enough])
@@ -486,11 +547,27 @@ def _set(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sets, pa.binary())], names=["name", "members"]).filter(own)
 
 
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts that are sorted by name, each name once."""
+    last = None
+    for batch in batches:
+        for part in pieces(batch):
+            found = _set(part)
+            names = found.column("name").to_pylist()
+            yield found.filter(pa.array([n != before for before, n in zip([last, *names], names)], pa.bool_()))
+            last = names[-1] if names else last
+
+
 def _full_sets(names: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(name, members) of names: their sets, made again from whole texts."""
-    needed = names.join(sets.select("name", "key"), "name")
-    full = map_batches(needed.join(texts, "key").select("name", "text"), _set, "name binary, members binary")
-    return full.dropDuplicates(["name"])
+    """(name, members) of stored names: their sets, made again from whole texts; no other text is shuffled.
+
+    The rows of a name have one key and lie in one partition, where all but one are left out. A join that Spark splits may
+    leave a name twice, which gives no other links.
+    """
+    ship(names.sparkSession)
+    needed = materialised(_held(sets.select("name", "key"), names, "name").join(names, "name"), "near-keys")
+    asked = needed.join(_held(texts, needed, "key"), "key").select("name", "text")
+    return asked.sortWithinPartitions("name").mapInArrow(_sets_of, "name binary, members binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -499,7 +576,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     ``sets`` names one text (key) per set and ``texts`` has (key, text). Only sets that are in a
     pair are made again, from their whole texts.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    asked = materialised(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "near-names")
     full = materialised(_full_sets(asked, sets, texts), "near-sets")
     both = pairs.join(full.select(F.col("name").alias("a"), F.col("members").alias("set_a")), "a")
     both = both.join(full.select(F.col("name").alias("b"), F.col("members").alias("set_b")), "b")

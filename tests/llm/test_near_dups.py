@@ -146,3 +146,57 @@ def test_edges(spark, docs_of):
     assert sorted((r["doc_id"], r["component_id"]) for r in twice) == [(1, 1), (1, 1), (2, 2)]
     extra = docs_of([(1, "a b"), (2, "a b")]).selectExpr("*", "1 AS name", "2 AS tokens", "3 AS component_id")
     assert classes(extra) == {1: (1, 1), 2: (1, 1)}
+
+
+def _shuffled(df):
+    """Records that the exchanges of a collected frame wrote."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        else:
+            todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_only_needed_texts_are_shuffled(spark, monkeypatch):
+    """Full sets are made from the texts of the names that need them; other texts stay where they are read."""
+    texts = spark.createDataFrame([(i, f"own words of text {i}".encode()) for i in range(3000)], "key bigint, text binary")
+    texts = near_dups.materialised(texts, "texts")
+    signed = near_dups.signatures(texts.selectExpr("key AS doc_id", "CAST(text AS string) AS text"))
+    sets = near_dups.materialised(signed.selectExpr("name", "doc_id AS key", "tokens"), "sets")
+    names = near_dups.materialised(sets.where("key IN (5, 2000)").select("name"), "names")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        full = near_dups._full_sets(names, sets, texts.unionAll(texts))
+        assert sorted(r["name"] for r in full.collect()) == sorted(r["name"] for r in names.collect())
+        assert _shuffled(full) < 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_cells_need_sets_of_partners_only(docs_of, monkeypatch):
+    """Texts that share a passage meet in cells, but only those that agree enough have their full sets made."""
+    monkeypatch.setattr(near_dups, "SMALL", 4)
+    asked, full_sets = [], near_dups._full_sets
+    monkeypatch.setattr(near_dups, "_full_sets", lambda names, *rest: asked.append(names.count()) or full_sets(names, *rest))
+    rng = random.Random(4)
+    rows = []
+    for n in range(80):
+        own = [f"o{n}-{i}" for i in range(190)]
+        rows.append(" ".join([f"p{i}" for i in range(150)] + own))
+        if n < 6:
+            rows.append(rows[-1] + " end")
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = near_classes(rows)
+    assert len({c for _, c in want.values()}) == 80
+    assert classes(docs_of(rows)) == want
+    assert max(asked) <= 20
