@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speakerprint.functions.text import explode_items, runs, strip, word_count, words
 from speakerprint.functions.vectors import as_col
-from speakerprint.operators.scale import spread_join
+from speakerprint.operators.scale import SMALL_TABLE, bit_filter, may_hold, spread_join
 from speakerprint.session import materialised
 
 # Characters cut from words, long-word length, default lexicon.
@@ -21,6 +21,9 @@ LEXICON = {
     "direct": ("do", "use", "stop", "start", "make", "give", "send", "fix", "please", "need"),
 }
 MARKS = {"question": "?", "exclamation": "!", "comma": ",", "semicolon": ";", "colon": ":", "period": "."}
+# Most frequent phrases of a speaker, for each one asked, that tell which score is surely reached; bits of the bitmap of phrases at most.
+FIRST_PHRASES = 64
+PHRASE_BITS = 1 << 26
 LIST_LINE = r"(?m)^[ \t]*(?:[-*]|[0-9]+\.)[ \t]"
 
 
@@ -107,7 +110,10 @@ def punctuation_profile(df: DataFrame, by: Sequence[str], text: str = "text") ->
 def signature_phrases(df: DataFrame, by: str, text: str = "text", n: int = 2, k: int = 5) -> DataFrame:
     """Top-k n-grams per speaker by tf * ln(N / df); equal scores in phrase order.
 
-    tf is combined map-side per (speaker, phrase) and stored; df counts that table. A phrase that
+    tf is combined map-side per (speaker, phrase) and stored; df counts that table. The most frequent phrases of
+    a speaker give a score that its k-th best reaches at least. A phrase that could not reach it, were the
+    speaker its only one, is left out before phrases are counted, joined and ranked; nothing else is. Where
+    frequencies tell little, as for speakers with few words, all phrases are ranked. A phrase that
     very many speakers use has one row per speaker in the join and is salted. The table of
     phrases grows with the data and is never broadcast.
     """
@@ -115,16 +121,48 @@ def signature_phrases(df: DataFrame, by: str, text: str = "text", n: int = 2, k:
     split = df.select(by, words(normal).alias("__w")).select(by, runs("__w", n).alias("__g"))
     grams = explode_items(split, [by], "__g", "phrase")
     tf = materialised(grams.groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("tf")), "phrases")
-    spread = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     speakers = df.where(F.col(by).isNotNull()).select(by).distinct().agg(F.count(F.lit(1)).alias("n"))
-    scored = spread_join(tf, spread, ["phrase"], [by]).withColumn("__n", speakers.scalar())
-    scored = scored.withColumn("score", F.col("tf") * F.log(F.col("__n") / F.col("df")))
+    tf = _reachable(tf, by, k, speakers)
+    scored = _scored(*tf, by, speakers)
     best = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("phrase"))
     return (
         scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(by, "rank", "phrase", "tf", "df", "score")
     )
 
 
+def _scored(chosen: DataFrame, tf: DataFrame, by: str, speakers: DataFrame) -> DataFrame:
+    """Stored rows (speaker, phrase, tf) with df and score; df counts the rows of ``tf``."""
+    if chosen is not tf:
+        bits = min(PHRASE_BITS, 1 << max(10, (16 * chosen.count()).bit_length()))
+        hashed = F.xxhash64("phrase").alias("__h")
+        tf = tf.select("phrase", hashed).where(may_hold(bit_filter(chosen.select(hashed), "__h", bits), "__h", bits))
+    spread = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    scored = spread_join(chosen, spread, ["phrase"], [by]).withColumn("__n", speakers.scalar())
+    return scored.withColumn("score", F.col("tf") * F.log(F.col("__n") / F.col("df")))
+
+
+def _reachable(tf: DataFrame, by: str, k: int, speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``tf`` that may be among the k best of their speaker, ``tf``)."""
+
+    def cut(limits: DataFrame, kept: Column) -> DataFrame:
+        limits = materialised(limits.withColumnRenamed(by, "__by"), "phrase-limits")
+        side = F.broadcast(limits) if limits.count() <= SMALL_TABLE else limits
+        return materialised(tf.join(side, F.col(by).eqNullSafe(F.col("__by"))).where(kept).select(*tf.columns), "phrase-choice")
+
+    down = Window.partitionBy(by).orderBy(F.desc("tf"))
+    counts = tf.groupBy(by, "tf").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(down))
+    # The largest frequency that enough phrases reach, or the smallest of all.
+    least = F.coalesce(F.max(F.when(F.col("upto") >= FIRST_PHRASES * k, F.col("tf"))), F.min("tf"))
+    first = cut(counts.groupBy(by).agg(least.alias("__least")), F.col("tf") >= F.col("__least"))
+    if 2 * first.count() > tf.count():
+        return tf, tf
+    best = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("phrase"))
+    known = _scored(first, tf, by, speakers).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    reached = F.when(F.count("score") == k, F.min("score"))
+    alone = F.col("tf") * F.log(speakers.scalar() / F.lit(1))
+    return cut(known.groupBy(by).agg(reached.alias("__reached")), F.coalesce(alone >= F.col("__reached"), F.lit(True))), tf
+
+
 def style_profile(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     """All profiles of a speaker in one row, signature phrases as an array."""
     phrases = signature_phrases(df, by, text).groupBy(by).agg(

@@ -74,3 +74,27 @@ def test_signature_phrases_keep_phrases_of_every_speaker(spark):
     rows = signature_phrases(df, "who", k=9).collect()
     assert {(r["phrase"], r["df"], round(r["score"], 9)) for r in rows if r["df"] == 6} == {("all alike", 6, 0.0)}
     assert len(rows) == 18
+
+
+def test_signature_phrases_rank_what_can_be_among_the_best(spark, monkeypatch):
+    """Phrases that no count of speakers could lift into the best are not joined, and the best stay what all phrases give."""
+    import random
+
+    from speakerprint.operators import style
+
+    rng = random.Random(2)
+    rows = []
+    for who in [*range(8), None]:
+        often = [f"a{who} b{rng.randrange(9)}" for _ in range(12)]
+        for _ in range(60):
+            rows.append((who, " ".join(rng.choice([*often, "all alike", *(f"x{rng.randrange(10**6)}" for _ in range(40))]) for _ in range(30))))
+    rows += [(100, "few words"), (101, None), (102, "one one one")]
+    df = spark.createDataFrame(rows, "who bigint, text string")
+    monkeypatch.setattr(style, "FIRST_PHRASES", 1 << 40, raising=False)
+    want = signature_phrases(df, "who").collect()
+    monkeypatch.setattr(style, "FIRST_PHRASES", 2, raising=False)
+    joined, join = [], style.spread_join
+    monkeypatch.setattr(style, "spread_join", lambda big, *rest: joined.append(big.count()) or join(big, *rest))
+    got = signature_phrases(df, "who").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r["who"] for r in got} == {*range(8), None, 100, 102}
+    assert max(joined) < 2000 < signature_phrases(df, "who", k=10**6).count()
