@@ -17,7 +17,7 @@ Other large nodes compare every document with one pivot, the one that agrees mos
 whose full sets are similar to it take its label; then the node ends as above or is branched further. Two roots of each document
 are compared with pivots before all others, so that large groups of copies have one label in all trees.
 
-Cells hold the full sets besides the tokens. Pairs of different labels that agree enough, and that bitmaps of the sets do not rule out, are confirmed there, the best agreeing first; a
+Cells hold tokens, and the full sets of those documents that agree with another one enough. Pairs of different labels that agree enough, and that bitmaps of the sets do not rule out, are confirmed there, the best agreeing first; a
 link merges its labels for the pairs that follow. So a cell gives fewer links than it has documents, whatever the number of its similar pairs. Blocks
 are smaller where sets are large (``BLOCK_SHINGLES``). No pair that agrees enough is left out but those within one label. A node that tokens do not separate
 takes time, and copies of its rows, by the square of its blocks.
