@@ -41,7 +41,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, tokens, ids_sha256, decoded_sha256) of every document."""
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.round_trip(docs)
     return coded.select("doc_id", "n_tokens", "tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

@@ -13,6 +13,9 @@ bytes that merge by rank. In both, the result of a half is kept except near the
 
 Decoding is the concatenation up the same tree. A null or empty text has no tokens. Repeated rows are
 encoded one by one. Rank files are a parameter; special tokens are never produced.
+
+Spark keeps a Python worker for the tasks that follow, of whatever stage. So a worker forgets at the end of a task
+what it remembered of the texts, and texts that are both encoded and decoded take one worker a task (``round_trip``).
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 import sys
 from array import array
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -32,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speakerprint.llm.common import map_batches
+from speakerprint.llm.common import pieces, ship
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes up to which a match, and characters up to which a text, is a leaf of its tree.
@@ -111,6 +115,12 @@ class Encoder:
         self.leaves: dict[bytes, list[int]] = {}
         self.known = Known(self)
 
+    def forget(self) -> None:
+        """Start anew; only the ranks stay."""
+        self.known.clear()
+        self.pairs.clear()
+        self.leaves.clear()
+
     def merged(self, data: bytes) -> list[int]:
         """Encoding of some bytes: the leftmost pair of lowest rank merges first."""
         ranks = self.ranks
@@ -245,30 +255,58 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _task(path: str, step: Callable[[Encoder, pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with its batches; its worker keeps the ranks alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        try:
+            for batch in batches:
+                for part in pieces(batch):
+                    yield step(enc, part)
+        finally:
+            enc.forget()
+
+    return run
+
+
+def _mapped(df: DataFrame, ranks: str | None, step: Callable[[Encoder, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(_task(ranks or public_tokenizers.path(RANKS), step), schema)
+
+
+def _encoded(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    packed = [enc.encode(t) for t in batch.column("text").to_pylist()]
+    columns = [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "tokens"])
+
+
+def _decoded(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = [enc.decode(np.frombuffer(t, dtype="<u4").tolist()) for t in batch.column("tokens").to_pylist()]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "tokens", "bytes"])
+
+
+def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, tokens): token ids as little-endian unsigned 32-bit integers.
 
     ``ranks`` is the path of a rank file that every executor can open.
     """
-    path = ranks or public_tokenizers.path(RANKS)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(path)
-        packed = [enc.encode(t) for t in batch.column("text").to_pylist()]
-        columns = [batch.column("doc_id"), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "tokens"])
-
-    chosen = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(chosen, run, "doc_id bigint, n_tokens bigint, tokens binary")
+    return _mapped(_texts(docs, id, text), ranks, _encoded, "doc_id bigint, n_tokens bigint, tokens binary")
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, tokens, bytes) of the rows of ``encode``."""
-    path = ranks or public_tokenizers.path(RANKS)
+    return _mapped(encoded.select("doc_id", "n_tokens", "tokens"), ranks, _decoded, "doc_id bigint, n_tokens bigint, tokens binary, bytes binary")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(path)
-        out = [enc.decode(np.frombuffer(t, dtype="<u4").tolist()) for t in batch.column("tokens").to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "tokens", "bytes"])
 
-    return map_batches(encoded.select("doc_id", "n_tokens", "tokens"), run, "doc_id bigint, n_tokens bigint, tokens binary, bytes binary")
+def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
+    """The rows of ``decode(encode(docs))``, by one Python worker a task instead of two."""
+
+    def both(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _decoded(enc, _encoded(enc, batch))
+
+    return _mapped(_texts(docs, id, text), ranks, both, "doc_id bigint, n_tokens bigint, tokens binary, bytes binary")

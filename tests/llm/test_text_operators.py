@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -60,6 +61,28 @@ def test_bpe_edges(docs_of):
     assert bpe.encode(docs_of([])).count() == 0
 
 
+def test_bpe_workers_forget(docs_of):
+    """Spark keeps workers: what is remembered of texts must not stay in them."""
+    path = public_tokenizers.path(bpe.RANKS)
+    rows = docs_of([(1, "some words, unforgettable ones"), (2, None), (None, "\u00e9\U0001f600 \u4e2d\u6587")])
+    batch = rows.coalesce(1).toArrow().select(["doc_id", "text"]).slice(0, 1).to_batches()[0]
+    held = []
+    for _ in bpe._task(path, bpe._encoded)(iter([batch])):
+        held.append(len(bpe.encoder(path).known))
+    enc = bpe.encoder(path)
+    assert held[0] > 0 and not (enc.known or enc.pairs or enc.leaves)
+
+
+def test_bpe_round_trip(spark, sf_dir, docs_of):
+    """One Python node gives what two gave, and the query takes it."""
+    rows = docs_of([(1, "some words"), (1, "some words"), (2, None), (3, ""), (None, "\u00e9\U0001f600 \u4e2d\u6587")])
+    two = bpe.decode(bpe.encode(rows))
+    one = bpe.round_trip(rows)
+    assert one.schema == two.schema and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    for frame in (queries.op8_bpe(spark, sf_dir), corpus_pipeline.tokens(spark, rows, sf_dir)):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 PAGES = "page_id bigint, url string, html string"
 
 
