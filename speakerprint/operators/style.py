@@ -24,6 +24,9 @@ MARKS = {"question": "?", "exclamation": "!", "comma": ",", "semicolon": ";", "c
 # Most frequent phrases of a speaker, for each one asked, that tell which score is surely reached; bits of the bitmap of phrases at most.
 FIRST_PHRASES = 64
 PHRASE_BITS = 1 << 26
+# Buckets that phrases are counted by at least, before any phrase is shuffled; buckets looked into at first for each of the most frequent phrases.
+LEAST_BUCKETS = 1 << 22
+FIRST_BUCKETS = 8
 LIST_LINE = r"(?m)^[ \t]*(?:[-*]|[0-9]+\.)[ \t]"
 
 
@@ -110,24 +113,95 @@ def punctuation_profile(df: DataFrame, by: Sequence[str], text: str = "text") ->
 def signature_phrases(df: DataFrame, by: str, text: str = "text", n: int = 2, k: int = 5) -> DataFrame:
     """Top-k n-grams per speaker by tf * ln(N / df); equal scores in phrase order.
 
-    tf is combined map-side per (speaker, phrase) and stored; df counts that table. The most frequent phrases of
-    a speaker give a score that its k-th best reaches at least. A phrase that could not reach it, were the
-    speaker its only one, is left out before phrases are counted, joined and ranked; nothing else is. Where
-    frequencies tell little, as for speakers with few words, all phrases are ranked. A phrase that
-    very many speakers use has one row per speaker in the join and is salted. The table of
-    phrases grows with the data and is never broadcast.
+    Every phrase of every text is counted, first by a bucket of its hash: a bucket's count is at least that of each
+    phrase in it. Phrases of buckets that cannot hold one of the k best of any speaker are neither shuffled nor
+    stored; the others are counted per (speaker, phrase), with all speakers that use them, so that tf and df are exact.
+    Where buckets tell little, as for speakers with few words, all phrases are counted so, and ranked where their
+    frequency lets them be among the best. A phrase that very many speakers use has one row per speaker in the join and is
+    salted. The table of phrases grows with the data and is never broadcast.
     """
     normal = F.regexp_replace(F.lower(as_col(text)), WORD_EDGES, " ")
     split = df.select(by, words(normal).alias("__w")).select(by, runs("__w", n).alias("__g"))
     grams = explode_items(split, [by], "__g", "phrase")
-    tf = materialised(grams.groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("tf")), "phrases")
     speakers = df.where(F.col(by).isNotNull()).select(by).distinct().agg(F.count(F.lit(1)).alias("n"))
-    tf = _reachable(tf, by, k, speakers)
-    scored = _scored(*tf, by, speakers)
+    tf = _frequent(grams, by, k, speakers)
+    if tf is None:
+        tf = materialised(_counted(grams, by), "phrases")
+        scored = _scored(*_reachable(tf, by, k, speakers), by, speakers)
+    else:
+        scored = _scored(tf, tf, by, speakers)
+    return _best(scored, by, k).select(by, "rank", "phrase", "tf", "df", "score")
+
+
+def _counted(grams: DataFrame, by: str) -> DataFrame:
+    return grams.groupBy(by, "phrase").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _best(scored: DataFrame, by: str, k: int) -> DataFrame:
+    """The k best phrases of each speaker, with their rank."""
     best = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("phrase"))
-    return (
-        scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(by, "rank", "phrase", "tf", "df", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _reached(scored: DataFrame, by: str, k: int) -> DataFrame:
+    """(speaker, ``__reached``): the k-th best of the given scores, which the k-th best of all reaches; null for fewer."""
+    return _best(scored, by, k).groupBy(by).agg(F.when(F.count("score") == k, F.min("score")).alias("__reached"))
+
+
+def _may_reach(tf: str, speakers: DataFrame) -> Column:
+    """Whether a frequency could reach the limit, were the speaker the phrase's only one."""
+    return F.coalesce(F.col(tf) * F.log(speakers.scalar() / F.lit(1)) >= F.col("__reached"), F.lit(True))
+
+
+def _frequent(grams: DataFrame, by: str, k: int, speakers: DataFrame) -> DataFrame | None:
+    """Stored rows (speaker, phrase, tf) of all phrases of buckets that may hold one of the k best of a speaker.
+
+    None where that would be most of all rows. Buckets are those of the phrase's hash alone, so that a phrase is there with
+    all its speakers or with none. Speakers are told apart by the other bits of one number; should two share them,
+    counts and limits of both hold for the two.
+    """
+    first = FIRST_BUCKETS * FIRST_PHRASES * k
+    wanted = first * (speakers.first()["n"] + 1)
+    if 4 * wanted > PHRASE_BITS:
+        return None
+    buckets = min(PHRASE_BITS, max(LEAST_BUCKETS, 1 << (8 * wanted).bit_length()))
+    who = F.xxhash64(by).bitwiseAND(F.lit(-buckets))
+    hashed = grams.select(by, "phrase", F.xxhash64("phrase").alias("__h"))
+    bucket = F.col("__h").bitwiseAND(F.lit(buckets - 1))
+    sums = hashed.select(who.bitwiseOR(bucket).alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("c"))
+    sums = materialised(sums.select(F.col("__h").bitwiseAND(F.lit(-buckets)).alias("__who"), bucket.cast("int").alias("__bucket"), "c"), "phrase-buckets")
+    most = sums.count() / 2
+
+    def side(limits: DataFrame) -> DataFrame:
+        return F.broadcast(limits) if limits.count() <= SMALL_TABLE else limits
+
+    def held(of: DataFrame) -> Column:
+        return bit_filter(of.select(F.col("__bucket").cast("bigint").alias("__h")), "__h", buckets)
+
+    def counted(words: Column) -> DataFrame:
+        return materialised(_counted(hashed.where(may_hold(words, "__h", buckets)), by), "phrases")
+
+    often = Window.partitionBy("__who").orderBy(F.desc("c"))
+    kinds = sums.groupBy("__who", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(often))
+    # The counts that the first buckets of a speaker have; of equal buckets, which may be very many, only as many as are asked.
+    counts = kinds.where(F.col("upto") - F.col("n") < first).groupBy("__who").agg(F.min("c").alias("__least"))
+    chosen = sums.join(side(materialised(counts, "phrase-limits")), "__who").where(F.col("c") >= F.col("__least"))
+    chosen = chosen.withColumn("__rank", F.row_number().over(often.orderBy(F.desc("c"), F.asc("__bucket")))).where(F.col("__rank") <= first)
+    chosen = materialised(chosen.select("__bucket").distinct(), "phrase-choice")
+    seen = sums.withColumn("__h", F.col("__bucket").cast("bigint")).withColumn("__seen", may_hold(held(chosen), "__h", buckets))
+    if seen.where("__seen").count() > most:
+        return None
+    tf = counted(held(chosen))
+    limits = _reached(_scored(tf, tf, by, speakers), by, k).groupBy(who.alias("__who")).agg(
+        F.when(F.count("__reached") == F.count(F.lit(1)), F.min("__reached")).alias("__reached")
     )
+    rest = seen.where(~F.col("__seen")).join(side(materialised(limits, "phrase-limits")), "__who").where(_may_reach("c", speakers))
+    rest = materialised(rest.select("__bucket").distinct(), "phrase-choice")
+    if rest.isEmpty():
+        return tf
+    if seen.where(F.col("__seen") | may_hold(held(rest), "__h", buckets)).count() > most:
+        return None
+    return tf.unionByName(counted(held(rest)))
 
 
 def _scored(chosen: DataFrame, tf: DataFrame, by: str, speakers: DataFrame) -> DataFrame:
@@ -156,11 +230,7 @@ def _reachable(tf: DataFrame, by: str, k: int, speakers: DataFrame) -> tuple[Dat
     first = cut(counts.groupBy(by).agg(least.alias("__least")), F.col("tf") >= F.col("__least"))
     if 2 * first.count() > tf.count():
         return tf, tf
-    best = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("phrase"))
-    known = _scored(first, tf, by, speakers).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    reached = F.when(F.count("score") == k, F.min("score"))
-    alone = F.col("tf") * F.log(speakers.scalar() / F.lit(1))
-    return cut(known.groupBy(by).agg(reached.alias("__reached")), F.coalesce(alone >= F.col("__reached"), F.lit(True))), tf
+    return cut(_reached(_scored(first, tf, by, speakers), by, k), _may_reach("tf", speakers)), tf
 
 
 def style_profile(df: DataFrame, by: str, text: str = "text") -> DataFrame:

@@ -98,3 +98,44 @@ def test_signature_phrases_rank_what_can_be_among_the_best(spark, monkeypatch):
     got = signature_phrases(df, "who").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and {r["who"] for r in got} == {*range(8), None, 100, 102}
     assert max(joined) < 2000 < signature_phrases(df, "who", k=10**6).count()
+
+
+def test_signature_phrases_store_only_phrases_that_may_be_among_the_best(spark, monkeypatch):
+    """All phrases are counted by buckets; only those of buckets that may hold one of the best are shuffled as text and stored."""
+    import math
+    from collections import Counter
+
+    from speakerprint.operators import style
+
+    rows = []
+    for who in [*range(8), None]:
+        rows += [(who, f"all{i} alike") for i in range(6) for _ in range(30)]
+        rows += [(who, f"pair{(who or 0) // 2} word{j}") for j in range(8) for _ in range(20 + j)]
+        rows += [(who, f"alone{who} word{j}") for j in range(2) for _ in range(19)]
+        rows += [(who, f"once{who} word{j}") for j in range(300)]
+    rows += [(100, "few words"), (101, None), (102, "one one one")]
+    tf = Counter((who, " ".join(p)) for who, text in rows for w in [(text or "").lower().split()] for p in zip(w, w[1:], strict=False))
+    df, n, k = Counter(p for _, p in tf), len({who for who, _ in rows} - {None}), 4
+    want = set()
+    for who in {w for w, _ in tf}:
+        found = sorted((-c * math.log(n / df[p]), p, c) for (w, p), c in tf.items() if w == who)[:k]
+        want |= {(who, rank, p, c, df[p], round(-s, 6)) for rank, (s, p, c) in enumerate(found, 1)}
+    table = spark.createDataFrame(rows, "who bigint, text string").repartition(5)
+    stored, keep = [], style.materialised
+
+    def seen(rows, name):
+        out = keep(rows, name)
+        stored.extend([out.count()] if name == "phrases" else [])
+        return out
+
+    monkeypatch.setattr(style, "materialised", seen)
+    monkeypatch.setattr(style, "FIRST_PHRASES", 3)
+    # Buckets enough at first; too few at first, so that others are looked into; phrases that share a bucket.
+    for first, buckets, tables in ((8, 1 << 20, 1), (1, 1 << 20, 2), (1, 1 << 10, 2)):
+        monkeypatch.setattr(style, "FIRST_BUCKETS", first, raising=False)
+        monkeypatch.setattr(style, "LEAST_BUCKETS", buckets, raising=False)
+        monkeypatch.setattr(style, "PHRASE_BITS", buckets)
+        stored.clear()
+        got = signature_phrases(table, "who", k=k).collect()
+        assert {(*r[:5], round(r["score"], 6)) for r in got} == want and len(got) == len(want)
+        assert len(stored) == tables and sum(stored) < len(tf) / 2
